@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import lookalike
+from docloom.llm.neardup import NearDuplicates
 from docloom.runtime import table
 
 LOOKALIKE_FIELDS = ["content", "keywords"]
@@ -18,5 +19,17 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical(table(spark, sf_dir, "chunk"), "obj_id", LOOKALIKE_FIELDS)
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical}
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return NearDuplicates(table(spark, sf_dir, "chunk").where("chunk_type = 'text'"), "obj_id", "doc_id", "content")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).pairs()
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).groups().withColumnRenamed("id", "obj_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {}
