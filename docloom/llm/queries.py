@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import lookalike
+from docloom.llm.forest import dedup_batches
 from docloom.llm.neardup import NearDuplicates
 from docloom.runtime import table
 
@@ -31,5 +32,9 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groups().withColumnRenamed("id", "obj_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_groups": p2_groups}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_batches(table(spark, sf_dir, "intake"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found}
 SQL: dict[str, str] = {}

@@ -50,7 +50,7 @@ def runs(texts: list[str], n: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int64)
 
 
-_MULT = (np.random.default_rng(20240501).integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_MULT = (np.random.default_rng(20240501).integers(1, 1 << 32, 4 * HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
 def minhashes(h: np.ndarray, offsets: np.ndarray, count: int = HASHES) -> np.ndarray:
