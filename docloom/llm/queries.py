@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import lookalike
+from docloom.llm import lookalike, packing, splitting
 from docloom.llm.forest import dedup_batches
+from docloom.llm.mixing import Mixing
 from docloom.llm.neardup import NearDuplicates
-from docloom.runtime import table
+from docloom.llm.tokens import sized
+from docloom.runtime import table, written
 
 LOOKALIKE_FIELDS = ["content", "keywords"]
 
@@ -32,9 +35,47 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groups().withColumnRenamed("id", "obj_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = splitting.pieces(table(spark, sf_dir, "chunk"), "obj_id", "content", with_text=False)
+    return cut.groupBy(F.col("id").alias("obj_id")).agg(F.max("forced").alias("forced_cut"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = splitting.numbered(table(spark, sf_dir, "chunk"), "obj_id", "content", "doc_id", "paragraph_index", ["fragment_index"])
+    return cut.withColumnsRenamed({"id": "obj_id", "para": "paragraph_index"})
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_batches(table(spark, sf_dir, "intake"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found}
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sized(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    # the four capacities are parameters, so they are read on the driver
+    caps = [(r["cap_id"], r["capacity_tokens"]) for r in table(spark, sf_dir, "capacities").select("cap_id", "capacity_tokens").collect()]
+    return packing.pack(written(docs, "sized"), caps, "doc_id", "n_tokens")
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(_packed(spark, sf_dir), table(spark, sf_dir, "capacities"))
+
+
+def _mixing(spark: SparkSession, sf_dir: str) -> Mixing:
+    return Mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing(spark, sf_dir).selection()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = _mixing(spark, sf_dir)
+    return mix.shares(mix.selection())
+
+
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
