@@ -9,6 +9,7 @@ from docloom.llm import lookalike, packing, splitting
 from docloom.llm.forest import dedup_batches
 from docloom.llm.mixing import Mixing
 from docloom.llm.neardup import NearDuplicates
+from docloom.llm.quality import text_stats
 from docloom.llm.tokens import sized
 from docloom.runtime import table, written
 
@@ -77,5 +78,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(mix.selection())
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares}
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_stats(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_stats(spark, sf_dir).where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
+
+
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}
 SQL: dict[str, str] = {}
