@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import packed
+from docloom.plans import packed, segment
 
-MODULES = [packed]
+MODULES = [packed, segment]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
