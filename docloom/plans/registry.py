@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import packed, segment
+from docloom.plans import grid, packed, segment
 
-MODULES = [packed, segment]
+MODULES = [packed, segment, grid]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
