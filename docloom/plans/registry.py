@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import grid, packed, segment
+from docloom.plans import grid, packed, retrieval, segment
 
-MODULES = [packed, segment, grid]
+MODULES = [packed, segment, grid, retrieval]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
