@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import enrichment, grid, packed, retrieval, segment
+from docloom.plans import enrichment, grid, packed, pipeline, retrieval, segment
 
-MODULES = [packed, segment, grid, retrieval, enrichment]
+MODULES = [packed, segment, grid, retrieval, enrichment, pipeline]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
