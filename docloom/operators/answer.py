@@ -13,7 +13,7 @@ PREFIX, BUDGET, SOURCES, SHOWN = 100, 32_768, 8, 500
 def dedup_hits(hits: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """Of the hits of a question that share the first ``prefix`` characters, the first in retrieval order; null reads as empty."""
     w = Window.partitionBy("qid", F.substring(or_empty(F.col("content")), 1, prefix)).orderBy("hit_rank", "chunk_id")
-    return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return hits.withColumn("__docloom_n", F.row_number().over(w)).where("__docloom_n = 1").drop("__docloom_n")
 
 
 def merge_ranked(hits: DataFrame) -> DataFrame:

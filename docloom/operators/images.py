@@ -21,8 +21,8 @@ ANALYSIS = T.StructType(
 def first_seen(refs: DataFrame) -> DataFrame:
     """Image references with image_index: of each relation of a document the first place, numbered from 0; null relations and repeats fall out."""
     place = ["block_pos", F.col("r").asc_nulls_first(), F.col("c").asc_nulls_first(), "ord"]
-    x = refs.where("rel_id IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "rel_id").orderBy(*place))).where("_n = 1")
-    return x.withColumn("image_index", F.row_number().over(Window.partitionBy("doc_id").orderBy(*place, "rel_id")) - 1).drop("_n")
+    x = refs.where("rel_id IS NOT NULL").withColumn("__docloom_n", F.row_number().over(Window.partitionBy("doc_id", "rel_id").orderBy(*place))).where("__docloom_n = 1")
+    return x.withColumn("image_index", F.row_number().over(Window.partitionBy("doc_id").orderBy(*place, "rel_id")) - 1).drop("__docloom_n")
 
 
 def anchored(images: DataFrame, blocks: DataFrame) -> DataFrame:

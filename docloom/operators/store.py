@@ -86,7 +86,7 @@ def split_values(c) -> Column:
 def latest(chunks: DataFrame, by: str = "stored_at") -> DataFrame:
     """One row per (kb_id, chunk_id): the one stored last, then the one of the greatest obj_id."""
     w = Window.partitionBy("kb_id", "chunk_id").orderBy(F.col(by).desc_nulls_last(), F.col("obj_id").desc())
-    return chunks.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return chunks.withColumn("__docloom_n", F.row_number().over(w)).where("__docloom_n = 1").drop("__docloom_n")
 
 
 def upsert(base: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("kb_id", "doc_id")) -> DataFrame:

@@ -26,7 +26,7 @@ _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _PR = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 # Built-in number formats that show a date or time.
 _DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
-_BAD_XML = re.compile("[^\t\n\r -퟿-�\U00010000-\U0010ffff]")
+_BAD_XML = re.compile("[^\t\n\r\u0020-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
 WORD = {"doc", "docx"}
 EXCEL = {"xlsx"}

@@ -36,5 +36,9 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "com
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """A parquet folder or file as a stream."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():  # a stream reads folders
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
