@@ -26,7 +26,7 @@ _RADICALS = (
     "厂亻冂卜兀尢巳幺忄扌攵旡月民氵灬爫犭王示礻竹糹纟肉臼艹虎衤覀西见讠贝足车辶钅長镸长门雨青韦页风飞食飠饣马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙亀",
 )
 _VISIBLE_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
-_LIGATURES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)}
+LIGATURES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)}
 
 
 @lru_cache(maxsize=1)
@@ -85,7 +85,7 @@ def maps() -> tuple[dict[str, str], dict[str, str]]:
 def _translate(c: Column, m: dict[str, str]) -> Column:
     keep = [k for k, v in m.items() if v]
     drop = [k for k, v in m.items() if not v]
-    for a, b in _LIGATURES.items():
+    for a, b in LIGATURES.items():
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.translate(c, "".join(keep) + "".join(drop), "".join(m[k] for k in keep))
 
@@ -101,7 +101,7 @@ def _coarse(c: Column) -> Column:
 
 def normal_form(text: str) -> str:
     """The same form for one Python string: mapped and composed."""
-    for a, b in _LIGATURES.items():
+    for a, b in LIGATURES.items():
         text = text.replace(a, b)
     return unicodedata.normalize("NFC", text.translate(str.maketrans(maps()[0])))
 
