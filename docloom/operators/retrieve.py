@@ -8,14 +8,17 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import shown
+from docloom.runtime import written
 
 K1, B, ALPHA = 1.2, 0.75, 0.4
 DIGITS = 6
 QUERY_BLOCK = 1024
+#: Up to so many query terms are broadcast; beyond, they are joined by shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def top_k(scored: DataFrame, query: str, score: str, tie: str, k) -> DataFrame:
@@ -78,35 +81,30 @@ def terms(text) -> Column:
     """Lower-case runs of letters and digits, and pairs of neighbouring ideographs."""
     low = F.lower(F.coalesce(text, F.lit("")))
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0)
-    blocks = F.regexp_extract_all(low, F.lit("[\\x{4e00}-\\x{9fff}]{2,}"), 0)
-    pairs = F.flatten(F.transform(blocks, lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - 1), lambda i: F.substr(b, i, F.lit(2)))))
-    return F.concat(words, pairs)
-
-
-def postings(corpus: DataFrame) -> DataFrame:
-    """(id, size, term, tf) of corpus (id, text)."""
-    x = corpus.select("id", terms(F.col("text")).alias("t")).withColumn("size", F.size("t"))
-    return x.select("id", "size", F.explode("t").alias("term")).groupBy("id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return F.concat(words, F.regexp_extract_all(low, F.lit("(?=([\\x{4e00}-\\x{9fff}]{2}))"), 1))
 
 
 def bm25_scores(queries: DataFrame, corpus: DataFrame, part: list[str] | None = None) -> DataFrame:
     """(qid, id, score) of questions (qid, text) and corpus (id, text) that share a term.
 
-    Document frequencies and mean length are those of the whole corpus. Only postings of terms that a question holds are
-    kept before anything is joined by term; ``part`` names columns that must be equal, such as a knowledge base.
+    The corpus is cut into terms in one pass, which also observes the number of documents and their mean length. Postings
+    are kept only of terms that a question holds; they are counted before they are shuffled. ``part`` names columns that
+    must be equal, such as a knowledge base. An empty side gives no row.
     """
     part = part or []
-    sizes = corpus.select("id", *part, F.size(terms(F.col("text"))).alias("size"))
-    total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()
-    n, mean = total["n"], total["mean"] or 1.0
+    seen = Observation()
+    cut = corpus.select("id", *part, terms(F.col("text")).alias("t")).withColumn("size", F.size("t"))
+    cut = cut.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
     asked = queries.select("qid", *part, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    p = postings(corpus).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = written(asked.select("term").distinct(), "terms")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    p = cut.select("id", *part, "size", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    p = written(p.groupBy("id", *part, "size", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n, mean = seen.get["n"], float(seen.get["mean"] or 1.0)
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(float(mean))))
-    w = p.join(df, "term").select("term", "id", weight.alias("w"))
-    if part:
-        w = w.join(corpus.select("id", *part), "id")
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
+    w = p.join(df, "term").select("term", "id", *part, weight.alias("w"))
     return asked.join(w, ["term", *part]).groupBy("qid", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
 
 

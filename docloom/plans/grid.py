@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import sql_shown, sql_strip
 from docloom.operators import grid as G
-from docloom.runtime import table
+from docloom.runtime import table, written
 
 #: Words of merged header cells: the fixed ones, and the title ending of the test workbooks.
 WORDS = (*G.MERGED_HEADER_WORDS, "表")
@@ -100,12 +100,10 @@ def _frame(spark: SparkSession, d: str) -> DataFrame:
     return G.frames(G.table_blocks(_covered(spark, d)))
 
 
-def _merged(spark: SparkSession, d: str) -> DataFrame:
-    return G.header_merges(_frame(spark, d), _excel(spark, d), table(spark, d, "merges"), WORDS)
-
-
-def _heads(spark: SparkSession, d: str) -> DataFrame:
-    return G.headers(_frame(spark, d), _merged(spark, d))
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The block rows, written once as several steps read them, and the merged header cells."""
+    frame = written(_frame(spark, d), "frames")
+    return frame, G.header_merges(frame, _excel(spark, d), table(spark, d, "merges"), WORDS)
 
 
 def row_merge_cover(spark: SparkSession, d: str) -> DataFrame:
@@ -130,19 +128,20 @@ def cell_colspan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def header_merges(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark, d)
+    return _parts(spark, d)[1]
 
 
 def header_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return _heads(spark, d).select(*G.BLOCK, F.array_join("header", " | ").alias("header"))
+    return G.headers(*_parts(spark, d)).select(*G.BLOCK, F.array_join("header", " | ").alias("header"))
 
 
 def table_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return G.markdown_tables(_frame(spark, d), _heads(spark, d))
+    frame, merged = _parts(spark, d)
+    return G.markdown_tables(frame, G.headers(frame, merged))
 
 
 def table_html(spark: SparkSession, d: str) -> DataFrame:
-    return G.html_tables(_frame(spark, d), _merged(spark, d))
+    return G.html_tables(*_parts(spark, d))
 
 
 def row_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +153,8 @@ def merge_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full_table_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return G.full_tables(_frame(spark, d), _heads(spark, d), table(spark, d, "merges"))
+    frame, merged = _parts(spark, d)
+    return G.full_tables(frame, G.headers(frame, merged), table(spark, d, "merges"))
 
 
 def word_cell_spans(spark: SparkSession, d: str) -> DataFrame:
