@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import packed
-from docloom.runtime import written
+from docloom.runtime import spread, written
 
 #: Bits of one unprotected separator inside a value, of the escape to an unseen value, and of one of its characters.
 SEPARATOR_BITS, ESCAPE_BITS, CHAR_BITS = 40.0, 12.0, 6.0
@@ -103,7 +103,7 @@ def unpack(df: DataFrame, key: str, fields: list[str], marked: frozenset[str] =
     repeated rows are unpacked each; ``marked`` names fields whose values may carry a bullet or running number.
     Only ``key`` and ``fields`` are read, so other columns may have any name.
     """
-    values = long_fields(df, key, fields)
+    values = long_fields(spread(df.select(key, *fields)), key, fields)
     chosen = written(dialects(values.select("field", "value"), marked), "packed-dialects")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)

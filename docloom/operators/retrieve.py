@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import shown
-from docloom.runtime import written
+from docloom.runtime import spread, written
 
 K1, B, ALPHA = 1.2, 0.75, 0.4
 DIGITS = 6
@@ -93,7 +93,7 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, part: list[str] | None =
     """
     part = part or []
     seen = Observation()
-    cut = corpus.select("id", *part, terms(F.col("text")).alias("t")).withColumn("size", F.size("t"))
+    cut = spread(corpus.select("id", *part, "text")).select("id", *part, terms(F.col("text")).alias("t")).withColumn("size", F.size("t"))
     cut = cut.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
     asked = queries.select("qid", *part, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     wanted = written(asked.select("term").distinct(), "terms")

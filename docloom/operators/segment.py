@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import or_empty, shown, strip
+from docloom.runtime import spread
 
 # Cut marks by rank, and the reach of the search around the wanted end.
 CUT_MARKS = ("\n。！？)）!?", ";；…:：", ",，\t .")
@@ -94,7 +95,7 @@ def chunk_split(df: DataFrame, key: str, text: str, size: int = 500, overlap: in
     """(<key>, chunk_no, start_pos, end_pos, content) of every text; null and empty texts give no row."""
     FragmentConfig(size=size, overlap=overlap, least=1)
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = spread(df.select(F.col(key).alias("id"), F.col(text).alias("text")))
     out = rows.mapInArrow(_span_batches(size, overlap, None), f"id {kind}, chunk_no int, start_pos int, end_pos int, content string")
     return out.withColumnRenamed("id", key)
 
