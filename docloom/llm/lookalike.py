@@ -13,7 +13,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.runtime import written
+from docloom.runtime import spread, written
 
 # Look-alike letters of Greek and Cyrillic and the Latin letters they look like, by position.
 _GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ", "ABEZHIKMNOPTYXCjoc"
@@ -109,7 +109,7 @@ def normal_form(text: str) -> str:
 def long_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, value, coarse) of each value that shows something; nulls and blanks are left out."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
-    rows = df.select(F.col(key).alias("key"), F.explode(pairs).alias("x")).select("key", "x.field", "x.value").where("value IS NOT NULL")
+    rows = spread(df.select(key, *fields)).select(F.col(key).alias("key"), F.explode(pairs).alias("x")).select("key", "x.field", "x.value").where("value IS NOT NULL")
     rows = rows.withColumn("coarse", _coarse(F.col("value")))
     return rows.where(F.col("coarse").rlike(r"[^\s]")).withColumn("coarse", F.xxhash64("coarse"))
 

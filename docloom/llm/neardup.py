@@ -15,7 +15,7 @@ from docloom.llm import candidates as C
 from docloom.llm import shingles
 from docloom.llm.components import components
 from docloom.llm.lookalike import mapped
-from docloom.runtime import written
+from docloom.runtime import spread, written
 
 LISTS, PER_LIST, KEY_BITS = 64, 4, 16
 LIKENESS, LEAST_CHARS = 0.6, 120
@@ -35,7 +35,7 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, key: str, doc: str, text: str, least_chars: int = LEAST_CHARS, least: float = LIKENESS):
         self.least = least
         self.rows = df.where(F.length(text) >= least_chars).select(F.col(key).cast("long").alias("id"), F.col(doc).alias("doc"), F.col(text).alias("text"))
-        shown = self.rows.select("id", mapped(F.col("text")).alias("text"))
+        shown = spread(self.rows.select("id", "text")).select("id", mapped(F.col("text")).alias("text"))
         self.sigs = written(shown.mapInArrow(shingles.signature_batches(LISTS, PER_LIST, KEY_BITS), shingles.SIGNATURE), "signatures")
         self.members = self.sigs.select("id", "text_hash").distinct()
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.runtime import spread
+
 NGRAM = 8
 STATS = {
     "n_chars": "int", "word_count": "int", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double",
@@ -232,6 +234,6 @@ def text_stats(df: DataFrame, key: str, text: str, common_words: DataFrame) -> D
     ``common_words`` (word) is a short, fixed list and is read on the driver. Repeated rows give one row each.
     """
     common = frozenset(r[0].lower() for r in common_words.where("word IS NOT NULL").select("word").distinct().collect())
-    rows = df.where(F.col(text).rlike(r"[^\s\p{Z}]")).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = spread(df.where(F.col(text).rlike(r"[^\s\p{Z}]")).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")))
     schema = "id long, " + ", ".join(f"{k} {v}" for k, v in STATS.items()) + ", doc_kind string"
     return rows.mapInArrow(_stat_batches(common), schema).withColumnRenamed("id", key)

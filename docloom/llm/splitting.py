@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.runtime import spread
+
 LIMIT, OVERLAP = 500, 50
 LEVELS = ("section", "paragraph", "sentence", "clause", "word", "character")
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
@@ -129,7 +131,7 @@ def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int
     Null, empty and shorter texts need no cut and give no row; a repeated row is cut each time. ``forced`` is 1 for a
     piece that ends inside a stretch without any blank, line break or punctuation mark.
     """
-    rows = df.where(F.length(text) > limit).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = spread(df.where(F.length(text) > limit).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")))
     return rows.mapInArrow(_split_batches(limit, overlap, with_text), PIECES)
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.runtime import spread
+
 #: A ranks file of byte pairs (tiktoken form), and the pattern that cuts text before merging.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -52,6 +54,6 @@ def _count_batches(path: str):
 
 def sized(df: DataFrame, keep: list[str], text: str, path: str = VOCABULARY) -> DataFrame:
     """The ``keep`` columns and n_tokens; a null or empty text has 0 tokens."""
-    rows = df.select(*keep, F.col(text).alias("_text"))
+    rows = spread(df.select(*keep, F.col(text).alias("_text")))
     schema = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in keep)
     return rows.mapInArrow(_count_batches(path), f"{schema}, n_tokens long")
