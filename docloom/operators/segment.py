@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import or_empty, shown, strip
-from docloom.runtime import spread
+from docloom.runtime import numbered, spread
 
 # Cut marks by rank, and the reach of the search around the wanted end.
 CUT_MARKS = ("\n。！？)）!?", ";；…:：", ",，\t .")
@@ -116,7 +116,7 @@ def body_paragraphs(blocks: DataFrame) -> DataFrame:
     """(doc_id, block_pos, paragraph_index, content) of the non-blank paragraphs of Word bodies; repeated rows count once."""
     rows = blocks.where("kind = 'paragraph'").where(shown(F.col("text"))).select("doc_id", "block_pos", F.col("text").alias("content"))
     rows = rows.groupBy("doc_id", "block_pos").agg(F.min("content").alias("content"))
-    return rows.withColumn("paragraph_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_pos")))
+    return numbered(rows, ["doc_id"], "block_pos", [], "paragraph_index")
 
 
 def lookup_paragraph(paras: DataFrame, asked: DataFrame) -> DataFrame:
@@ -156,11 +156,12 @@ def with_fragments(chunks: DataFrame, config: FragmentConfig = FragmentConfig())
     cut = fragments(chunks, config).select("obj_id", "fragment_index", "total_fragments", F.col("content").alias("piece"))
     base = chunks.select("doc_id", "seq", "obj_id", "paragraph_index", "chunk_type", "content", F.coalesce("is_fragment", F.lit(False)).alias("was"))
     x = base.join(cut, "obj_id", "left")
-    place = Window.partitionBy("doc_id").orderBy("seq", "obj_id", "fragment_index")
-    return x.select(
+    x = x.select(
         "doc_id", "seq", "obj_id", "paragraph_index", "chunk_type", (F.col("was") | F.col("piece").isNotNull()).alias("is_fragment"),
-        "fragment_index", "total_fragments", F.coalesce("piece", "content").alias("content"), F.row_number().over(place).alias("position"),
-    ).withColumn("chunk_id", F.concat_ws("_", "doc_id", "position"))
+        "fragment_index", "total_fragments", F.coalesce("piece", "content").alias("content"),
+    )
+    x = numbered(x, ["doc_id"], "seq", ["obj_id", "fragment_index"], "position")
+    return x.withColumn("chunk_id", F.concat_ws("_", "doc_id", "position"))
 
 
 def position_map(expanded: DataFrame) -> DataFrame:

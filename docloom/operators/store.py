@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,9 +84,10 @@ def split_values(c) -> Column:
 
 
 def latest(chunks: DataFrame, by: str = "stored_at") -> DataFrame:
-    """One row per (kb_id, chunk_id): the one stored last, then the one of the greatest obj_id."""
-    w = Window.partitionBy("kb_id", "chunk_id").orderBy(F.col(by).desc_nulls_last(), F.col("obj_id").desc())
-    return chunks.withColumn("__docloom_n", F.row_number().over(w)).where("__docloom_n = 1").drop("__docloom_n")
+    """One row per (kb_id, chunk_id): the one stored last, then the one of the greatest obj_id. Copies are thinned out before the shuffle."""
+    best = F.max_by(F.struct(*[F.col(c) for c in chunks.columns]), F.struct(by, "obj_id")).alias("__docloom_best")
+    kept = chunks.groupBy(F.col("kb_id").alias("__docloom_kb"), F.col("chunk_id").alias("__docloom_id")).agg(best)
+    return kept.select("__docloom_best.*")
 
 
 def upsert(base: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("kb_id", "doc_id")) -> DataFrame:
