@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from docloom.runtime import spread, written
 
+#: Up to so many characters of differing values are broadcast to be joined back; beyond, they are joined by shuffle.
+BROADCAST_CHARS = 16_000_000
 # Look-alike letters of Greek and Cyrillic and the Latin letters they look like, by position.
 _GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ", "ABEZHIKMNOPTYXCjoc"
 _CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеорсухѕіјһԁԛԝӏ", "ABESIJKMHOPCTYXYGQWaeopcyxsijhdqwl"
@@ -150,7 +152,10 @@ def canonical(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     row each; ties between members go to the least string. Other columns of ``df`` aren't read.
     """
     rows = long_values(df, key, fields)
-    variants = _variants(_suspects(rows)).where("canonical <> value").select("field", "value", "canonical")
+    variants = written(_variants(_suspects(rows)).where("canonical <> value").select("field", "value", "canonical"), "lookalike-variants")
+    size = variants.agg(F.sum(F.length("value") + F.length("canonical"))).first()[0] or 0
+    if size <= BROADCAST_CHARS:  # else all texts are shuffled once
+        variants = F.broadcast(variants)
     out = rows.join(variants, ["field", "value"], "left").select("key", "field", F.coalesce("canonical", "value").alias("canonical"))
     return out.withColumnRenamed("key", key)
 
