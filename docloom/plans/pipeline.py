@@ -10,6 +10,7 @@ from docloom.operators import enrich as E
 from docloom.operators import grid as G
 from docloom.operators import segment as S
 from docloom.operators.store import Store
+from docloom.pipeline import ask
 from docloom.runtime import scratch_path, table, written
 from docloom.sources import ooxml as X
 from docloom.streaming import ingest as I
@@ -107,9 +108,14 @@ def document_pipeline(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def ask_all(spark: SparkSession, d: str) -> DataFrame:
+    """All questions against all chunks: retrieval, context and the offline provider's answer."""
+    return ask(table(spark, d, "questions"), table(spark, d, "chunk"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (docx_roundtrip, xlsx_roundtrip, xlsx_merges_roundtrip, format_dispatch, store_roundtrip, stream_window_counts, document_pipeline)
+    for f in (docx_roundtrip, xlsx_roundtrip, xlsx_merges_roundtrip, format_dispatch, store_roundtrip, stream_window_counts, document_pipeline, ask_all)
 }
 SQL = {
     "docx_roundtrip": """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_pos)::INT AS n, kind, CASE WHEN kind = 'paragraph' THEN text ELSE '' END AS text FROM (

@@ -6,8 +6,10 @@ read gives one row in the error table and nothing else.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -50,7 +52,10 @@ def doc_id(path) -> F.Column:
 
 
 def files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, content, doc_id) of a folder's files; a folder without a match gives an empty table."""
+    """(path, content, doc_id) of a folder's files; a missing folder, or one without a match, gives an empty table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], "path string, content binary, doc_id string")
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path", "content", doc_id("path").alias("doc_id"))
 
 
@@ -239,6 +244,48 @@ def read_excel(binary: DataFrame) -> Parsed:
     return Parsed(binary.select("doc_id", "content").mapInArrow(_parse_batches("excel"), _ROW))
 
 
+def media(binary: DataFrame) -> DataFrame:
+    """(doc_id, rel_id, content) of the pictures in Word files, by relation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        rels = ET.fromstring(z.read("word/_rels/document.xml.rels")).findall(f"{_PR}Relationship")
+                        out += [(doc, r.get("Id"), z.read("word/" + r.get("Target"))) for r in rels if (r.get("Target") or "").startswith("media/")]
+                except (zipfile.BadZipFile, KeyError, ET.ParseError):
+                    continue  # the error table names the file
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.string(), pa.binary()))], names=["doc_id", "rel_id", "content"])
+
+    return binary.select("doc_id", "content").mapInArrow(run, "doc_id string, rel_id string, content binary")
+
+
+def save_media(pictures: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, rel_id, path): each picture under a name from its content, in a folder that all executors share; written twice
+    it is the same file, so a repeated task does no harm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pathlib import Path
+
+        root = Path(folder.removeprefix("file://"))
+        root.mkdir(parents=True, exist_ok=True)
+        for b in batches:
+            paths = []
+            for data in b.column(2).to_pylist():
+                kind = "png" if data[:4] == b"\x89PNG" else "gif" if data[:3] == b"GIF" else "jpg"
+                path = root / f"{hashlib.sha256(data).hexdigest()}.{kind}"
+                part = path.with_suffix(f".{uuid.uuid4().hex}")
+                part.write_bytes(data)
+                part.replace(path)
+                paths.append(str(path))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(paths, pa.string())], names=["doc_id", "rel_id", "path"])
+
+    return pictures.select("doc_id", "rel_id", "content").mapInArrow(run, "doc_id string, rel_id string, path string")
+
+
 # Writing
 
 

@@ -54,6 +54,20 @@ def test_files(spark, tmp_path, as_rows):
     assert [r[0] for r in kinds.select(X.document_kind(F.col("p"))).collect()] == ["word", "excel", "unsupported", "unsupported"]
 
 
+def test_media(spark, tmp_path, as_rows):
+    base = X.write_docx([("p", ["rId1"])])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(base)) as a, zipfile.ZipFile(out, "w") as b:
+        b.writestr("word/document.xml", a.read("word/document.xml"))
+        b.writestr("word/media/i.png", b"\x89PNG123")
+        rel = '<Relationship Id="rId1" Target="media/i.png"/><Relationship Id="rId2" Target="styles.xml"/>'
+        b.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rel}</Relationships>')
+    df = spark.createDataFrame([("a.docx", bytearray(out.getvalue())), ("b.docx", bytearray(b"bad"))], "doc_id string, content binary")
+    got = X.save_media(X.media(df), f"file://{tmp_path}/img").collect()
+    assert [(r.doc_id, r.rel_id) for r in got] == [("a.docx", "rId1")] and open(got[0].path, "rb").read() == b"\x89PNG123" and got[0].path.endswith(".png")
+    assert X.files(spark, f"file://{tmp_path}/missing").count() == 0
+
+
 def test_config(tmp_path):
     f = tmp_path / "c.json"
     f.write_text('{"chunker": {"size": 7}, "key": "${A}-${NONE}", "l": ["${A}"]}')
