@@ -102,12 +102,12 @@ def _shown_sql(c: str) -> str:
     return f"nfc_normalize(translate({c}, {_quoted(''.join(keep + drop))}, {_quoted(''.join(m[k] for k in keep))}))"
 
 
-_LIKE = f"""t AS (SELECT obj_id, doc_id, regexp_replace({_shown_sql("content")}, '[\s\p{{Z}}\x0b\x1c-\x1f\x85]+', '', 'g') AS x FROM chunk WHERE chunk_type = 'text' AND length(content) >= 120),
+_LIKE = rf"""t AS (SELECT obj_id, doc_id, regexp_replace({_shown_sql("content")}, '[\s\p{{Z}}\x0b\x1c-\x1f\x85]+', '', 'g') AS x FROM chunk WHERE chunk_type = 'text' AND length(content) >= 120),
   g AS (SELECT obj_id, doc_id, unnest(list_distinct(list_transform(range(1, length(x) - 3), lambda i: substr(x, i::BIGINT, 5)))) AS run FROM t WHERE length(x) >= 5),
   n AS (SELECT obj_id, count(*) AS n FROM g GROUP BY obj_id),
   o AS (SELECT a.obj_id AS obj_a, b.obj_id AS obj_b, count(*) AS both_n FROM g a JOIN g b ON a.run = b.run AND a.obj_id < b.obj_id AND a.doc_id IS DISTINCT FROM b.doc_id GROUP BY a.obj_id, b.obj_id)"""
 SQL = {
-    "p1_found": f"""WITH v AS (SELECT obj_id, 'content' AS field, content AS value FROM chunk UNION ALL SELECT obj_id, 'keywords', keywords FROM chunk),
+    "p1_found": rf"""WITH v AS (SELECT obj_id, 'content' AS field, content AS value FROM chunk UNION ALL SELECT obj_id, 'keywords', keywords FROM chunk),
       s AS (SELECT *, {_shown_sql("value")} AS shown FROM v WHERE value IS NOT NULL)
       SELECT DISTINCT a.field, a.obj_id AS obj_a, b.obj_id AS obj_b FROM s a JOIN s b ON a.field = b.field AND a.shown = b.shown AND a.value <> b.value AND a.obj_id < b.obj_id
       WHERE length(regexp_replace(a.shown, '[\s\p{{Z}}\x0b\x85]+', '', 'g')) > 0""",
