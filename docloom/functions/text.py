@@ -15,7 +15,7 @@ def strip(c) -> Column:
 
 def shown(c) -> Column:
     """True where the text holds more than blanks; null and empty texts are false."""
-    return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
+    return F.coalesce(F.regexp_like(c, F.lit(r"[^\s\p{Z}]")), F.lit(False))
 
 
 def or_empty(c) -> Column:

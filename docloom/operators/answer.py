@@ -47,7 +47,8 @@ def source_tag() -> Column:
 def tagged(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """``hits`` with source: the tagged text, from the chunk's row (the one of the least obj_id of a chunk id)."""
     fields = ["doc_id", "table_id", "row_no", "paragraph_index", "description", "keywords"]
-    one = chunks.groupBy("chunk_id").agg(F.min_by(F.struct(*fields), "obj_id").alias("m")).select("chunk_id", *[f"m.{f}" for f in fields])
+    asked = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    one = asked.groupBy("chunk_id").agg(F.min_by(F.struct(*fields), "obj_id").alias("m")).select("chunk_id", *[f"m.{f}" for f in fields])
     return hits.join(one, "chunk_id", "left").withColumn("source", source_tag())
 
 

@@ -106,7 +106,8 @@ def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
     Lines of one text stay in its row until they are exploded, so nothing is shuffled. Texts without a line give no row.
     """
     lines = F.filter(F.split(F.col(text), "\n"), shown)
-    rows = df.select(F.col(key), lines.alias("lines")).select(key, "lines", F.posexplode("lines").alias("i", "content"))
+    # the outer form keeps the optimizer from adding a filter that would cut the text into lines again
+    rows = df.select(F.col(key), lines.alias("lines")).select(key, "lines", F.posexplode_outer("lines").alias("i", "content")).where("content IS NOT NULL")
     near = [or_empty(F.get("lines", F.col("i") + step)) for step in (-1, 1)]
     context = F.concat(F.lit("上一段："), F.when(F.col("i") > 0, near[0]).otherwise(""), F.lit("。下一段："), near[1])
     return rows.select(key, (F.col("i") + 1).alias("paragraph_index"), "content", context.alias("context"))

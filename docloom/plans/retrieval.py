@@ -32,7 +32,7 @@ def collection_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return S.latest(_chunk(spark, d)).select("kb_id", "chunk_id", "obj_id")
+    return S.latest(_chunk(spark, d).select("kb_id", "chunk_id", "obj_id", "stored_at")).drop("stored_at")
 
 
 def upsert_replace(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,10 @@ def question_outcome(spark: SparkSession, d: str) -> DataFrame:
 
 
 def formatted_hits(spark: SparkSession, d: str) -> DataFrame:
-    x = R.formatted(table(spark, d, "hits"), S.latest(_chunk(spark, d)).dropDuplicates(["chunk_id"]))
+    fields = ["kb_id", "chunk_id", "obj_id", "stored_at", "doc_id", "description", "keywords", "parent_id", "sheet", "table_id", "row_no", "header", "paragraph_index"]
+    hits = table(spark, d, "hits")
+    asked = _chunk(spark, d).select(*fields).join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    x = R.formatted(hits, S.latest(asked).dropDuplicates(["chunk_id"]))
     return x.withColumn("metadata", F.get_json_object("metadata", "$.doc_id"))
 
 
