@@ -1,30 +1,24 @@
 """Problem 2: groups of near-duplicate texts in a collection too large for pairwise comparison.
 
-Sets of distinct five-character runs are joined by likeness. Equal sets come first: a copy's answers are its leader's,
-so only leaders enter the lists. A list holds the leaders that share four MinHash values; 64 lists per set find a
-likeness of 0.6 with probability 0.9998 and more above. In a list, partners are skipped by set size and by a 128-bit
-sketch before anything is shuffled; survivors are checked by the whole sketch, then exactly.
+Sets of distinct five-character runs are joined by likeness, by way of relations between sets. Equal sets come first: a
+copy's answers are its leader's, so only leaders enter the index. The index is made of inverted lists whose blocks are
+skipped by position and size (``setjoin``); what may still be a link is checked exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import candidates as C
-from docloom.llm import shingles
+from docloom.llm import setjoin, shingles
 from docloom.llm.components import components
 from docloom.llm.lookalike import mapped
 from docloom.runtime import spread, written
 
-LISTS, PER_LIST, KEY_BITS = 64, 4, 16
 LIKENESS, LEAST_CHARS = 0.6, 120
 
 
-def _key(place: Column, packed: Column) -> Column:
-    return F.xxhash64(place, packed)
-
-
 class NearDuplicates:
     """The join of one table: members (id, doc, text_hash), leaders and links between leaders of different texts.
 
@@ -36,25 +30,20 @@ class NearDuplicates:
         self.least = least
         self.rows = df.where(F.length(text) >= least_chars).select(F.col(key).cast("long").alias("id"), F.col(doc).alias("doc"), F.col(text).alias("text"))
         shown = spread(self.rows.select("id", "text")).select("id", mapped(F.col("text")).alias("text"))
-        self.sigs = written(shown.mapInArrow(shingles.signature_batches(LISTS, PER_LIST, KEY_BITS), shingles.SIGNATURE), "signatures")
-        self.members = self.sigs.select("id", "text_hash").distinct()
+        self.texts = written(shown.mapInArrow(shingles.bare_batches, shingles.BARE), "bare")
+        self.members = self.texts.select("id", "text_hash").distinct()
 
     def leaders(self) -> DataFrame:
-        """The signatures of one row per text: that of the least id."""
+        """(id, text) of one row per text: that of the least id."""
         copies = self.members.groupBy("text_hash").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
         followers = written(self.members.join(copies, "text_hash").where("id <> leader").select("id"), "followers")
-        return self.sigs.join(C.checked(followers), "id", "left_anti")
+        return self.texts.select("id", "text").join(C.checked(followers), "id", "left_anti")
 
     def links(self) -> DataFrame:
         """(a, b, likeness), a < b: the links between leaders, written once."""
-        lead = self.leaders()
-        lists = lead.select(F.posexplode("keys").alias("place", "packed"), "id", "size", "s0", "s1")
-        lists = lists.select(_key(F.col("place"), F.col("packed")).alias("key"), "id", "size", "s0", "s1")
-        pairs = C.candidate_pairs(lists, lists, self.least, same=True)
-        sketches = self.sigs.select("id", "s0", "s1", "s2", "s3").distinct()
-        likely = C.likely_pairs(pairs, sketches, sketches, self.least)
-        texts = self.rows.select("id", mapped(F.col("text")).alias("text"))
-        return written(C.verified(likely, texts, texts, self.least), "links")
+        pairs = setjoin.candidate_links(self.leaders(), self.least)
+        texts = self.texts.select("id", "text")
+        return written(C.verified(pairs, texts, texts, self.least).dropDuplicates(["a", "b"]), "links")
 
     def pairs(self) -> DataFrame:
         """(obj_a, obj_b), obj_a < obj_b: all rows of different documents whose likeness reaches the threshold."""
