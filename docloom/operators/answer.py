@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import or_empty, shown
 
+# The wording of source tags.
+TAGS = {"source": "[来源: ", "table": ", 表格: ", "row": ", 表格行: ", "paragraph": ", 段落: ", "description": "描述", "keywords": "关键词"}
+UNKNOWN = {"source": "未知文件", "table": "未知表格", "row": "未知行", "paragraph": "未知段落"}
 PREFIX, BUDGET, SOURCES, SHOWN = 100, 32_768, 8, 500
 
 
@@ -35,12 +38,12 @@ def source_tag() -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit(else_))
 
     place = (
-        F.when(F.col("chunk_type") == "table_full", F.concat(F.lit(", 表格: "), known("table_id", "未知表格")))
-        .when(F.col("chunk_type") == "table_row", F.concat(F.lit(", 表格行: "), known("row_no", "未知行")))
-        .otherwise(F.concat(F.lit(", 段落: "), known("paragraph_index", "未知段落")))
+        F.when(F.col("chunk_type") == "table_full", F.concat(F.lit(TAGS["table"]), known("table_id", UNKNOWN["table"])))
+        .when(F.col("chunk_type") == "table_row", F.concat(F.lit(TAGS["row"]), known("row_no", UNKNOWN["row"])))
+        .otherwise(F.concat(F.lit(TAGS["paragraph"]), known("paragraph_index", UNKNOWN["paragraph"])))
     )
-    head = F.concat(F.lit("[来源: "), known("doc_id", "未知文件"), place, F.lit("]"))
-    about = [F.when(F.length(c) > 0, F.concat(F.lit(f"{label}: "), c)) for label, c in (("描述", F.col("description")), ("关键词", F.col("keywords")))]
+    head = F.concat(F.lit(TAGS["source"]), known("doc_id", UNKNOWN["source"]), place, F.lit("]"))
+    about = [F.when(F.length(c) > 0, F.concat(F.lit(f"{label}: "), c)) for label, c in ((TAGS["description"], F.col("description")), (TAGS["keywords"], F.col("keywords")))]
     return F.concat_ws("\n", head, *about, or_empty(F.col("content")))
 
 

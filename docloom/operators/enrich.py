@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import or_empty, strip
 
+# The wording of an image's embedding text.
+LABELS = {"description": "图片描述：", "keywords": "关键词：", "queries": "搜索意图：", "file": "图片文件：", "nothing": "图片内容"}
 ROLES = {
     "text": "你负责概括文本段落。", "text_fragment": "你负责概括段落的一个分片。", "table_full": "你负责概括整张表格。", "table_row": "你负责结合表头概括表格的一行。", "image": "你负责结合上下文概括图片。",
 }
@@ -124,9 +126,9 @@ def embedding_text(queries: Column | None = None) -> Column:
     asked = queries if queries is not None else F.array().cast("array<string>")
     clean = F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(asked, F.array().cast("array<string>")), strip), lambda q: q != "")), 1, 5)
     image = F.concat_ws(
-        "\n", F.concat(F.lit("图片描述："), desc), F.concat(F.lit("关键词："), words), F.when(F.size(clean) > 0, F.concat(F.lit("搜索意图："), F.array_join(clean, "; ")))
+        "\n", F.concat(F.lit(LABELS["description"]), desc), F.concat(F.lit(LABELS["keywords"]), words), F.when(F.size(clean) > 0, F.concat(F.lit(LABELS["queries"]), F.array_join(clean, "; ")))
     )
-    name = F.when(F.length("original_filename") > 0, F.concat(F.lit("图片文件："), F.col("original_filename"))).otherwise("图片内容")
+    name = F.when(F.length("original_filename") > 0, F.concat(F.lit(LABELS["file"]), F.col("original_filename"))).otherwise(LABELS["nothing"])
     table = F.concat_ws("\n", desc, words)
     return (
         F.when(F.col("chunk_type") == "image", F.when(image != "", image).otherwise(name))

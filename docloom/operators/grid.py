@@ -17,6 +17,9 @@ MOST_HEADER_ROWS = 3
 # Words that mark a merged header cell, and words that mark a header row.
 MERGED_HEADER_WORDS = ("营业总收入", "净利润", "每股收益", "净资产", "现金流量")
 HEADER_WORDS = ("年度", "年份", "学校", "名称", "情况", "人数", "合计", "备注")
+# The wording of context and table information.
+ROW_BEFORE, ROW_AFTER = "上一行：", "。下一行："
+HEADER_IS, MERGES_ARE = "表头: ", " 合并单元格: "
 NUMERIC = r"^\s*((\d+\.?\d*|\.\d+)([eE]\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 
 
@@ -169,7 +172,7 @@ def row_chunks(frame: DataFrame) -> DataFrame:
     w = Window.partitionBy(*BLOCK).orderBy("i")
     x = frame.withColumn("plain", plain).withColumn("prev", F.lag("plain").over(w)).withColumn("next", F.lead("plain").over(w))
     prev = F.when(F.col("i") > F.col("header_rows"), F.col("prev"))
-    context = F.concat(F.lit("上一行："), or_empty(prev), F.lit("。下一行："), or_empty(F.col("next")))
+    context = F.concat(F.lit(ROW_BEFORE), or_empty(prev), F.lit(ROW_AFTER), or_empty(F.col("next")))
     row_no = (F.col("start_row") + F.col("i") + 1).cast("int")
     return x.where("i >= header_rows").select(*BLOCK, row_no.alias("row_no"), markdown_row("vals").alias("content"), html_row("vals").alias("html"), context.alias("context"))
 
@@ -190,10 +193,10 @@ def full_tables(frame: DataFrame, heads: DataFrame, merges: DataFrame) -> DataFr
     one = frame.groupBy(*BLOCK).agg(F.min("start_row").alias("start_row"), F.max("end_row").alias("end_row"), F.max("header_rows").alias("header_rows"))
     x = same_table(same_table(one, heads, BLOCK), markdown_tables(frame, heads), BLOCK)
     x = same_table(x, merge_list(merges), ["doc_id", "sheet"], "left")
-    info = F.concat(F.lit("表头: "), F.to_json("header"), F.lit(" 合并单元格: "), F.coalesce("merged_cells", F.lit("[]")))
+    info = F.concat(F.lit(HEADER_IS), F.to_json("header"), F.lit(MERGES_ARE), F.coalesce("merged_cells", F.lit("[]")))
     return x.select(
         *BLOCK, F.concat_ws("_table_", "sheet", "block_no").alias("chunk_table_id"), "start_row", "end_row", "header_rows", F.array_join("header", ", ").alias("header"),
-        F.col("markdown").alias("content"), F.lit("上一行：。下一行：").alias("context"), info.alias("parent_table_info"),
+        F.col("markdown").alias("content"), F.lit(ROW_BEFORE + ROW_AFTER).alias("context"), info.alias("parent_table_info"),
     )
 
 

@@ -8,7 +8,11 @@ from pyspark.sql import types as T
 
 from docloom.functions.text import or_empty, shown, strip
 
+# The wording of image context, and the record of a failed analysis.
 NO_TITLE = "未知文档"
+CONTEXT_LABELS = (("title", "文档标题："), ("preceding", "前文："), ("following", "后文："), ("position", "图片位置："))
+PLACE = "第", "个内容块"
+FALLBACK = {"description": "图片分析失败，无法获取详细信息", "keywords": ("图片", "分析失败"), "image_type": "unknown", "context_relation": "无法确定与文档的关系"}
 ANALYSIS = T.StructType(
     [
         T.StructField("description", T.StringType()), T.StructField("keywords", T.ArrayType(T.StringType())), T.StructField("image_type", T.StringType()),
@@ -67,8 +71,8 @@ def image_context(chunks: DataFrame, window: int = 2) -> DataFrame:
         "doc_id", "obj_id", "chunk_type", F.array_join(F.collect_list(text).over(order.rowsBetween(-window, -1)), " ").alias("preceding"),
         F.array_join(F.collect_list(text).over(order.rowsBetween(1, window)), " ").alias("following"), F.row_number().over(order).alias("n"),
     ).where("chunk_type = 'image'")
-    x = x.join(doc_titles(chunks), "doc_id").withColumn("position", F.concat(F.lit("第"), F.col("n"), F.lit("个内容块")))
-    parts = [F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c))) for c, label in (("title", "文档标题："), ("preceding", "前文："), ("following", "后文："), ("position", "图片位置："))]
+    x = x.join(doc_titles(chunks), "doc_id").withColumn("position", F.concat(F.lit(PLACE[0]), F.col("n"), F.lit(PLACE[1])))
+    parts = [F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c))) for c, label in CONTEXT_LABELS]
     return x.select("doc_id", "obj_id", "preceding", "following", "title", "position", F.concat_ws("，", *parts).alias("context"))
 
 
@@ -84,11 +88,10 @@ def checked_analysis(record: Column) -> Column:
 
 
 def fallback_analysis() -> Column:
-    words = {"description": "图片分析失败，无法获取详细信息", "image_type": "unknown", "context_relation": "无法确定与文档的关系"}  # fixed values
     none = F.array().cast("array<string>")
     return F.struct(
-        F.lit(words["description"]).alias("description"), F.array(F.lit("图片"), F.lit("分析失败")).alias("keywords"), F.lit(words["image_type"]).alias("image_type"),
-        F.lit(words["context_relation"]).alias("context_relation"), none.alias("key_information"), none.alias("searchable_queries"),
+        F.lit(FALLBACK["description"]).alias("description"), F.array(*map(F.lit, FALLBACK["keywords"])).alias("keywords"), F.lit(FALLBACK["image_type"]).alias("image_type"),
+        F.lit(FALLBACK["context_relation"]).alias("context_relation"), none.alias("key_information"), none.alias("searchable_queries"),
     )
 
 

@@ -16,6 +16,9 @@ from docloom.runtime import numbered, spread
 # Cut marks by rank, and the reach of the search around the wanted end.
 CUT_MARKS = ("\n。！？)）!?", ";；…:：", ",，\t .")
 REACH = 100
+# The wording of context.
+BEFORE, AFTER = "上一段：", "。下一段："
+PIECE, PIECE_OF, OTHERS = "分片", " 段落分片 ", "同段落其他分片: "
 
 
 @dataclass(frozen=True)
@@ -109,7 +112,7 @@ def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
     # the outer form keeps the optimizer from adding a filter that would cut the text into lines again
     rows = df.select(F.col(key), lines.alias("lines")).select(key, "lines", F.posexplode_outer("lines").alias("i", "content")).where("content IS NOT NULL")
     near = [or_empty(F.get("lines", F.col("i") + step)) for step in (-1, 1)]
-    context = F.concat(F.lit("上一段："), F.when(F.col("i") > 0, near[0]).otherwise(""), F.lit("。下一段："), near[1])
+    context = F.concat(F.lit(BEFORE), F.when(F.col("i") > 0, near[0]).otherwise(""), F.lit(AFTER), near[1])
     return rows.select(key, (F.col("i") + 1).alias("paragraph_index"), "content", context.alias("context"))
 
 
@@ -177,12 +180,12 @@ def sibling_context(cut: DataFrame) -> DataFrame:
     The original paragraph is gone by then, so its own context is empty and the text starts with a blank.
     """
     own = Window.partitionBy("obj_id")
-    about = F.struct("fragment_index", F.concat(F.lit("分片"), F.col("fragment_index"), F.lit(": "), F.substring("content", 1, 50), F.lit("...")).alias("t"))
+    about = F.struct("fragment_index", F.concat(F.lit(PIECE), F.col("fragment_index"), F.lit(": "), F.substring("content", 1, 50), F.lit("...")).alias("t"))
     x = cut.select("obj_id", "fragment_index", "total_fragments", F.array_sort(F.collect_list(about).over(own)).alias("all"))
     others = F.filter("all", lambda s: s["fragment_index"] != F.col("fragment_index"))
     named = F.array_join(F.transform(others, lambda s: s["t"]), "; ")
-    head = F.concat(F.lit(" 段落分片 "), F.col("fragment_index"), F.lit("/"), F.col("total_fragments"), F.lit(" "))
-    return x.select("obj_id", "fragment_index", F.concat(head, F.when(F.size(others) > 0, F.concat(F.lit("同段落其他分片: "), named)).otherwise("")).alias("context"))
+    head = F.concat(F.lit(PIECE_OF), F.col("fragment_index"), F.lit("/"), F.col("total_fragments"), F.lit(" "))
+    return x.select("obj_id", "fragment_index", F.concat(head, F.when(F.size(others) > 0, F.concat(F.lit(OTHERS), named)).otherwise("")).alias("context"))
 
 
 def fragment_stats(expanded: DataFrame) -> DataFrame:
@@ -205,7 +208,7 @@ def table_neighbours(blocks: DataFrame) -> DataFrame:
         "doc_id", "block_pos", "kind", "table_no", F.sum(is_para.cast("int")).over(back).alias("before"),
         F.last(para, ignorenulls=True).over(back).alias("preceding"), F.first(para, ignorenulls=True).over(ahead).alias("following"),
     ).where("kind = 'table'")
-    context = F.concat(F.lit("上一段："), or_empty(F.col("preceding")), F.lit("。下一段："), or_empty(F.col("following")))
+    context = F.concat(F.lit(BEFORE), or_empty(F.col("preceding")), F.lit(AFTER), or_empty(F.col("following")))
     return x.select(
         "doc_id", "block_pos", "table_no", F.when(F.col("before") > 0, F.col("before")).alias("preceding_index"),
         F.when(F.col("following").isNotNull(), F.col("before") + 1).alias("following_index"), "preceding", "following", context.alias("context"),
@@ -215,10 +218,10 @@ def table_neighbours(blocks: DataFrame) -> DataFrame:
 def table_fragment_context(tables: DataFrame, paras: DataFrame, config: FragmentConfig = FragmentConfig()) -> DataFrame:
     """(doc_id, block_pos, context): table context with a long neighbouring paragraph given by its numbered fragments."""
     ids = paras.withColumn("obj_id", F.xxhash64("doc_id", "paragraph_index")).withColumn("chunk_type", F.lit("text")).withColumn("is_fragment", F.lit(False))
-    piece = F.struct("fragment_index", F.concat(F.lit("[分片"), F.col("fragment_index"), F.lit("] "), F.col("content")).alias("t"))
+    piece = F.struct("fragment_index", F.concat(F.lit(f"[{PIECE}"), F.col("fragment_index"), F.lit("] "), F.col("content")).alias("t"))
     whole = fragments(ids, config).groupBy("obj_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["t"]), " ").alias("joined"))
     texts = ids.join(whole, "obj_id", "left").select("doc_id", "paragraph_index", F.coalesce("joined", "content").alias("t"))
     pre = texts.select("doc_id", F.col("paragraph_index").alias("preceding_index"), F.col("t").alias("pre"))
     post = texts.select("doc_id", F.col("paragraph_index").alias("following_index"), F.col("t").alias("post"))
     x = tables.select("doc_id", "block_pos", "preceding_index", "following_index").join(pre, ["doc_id", "preceding_index"], "left").join(post, ["doc_id", "following_index"], "left")
-    return x.select("doc_id", "block_pos", F.concat(F.lit("上一段："), or_empty(F.col("pre")), F.lit("。下一段："), or_empty(F.col("post"))).alias("context"))
+    return x.select("doc_id", "block_pos", F.concat(F.lit(BEFORE), or_empty(F.col("pre")), F.lit(AFTER), or_empty(F.col("post"))).alias("context"))

@@ -67,7 +67,7 @@ def word_chunks(parsed: X.Parsed, config: Config = Config()) -> DataFrame:
     nxt = order.select("doc_id", (F.col("paragraph_index") - 1).alias("paragraph_index"), F.col("content").alias("n"))
     around = order.join(prev, ["doc_id", "paragraph_index"], "left").join(nxt, ["doc_id", "paragraph_index"], "left")
     empty = F.lit("")
-    context = F.concat(F.lit("上一段："), F.coalesce("p", empty), F.lit("。下一段："), F.coalesce("n", empty))
+    context = F.concat(F.lit(S.BEFORE), F.coalesce("p", empty), F.lit(S.AFTER), F.coalesce("n", empty))
     texts = around.select("doc_id", F.col("block_pos").alias("place"), F.lit(0).alias("part"), F.lit("text").alias("chunk_type"), "content", context.alias("context"), "paragraph_index")
 
     votes = G.header_votes(cells)
