@@ -97,7 +97,11 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, part: list[str] | None =
     cut = cut.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
     asked = queries.select("qid", *part, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     wanted = written(asked.select("term").distinct(), "terms")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    many = wanted.count()
+    if many == 0 or corpus.isEmpty():  # nothing would be observed
+        kinds = (queries.schema["qid"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString())
+        return corpus.sparkSession.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, score double")
+    wanted = F.broadcast(wanted) if many <= BROADCAST_TERMS else wanted
     p = cut.select("id", *part, "size", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
     p = written(p.groupBy("id", *part, "size", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     n, mean = seen.get["n"], float(seen.get["mean"] or 1.0)

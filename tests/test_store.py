@@ -65,6 +65,14 @@ def test_vector_search_is_exact(spark):
     assert R.vector_search(q, df, 7, most=0.1).count() < 21 and R.vector_search(q.limit(0), df).count() == 0
 
 
+def test_keyword_search(spark, as_rows):
+    corpus = spark.createDataFrame([(1, "flow cost 合同期限", 1), (2, "flow flow", 1), (3, None, 1), (4, "flow", 2), (5, "", 1)], "id long, text string, kb_id int")
+    q = spark.createDataFrame([(1, "Flow?", 1), (2, "期限", 1), (3, "zzz", 1), (4, None, 1), (5, "flow", 9)], "qid long, text string, kb_id int")
+    assert as_rows(R.bm25_search(q, corpus, 5, part=["kb_id"]), "qid", "hit_rank", "id") == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
+    for a, b in ((q.limit(0), corpus), (q, corpus.limit(0)), (q.where("qid > 3 AND qid < 5"), corpus)):
+        assert R.bm25_search(a, b, 5).count() == 0
+
+
 def test_fusion(spark, as_rows):
     v = spark.createDataFrame([(1, 1, 0.2), (1, 2, 0.8)], "qid long, id long, score double")
     t = spark.createDataFrame([(1, 2, 3.0), (2, 5, 1.0)], "qid long, id long, score double")
