@@ -89,17 +89,24 @@ def parse(text: str, dialect: str = "plain", marks: bool = False) -> list[str] |
 
     ``marks``: also take off a bullet or running number in front of a value, outside quotes.
     """
+    got = parse_quoted(text, dialect, marks)
+    return None if got is None else [item for item, _ in got]
+
+
+def parse_quoted(text: str, dialect: str, marks: bool) -> list[tuple[str, bool]] | None:
+    """``parse`` with whether each value stood in quotes."""
     if dialect == "list":
-        return parse_list(text)
+        got = parse_list(text)
+        return None if got is None else [(x, True) for x in got]
     if dialect == "whole":
-        return [text.strip()]
+        return [(text.strip(), False)]
     literal, out, at, n = _literal(dialect != "nonum"), [], 0, len(text)
     while True:
         start = _BLANKS_RE.match(text, at).end()
         if marks and (m := _MARK.match(text, start)):
             start = m.end()
             start = _BLANKS_RE.match(text, start).end()
-        item = None
+        item, quoted = None, True
         if dialect != "noquote" and start < n and text[start] in QUOTES and (m := _quoted(text[start]).match(text, start)):
             if m.lastindex == 1 and text[start] in '"＂':
                 item = m[1].replace(text[start] * 2, text[start])
@@ -108,14 +115,14 @@ def parse(text: str, dialect: str = "plain", marks: bool = False) -> list[str] |
             at = m.end()
         if item is None:
             m = literal.match(text, start)
-            item, at = m[0], m.end()
-        out.append(item.strip())
+            item, at, quoted = m[0], m.end(), False
+        out.append((item.strip(), quoted))
         if at >= n or not (m := _SEP_RE.match(text, at)):
             return out
         at = m.end()
 
 
-def candidates(text: str, marks: bool = False) -> list[tuple[str, list[str]]]:
+def candidates(text: str, marks: bool = False) -> list[tuple[str, list[tuple[str, bool]]]]:
     """The distinct parses of ``text``, each under its first dialect."""
     seen, out = set(), []
     for d in DIALECTS:
@@ -123,16 +130,19 @@ def candidates(text: str, marks: bool = False) -> list[tuple[str, list[str]]]:
             continue
         if d == "noquote" and not any(q in text for q in QUOTES):
             continue
-        items = parse(text, d, marks)
-        if items is not None and (key := tuple(items)) not in seen:
+        items = parse_quoted(text, d, marks)
+        if items is not None and (key := tuple(x for x, _ in items)) not in seen:
             seen.add(key)
             out.append((d, items))
     return out
 
 
-def separators_inside(item: str, dialect: str) -> int:
-    """Separators and quote marks that the item holds without protection: each is a surprise the code has to pay for."""
-    if dialect == "list":
+_PROTECTED = re.compile("|".join(_nested(*b) for b in BRACKETS) + r"|(?<![0-9A-Za-z])\d{1,3}(?:,\d{3})+(?!\d)")
+
+
+def surprises(item: str, quoted: bool) -> int:
+    """Separators that a value holds without protection by quotes, brackets or a number, and an opening quote mark that
+    begins a value outside quotes: each is something that the code has to pay for."""
+    if quoted:
         return 0
-    n = sum(1 for _ in re.finditer(_SEP, re.sub("|".join(_nested(*b) for b in BRACKETS), "", re.sub(r"(?<![0-9A-Za-z])\d{1,3}(?:,\d{3})+(?!\d)", "", item))))
-    return n
+    return sum(1 for _ in _SEP_RE.finditer(_PROTECTED.sub("", item))) + (item[:1] in QUOTES)

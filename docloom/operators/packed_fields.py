@@ -42,9 +42,9 @@ def _scored(marked: frozenset[str]):
             out: list[list] = [[] for _ in range(7)]
             for f, v, k, vh in zip(field, value, n, hashes):
                 for rank, (d, items) in enumerate(packed.candidates(v, f in marked)):
-                    for x in items:
+                    for x, quoted in items:
                         if x:
-                            row = (vh, packed.DIALECTS.index(d), rank, h(f"{f}\0{x}") - (1 << 63), len(x), packed.separators_inside(x, d), k)
+                            row = (vh, packed.DIALECTS.index(d), rank, h(f"{f}\0{x}") - (1 << 63), len(x), packed.surprises(x, quoted), k)
                             for c, y in zip(out, row):
                                 c.append(y)
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
