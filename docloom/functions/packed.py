@@ -32,7 +32,7 @@ BRACKETS = [("(（﹙", ")）﹚"), ("[［", "]］"), ("【〖", "】〗")]
 DIALECTS = ("list", "plain", "nonum", "noquote", "whole")
 
 _BLANK = r"[^\S\t\n\r\x0b\x0c\x85\u2028\u2029]"
-_SEP = rf"(?:{_BLANK}*[{re.escape(SEPARATORS)}]{_BLANK}*|{_BLANK}+[{SLASHES}](?={_BLANK}|$){_BLANK}*)"
+_SEP = rf"(?:{_BLANK}*[{re.escape(SEPARATORS)}]{_BLANK}*|{_BLANK}*(?<={_BLANK})[{SLASHES}](?={_BLANK}|$){_BLANK}*)"
 _END = rf"(?={_SEP}|{_BLANK}*$)"
 _MARK = re.compile(
     rf"{_BLANK}*(?:[•●▪■◆◦‣·○□◇➢✓*\-–—]{_BLANK}+|[•●▪■◆◦‣○□◇➢]|[①-⑳⑴-⒇⒈-⒛]{_BLANK}*"
@@ -40,10 +40,13 @@ _MARK = re.compile(
 )
 
 
-def _nested(opens: str, closes: str) -> str:
+def _nested(opens: str, closes: str, depth: int = 8) -> str:
+    """A bracketed stretch with brackets of its kind inside, ``depth`` deep."""
     o, c = re.escape(opens), re.escape(closes)
-    flat = rf"[{o}][^{o}{c}]*[{c}]"
-    return rf"[{o}](?:[^{o}{c}]|{flat})*[{c}]"
+    out = rf"[{o}][^{o}{c}]*[{c}]"
+    for _ in range(depth - 1):
+        out = rf"[{o}](?:[^{o}{c}]|{out})*[{c}]"
+    return out
 
 
 @lru_cache(maxsize=None)
@@ -58,7 +61,7 @@ def _literal(numbers: bool) -> re.Pattern:
 def _quoted(opening: str) -> re.Pattern:
     o, c = re.escape(opening), re.escape(QUOTES[opening])
     if opening in '"＂':
-        return re.compile(rf"{o}((?:[^{o}]|{o}{o})*){o}{_END}|{o}([\s\S]*?)[{c}]{_END}")
+        return re.compile(rf"{o}((?:[^{o}]|{o}{o}|{o}(?!{o}|{_END}))*){o}{_END}")
     return re.compile(rf"{o}([\s\S]*?)[{c}]{_END}")
 
 
@@ -108,10 +111,7 @@ def parse_quoted(text: str, dialect: str, marks: bool) -> list[tuple[str, bool]]
             start = _BLANKS_RE.match(text, start).end()
         item, quoted = None, True
         if dialect != "noquote" and start < n and text[start] in QUOTES and (m := _quoted(text[start]).match(text, start)):
-            if m.lastindex == 1 and text[start] in '"＂':
-                item = m[1].replace(text[start] * 2, text[start])
-            else:
-                item = m[m.lastindex]
+            item = m[1].replace(text[start] * 2, text[start]) if text[start] in '"＂' else m[1]
             at = m.end()
         if item is None:
             m = literal.match(text, start)
