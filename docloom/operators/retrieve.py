@@ -8,6 +8,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from docloom.runtime import spread, written
 K1, B, ALPHA = 1.2, 0.75, 0.4
 DIGITS = 6
 QUERY_BLOCK = 1024
+#: So many rows of the corpus are scored at once against a block of queries.
+ROW_BLOCK = 2048
 #: Up to so many query terms are broadcast; beyond, they are joined by shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -138,6 +141,123 @@ def hybrid_search(vector: DataFrame, keyword: DataFrame, k: int = 10, least: flo
     return hits if least is None else hits.where(F.col("score") >= least)
 
 
+class _Block:
+    """A block of queries (qid, vector, k, tlo, thi, and the column that must be equal) as arrays; a null vector scores no row."""
+
+    def __init__(self, rows: list, same: str | None):
+        self.qids = np.array([r["qid"] for r in rows], np.int64)
+        self.order = np.argsort(self.qids)
+        self.k = np.array([r["k"] for r in rows], np.int64)
+        self.has = np.array([r["vector"] is not None for r in rows])
+        dim = max((len(r["vector"]) for r in rows if r["vector"] is not None), default=0)
+        v = np.array([r["vector"] if r["vector"] is not None else [0.0] * dim for r in rows], np.float64).reshape(len(rows), dim)
+        size = np.linalg.norm(v, axis=1)
+        self.vectors = v / np.where(size > 0, size, 1)[:, None]
+        self.codes = {k: i for i, k in enumerate(dict.fromkeys(r[same] for r in rows if r[same] is not None))} if same else None
+        self.kinds = np.array([self.codes.get(r[same], -2) for r in rows]) if same else None
+        self.low = np.array([np.nan if r["tlo"] is None else r["tlo"] for r in rows], np.float64)
+        self.high = np.array([np.nan if r["thi"] is None else r["thi"] for r in rows], np.float64)
+
+    def cosine(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of a batch (id, vector, ...) that have a fitting vector, their score for each query, and which of them count."""
+        dim = self.vectors.shape[1]
+        fit = pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), dim), False).to_numpy(zero_copy_only=False) & (dim > 0)
+        rows = np.flatnonzero(fit)
+        v = b.column(1).take(pa.array(rows, pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+        size = np.linalg.norm(v, axis=1)
+        score = np.round(self.vectors @ (v / np.where(size > 0, size, 1)[:, None]).T, DIGITS) + 0.0
+        may = np.repeat(self.has[:, None], len(rows), axis=1)
+        if self.codes is not None:
+            own = np.array([self.codes.get(x, -1) for x in b.column(2).take(pa.array(rows, pa.int64())).to_pylist()], np.int64)
+            may &= self.kinds[:, None] == own[None, :]
+        return rows, score, may
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(at, ROW_BLOCK) for at in range(0, b.num_rows, ROW_BLOCK))
+
+
+def _span_batches(block: _Block):
+    """The least and greatest score of every query within each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches):
+            _, score, may = block.cosine(b)
+            some = np.flatnonzero(may.any(axis=1))
+            lo = np.where(may, score, np.inf)[some].min(axis=1, initial=np.inf)
+            hi = np.where(may, score, -np.inf)[some].max(axis=1, initial=-np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(block.qids[some]), pa.array(lo), pa.array(hi)], names=["qid", "lo", "hi"])
+
+    return run
+
+
+def _fused_batches(block: _Block, spans: dict, alpha: float):
+    """The k best of every query by fused score within each batch (id, vector, ..., said), all ties of the last one included."""
+    lo = np.array([spans.get(q, (0.0, 0.0))[0] for q in block.qids.tolist()])[:, None]
+    hi = np.array([spans.get(q, (0.0, 0.0))[1] for q in block.qids.tolist()])[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked = block.qids[block.order]
+        for b in _pieces(batches):
+            rows, cosine, counts = block.cosine(b)
+            score, may = np.zeros((len(block.qids), b.num_rows)), np.zeros((len(block.qids), b.num_rows), bool)
+            x = np.where(hi > lo, (cosine - lo) / np.where(hi > lo, hi - lo, 1), 1.0)
+            score[:, rows], may[:, rows] = np.where(counts, alpha * x, 0.0), counts
+            said = b.column(b.num_columns - 1)
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(said), 0).to_numpy(zero_copy_only=False))
+            flat = said.flatten()
+            qid, t = flat.field("qid").to_numpy(zero_copy_only=False), flat.field("score").to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ranked, qid), len(ranked) - 1)
+            own = ranked[at] == qid
+            q, row, t = block.order[at[own]], row[own], t[own]
+            wide = block.high[q] > block.low[q]
+            score[q, row] += (1 - alpha) * np.where(wide, (t - block.low[q]) / np.where(wide, block.high[q] - block.low[q], 1), 1.0)
+            may[q, row] = True
+            score = np.round(score, DIGITS) + 0.0
+            q_out, r_out = [], []
+            for q in range(len(block.qids)):
+                best, k = np.flatnonzero(may[q]), block.k[q]
+                if k <= 0:
+                    continue
+                if len(best) > k:
+                    best = best[score[q, best] >= np.partition(score[q, best], len(best) - k)[len(best) - k]]
+                q_out.append(np.full(len(best), q))
+                r_out.append(best)
+            q = np.concatenate([np.zeros(0, np.int64), *q_out])
+            r = np.concatenate([np.zeros(0, np.int64), *r_out])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block.qids[q]), b.column(0).take(pa.array(r)).cast(pa.int64()), pa.array(score[q, r]), pa.array(block.k[q].astype(np.int32))], names=["qid", "id", "score", "k"]
+            )
+
+    return run
+
+
+def hybrid_full(queries: DataFrame, keyword: DataFrame, corpus: DataFrame, k: int | str = 10, least: float | None = None, alpha: float = ALPHA, same: str | None = None) -> DataFrame:
+    """(qid, hit_rank, id, score): the best k of the fusion over all scores of both sides; only then those below ``least`` are dropped.
+
+    As ``hybrid_search(vector scores of all rows, keyword, k)``, without the pairs of all rows: a first pass over the corpus
+    (id, vector) finds each query's least and greatest cosine, a second one takes up the keyword scores (qid, id, score) of
+    its rows and sends on each batch's own k best. ``k`` may name a column of the queries (qid, vector). A row without a
+    vector counts by its keywords only, and so do all rows for a query without one.
+    """
+    names, row = ["vector", *([same] if same else [])], "qid long, id long, score double, k int"
+    keyword = written(keyword, "keyword-scores")
+    limits = keyword.groupBy("qid").agg(F.min("score").alias("tlo"), F.max("score").alias("thi"))
+    asked = queries.select("qid", *names, (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k")).where("k IS NOT NULL")
+    said = keyword.groupBy("id").agg(F.collect_list(F.struct("qid", "score")).alias("said"))
+    vectors = spread(corpus.select("id", *names))
+    both, rows, out = written(vectors.join(said, "id", "full"), "both-sides"), asked.join(limits, "qid", "left").toLocalIterator(), []
+    while got := list(islice(rows, QUERY_BLOCK)):
+        block = _Block(got, same)
+        spans = both.select("id", *names).mapInArrow(_span_batches(block), "qid long, lo double, hi double")
+        spans = {r["qid"]: (r["lo"], r["hi"]) for r in spans.groupBy("qid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}  # one row per query
+        out.append(both.select("id", *names, "said").mapInArrow(_fused_batches(block, spans, alpha), row))
+    scored = reduce(DataFrame.union, out) if out else corpus.sparkSession.createDataFrame([], row)
+    hits = top_k(scored, "qid", "score", "id", "k").select("qid", "hit_rank", "id", "score")
+    return hits if least is None else hits.where(F.col("score") >= least)
+
+
 def valid_questions(questions: DataFrame, bases: DataFrame) -> DataFrame:
     """(qid, question, kb_id, k, threshold, outcome): one row per qid; why a question can't be asked, or ``ok``."""
     one = questions.groupBy("qid").agg(*[F.min(c).alias(c) for c in ("question", "kb_id", "k", "threshold")])

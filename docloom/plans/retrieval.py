@@ -116,6 +116,22 @@ def hybrid_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
     return R.hybrid_search(*_hybrid(spark, d), K, least=0.3)
 
 
+def _hybrid_full(spark: SparkSession, d: str, least: float | None = None) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors = _vector_queries(spark, d)
+    q = docs.where("id % 100 = 0").join(vectors, F.col("id") == F.col("qid")).select("qid", F.substring("text", 1, 40).alias("text"))
+    return R.hybrid_full(vectors, R.bm25_scores(q, docs), _vectors(spark, d), K, least)
+
+
+def hybrid_full_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As ``hybrid_topk``, with each side taken whole instead of its 100 best."""
+    return _hybrid_full(spark, d)
+
+
+def hybrid_full_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid_full(spark, d, 0.3)
+
+
 def question_outcome(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("qid", "kb_id", "outcome")
 
@@ -161,7 +177,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kb_view, keyword_codec, collection_counts, latest_chunks, upsert_replace, delete_by_filter, filter_equal, filter_contains_any, type_query_offset,
-        cursor_page, batch_validation, vector_topk, vector_topk_threshold, vector_typed_topk, bm25_topk, hybrid_topk, hybrid_topk_threshold,
+        cursor_page, batch_validation, vector_topk, vector_topk_threshold, vector_typed_topk, bm25_topk, hybrid_topk, hybrid_topk_threshold, hybrid_full_topk, hybrid_full_topk_threshold,
         question_outcome, formatted_hits, dedup_prefix, merge_ranked, context_budget, source_tags, answer_context, response_sources, answer_outcomes,
     )
 }
@@ -192,6 +208,17 @@ def _bm25(corpus: str, queries: str, part: bool, k: int) -> str:
 
 _ASKED = f"""asked AS (SELECT q.*, CASE WHEN NOT {sql_shown("question")} THEN 'invalid question' WHEN NOT EXISTS (SELECT 1 FROM chunk c WHERE c.kb_id = q.kb_id) THEN 'nothing found' ELSE 'ok' END AS outcome
   FROM (SELECT qid, min(question) AS question, min(kb_id) AS kb_id FROM questions GROUP BY qid) q)"""
+def _hybrid_sql(text: str, least: str = "") -> str:
+    """The fusion over all scores of both sides."""
+    asked = f"SELECT vec_id AS qid, {text} AS text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0"
+    return f"""WITH {_bm25("SELECT doc_id AS id, text FROM documents", asked, False, K)},
+  ve AS (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON true WHERE q.vec_id % 100 = 0),
+  sc AS (SELECT qid, id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS x, side FROM (SELECT *, min(score) OVER (PARTITION BY qid, side) AS lo, max(score) OVER (PARTITION BY qid, side) AS hi FROM (
+    SELECT qid, id, score, 'v' AS side FROM ve UNION ALL SELECT qid, id, score, 't' FROM bm))),
+  fu AS (SELECT qid, id, round({R.ALPHA} * coalesce(max(CASE WHEN side = 'v' THEN x END), 0.0) + {1 - R.ALPHA} * coalesce(max(CASE WHEN side = 't' THEN x END), 0.0), 6) AS score FROM sc GROUP BY qid, id)
+  SELECT qid, hit_rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS hit_rank FROM fu) WHERE hit_rank <= {K} {least}"""
+
+
 _HYBRID = f"""WITH {_bm25("SELECT doc_id AS id, text FROM documents", "SELECT vec_id AS qid, substr(text, 1, 40) AS text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0", False, 100)},
   ve AS (SELECT qid, id, round(1 - distance, 6) AS score FROM ({_vec_sql(k=100)})),
   sc AS (SELECT qid, id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS x, side FROM (SELECT *, min(score) OVER (PARTITION BY qid, side) AS lo, max(score) OVER (PARTITION BY qid, side) AS hi FROM (
@@ -229,6 +256,8 @@ SQL = {
     "bm25_topk": f"WITH {_ASKED}, {_bm25('SELECT obj_id AS id, content AS text, kb_id FROM chunk', 'SELECT qid, question AS text, kb_id FROM asked WHERE outcome = ' + chr(39) + 'ok' + chr(39), True, K)} SELECT qid, hit_rank, id, score FROM bmk",
     "hybrid_topk": f"{_HYBRID} SELECT qid, hit_rank, id, score FROM fk",
     "hybrid_topk_threshold": f"{_HYBRID} SELECT qid, hit_rank, id, score FROM fk WHERE score >= 0.3",
+    "hybrid_full_topk": _hybrid_sql("substr(text, 1, 40)"),
+    "hybrid_full_topk_threshold": _hybrid_sql("substr(text, 1, 40)", "AND score >= 0.3"),
     "question_outcome": f"WITH {_ASKED} SELECT qid, kb_id, outcome FROM asked",
     "formatted_hits": f"""SELECT h.qid, h.hit_rank, h.chunk_id, h.chunk_type, h.content, coalesce(h.score, 0.0) AS similarity_score, c.doc_id AS metadata FROM hits h
       LEFT JOIN (SELECT chunk_id, min(doc_id) AS doc_id FROM {_LATEST} GROUP BY chunk_id) c ON c.chunk_id = h.chunk_id""",
