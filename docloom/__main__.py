@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         rows = [(i, q, args.kb_id, 8, None) for i, q in enumerate(args.questions, 1)]
         q = spark.createDataFrame(rows, "qid long, question string, kb_id int, k int, threshold double")
-        pipeline.ask(q, store.read("chunks")).show(1000, truncate=200)
+        pipeline.ask(q, store.read("chunks"), hybrid=True).show(1000, truncate=200)
 
 
 if __name__ == "__main__":

@@ -138,8 +138,9 @@ def embedding_text(queries: Column | None = None) -> Column:
 
 
 def ingest_metrics(chunks: DataFrame) -> DataFrame:
-    """(kb_id, doc_id, chunks, vectors, failed, stored) per document: a row is stored if it has a text to embed and a base."""
-    text = F.length(strip(embedding_text())) > 0
+    """(kb_id, doc_id, chunks, vectors, failed, stored) per document: a row is stored if it has a vector and a base. Without
+    a column ``vector``, rows with a text to embed count as having one."""
+    text = F.col("vector").isNotNull() if "vector" in chunks.columns else F.length(strip(embedding_text())) > 0
     return chunks.groupBy("kb_id", "doc_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.count_if(text).alias("vectors"), F.count_if(~text).alias("failed"), F.count_if(text & F.col("kb_id").isNotNull()).alias("stored")
     )

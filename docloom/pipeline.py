@@ -17,16 +17,16 @@ from docloom.operators import grid as G
 from docloom.operators import images as I
 from docloom.operators import segment as S
 from docloom.operators.answer import answer_prompt, contexts, merge_ranked, tagged, within_budget
-from docloom.operators.retrieve import bm25_search, valid_questions
+from docloom.operators.retrieve import bm25_scores, bm25_search, hybrid_full, valid_questions
 from docloom.operators.store import Store
-from docloom.runtime import numbered, written
+from docloom.runtime import numbered, spread, written
 from docloom.sources import ooxml as X
 
 # Properties of the two kinds of collection.
 CHUNK_PROPERTIES = {
     "doc_id": "text", "seq": "int", "chunk_id": "text", "chunk_type": "text", "content": "text", "context": "text", "parent_id": "text", "paragraph_index": "int",
     "is_fragment": "bool", "fragment_index": "int", "total_fragments": "int", "sheet": "text", "table_id": "text", "row_no": "int", "header_rows": "int",
-    "header": "text", "table_format": "text", "original_filename": "text", "image_index": "int", "description": "text", "keywords": "text",
+    "header": "text", "table_format": "text", "original_filename": "text", "image_index": "int", "description": "text", "keywords": "text", "vector": "vector",
 }
 GRAPH_PROPERTIES = {"doc_id": "text", "chunk_id": "text", "relation": "text", "sources": "text_array"}
 
@@ -130,7 +130,7 @@ def chunk_table(rows: DataFrame, kb_id: int, config: Config = Config()) -> DataF
     x = x.withColumn("is_fragment", F.col("piece").isNotNull()).withColumn("content", F.coalesce("piece", "content"))
     x = numbered(x, ["doc_id"], "n", ["fragment_index"], "seq1")
     x = x.withColumn("seq", F.col("seq1") - 1).withColumn("chunk_id", F.concat_ws("_", "doc_id", "seq1")).withColumn("kb_id", F.lit(kb_id))
-    keep = [c for c in CHUNK_PROPERTIES if c not in ("description", "keywords")]
+    keep = [c for c in CHUNK_PROPERTIES if c not in ("description", "keywords", "vector")]
     return x.select("kb_id", *keep)
 
 
@@ -142,9 +142,15 @@ def described(chunks: DataFrame, make: Callable[[], E.Provider] = E.Offline) ->
     return chunks.join(said, "chunk_id", "left").select(*chunks.columns, F.coalesce("description", F.lit("")).alias("description"), F.coalesce("keywords", F.lit("")).alias("keywords"))
 
 
+def embedded(chunks: DataFrame, make: Callable[[], E.Provider] = E.Offline) -> DataFrame:
+    """Chunks with the vector of their embedding text, null on failure."""
+    got = E.call_model(chunks, "chunk_id", E.embedding_text(), make, "embed").withColumnRenamed("result", "vector")
+    return chunks.join(got, "chunk_id", "left").select(*chunks.columns, "vector")
+
+
 def ingest(spark: SparkSession, folder: str, store: Store, kb_id: int, name: str = "chunks", config: Config = Config(), make: Callable[[], E.Provider] = E.Offline, recreate: bool = False) -> DataFrame:
-    """Take a folder's files into a knowledge base; documents that are there already are replaced. Returns counts per document
-    and a row with ``error`` per file that couldn't be read."""
+    """Take a folder's files into a knowledge base; documents that are there already are replaced. Only chunks with a
+    vector are stored; a document of which none has one keeps its earlier rows. Returns counts per document and a row with ``error`` per file that couldn't be read."""
     if recreate:
         store.drop(name)
     store.create(name, CHUNK_PROPERTIES)
@@ -152,19 +158,33 @@ def ingest(spark: SparkSession, folder: str, store: Store, kb_id: int, name: str
     kind = X.document_kind(F.col("path"))
     word, excel = X.read_word(files.where(kind == "word")), X.read_excel(files.where(kind == "excel"))
     rows = word_chunks(word, config).unionByName(excel_chunks(excel, config))
-    chunks = written(described(chunk_table(rows, kb_id, config), make), "ingest")
-    store.replace_documents(name, chunks)
+    chunks = written(described(chunk_table(rows, kb_id, config), make), "described")
+    chunks = written(embedded(chunks, make), "ingest")
+    store.replace_documents(name, chunks.where("vector IS NOT NULL"))
     bad = word.errors().unionByName(excel.errors()).unionByName(files.where(kind == "unsupported").select("doc_id", F.lit("unsupported file type").alias("error")))
     counts = E.ingest_metrics(chunks).withColumn("error", F.lit(None).cast("string"))
     return counts.unionByName(bad.select("doc_id", "error").withColumn("kb_id", F.lit(kb_id)), allowMissingColumns=True)
 
 
-def ask(questions: DataFrame, chunks: DataFrame, make: Callable[[], E.Provider] = E.Offline, hits: int = 8) -> DataFrame:
-    """(qid, success, answer, error, total_sources): keyword retrieval, context and a provider's answer for a batch of questions."""
+def ask(questions: DataFrame, chunks: DataFrame, make: Callable[[], E.Provider] = E.Offline, hits: int = 8, hybrid: bool = False) -> DataFrame:
+    """(qid, success, answer, error, total_sources): retrieval, context and a provider's answer for a batch of questions.
+
+    Retrieval is by keywords, or, with ``hybrid``, by the fusion of keyword and vector scores within the knowledge base;
+    chunks without a column ``vector`` are embedded first.
+    """
     checked = written(valid_questions(questions, chunks), "questions")
-    corpus = written(chunks.withColumn("obj_id", F.xxhash64("kb_id", "chunk_id")), "corpus")
+    corpus = chunks.withColumn("obj_id", F.xxhash64("kb_id", "chunk_id"))
+    if hybrid and "vector" not in chunks.columns:
+        vectors = E.call_model(spread(corpus), "obj_id", E.embedding_text(), make, "embed").select("obj_id", F.col("result").alias("vector"))
+        corpus = written(corpus, "chunks").join(vectors, "obj_id", "left")
+    corpus = written(corpus, "corpus")
     q = checked.where("outcome = 'ok'").select("qid", F.col("question").alias("text"), "kb_id")
-    found = bm25_search(q, corpus.select(F.col("obj_id").alias("id"), F.col("content").alias("text"), "kb_id"), hits, part=["kb_id"])
+    texts = corpus.select(F.col("obj_id").alias("id"), F.col("content").alias("text"), "kb_id")
+    if hybrid:
+        asked = q.join(E.call_model(q, "qid", F.col("text"), make, "embed"), "qid").select("qid", "kb_id", F.col("result").alias("vector"))
+        found = hybrid_full(asked, bm25_scores(q, texts, ["kb_id"]), corpus.select(F.col("obj_id").alias("id"), "vector", "kb_id"), hits, same="kb_id")
+    else:
+        found = bm25_search(q, texts, hits, part=["kb_id"])
     got = found.join(corpus.select(F.col("obj_id").alias("id"), "chunk_id", "chunk_type", "content"), "id").select("qid", "hit_rank", "chunk_id", "chunk_type", "content", "score")
     ctx = contexts(tagged(within_budget(merge_ranked(got)), corpus))
     ready = written(checked.join(ctx, "qid", "left").withColumn("prompt", F.when(F.col("context").isNotNull(), answer_prompt(F.col("question"), F.col("context")))), "prompts")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docloom.operators import enrich as E
 from docloom.operators import grid as G
 from docloom.operators import segment as S
-from docloom.operators.store import Store
+from docloom.operators.store import Store, latest
 from docloom.pipeline import ask
 from docloom.runtime import scratch_path, table, written
 from docloom.sources import ooxml as X
@@ -109,8 +109,8 @@ def document_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ask_all(spark: SparkSession, d: str) -> DataFrame:
-    """All questions against all chunks: retrieval, context and the offline provider's answer."""
-    return ask(table(spark, d, "questions"), table(spark, d, "chunk"))
+    """All questions against the latest row of every chunk: hybrid retrieval, context and the offline provider's answer."""
+    return ask(table(spark, d, "questions"), latest(table(spark, d, "chunk")), hybrid=True)
 
 
 QUERIES = {
