@@ -116,7 +116,15 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, part: list[str] | None =
 
 
 def bm25_search(queries: DataFrame, corpus: DataFrame, k: int | str = 10, part: list[str] | None = None) -> DataFrame:
-    return top_k(bm25_scores(queries, corpus, part), "qid", "score", "id", k)
+    """The best ``k`` of each question; ``k`` may name a column of the questions, one row each."""
+    scored = bm25_scores(queries, corpus, part)
+    scored = scored.join(queries.select("qid", F.col(k).alias("k")), "qid") if isinstance(k, str) else scored
+    return top_k(scored, "qid", "score", "id", "k" if isinstance(k, str) else k).select("qid", "hit_rank", "id", "score")
+
+
+def above(hits: DataFrame, questions: DataFrame) -> DataFrame:
+    """``hits`` without those below their question's ``threshold``; a null one drops none."""
+    return hits.join(questions.select("qid", "threshold"), "qid").where("threshold IS NULL OR score >= threshold").drop("threshold")
 
 
 def fused(vector: DataFrame, keyword: DataFrame, alpha: float = ALPHA) -> DataFrame:

@@ -17,7 +17,7 @@ from docloom.operators import grid as G
 from docloom.operators import images as I
 from docloom.operators import segment as S
 from docloom.operators.answer import answer_prompt, contexts, merge_ranked, tagged, within_budget
-from docloom.operators.retrieve import bm25_scores, bm25_search, hybrid_full, valid_questions
+from docloom.operators.retrieve import above, bm25_scores, bm25_search, hybrid_full, valid_questions
 from docloom.operators.store import Store
 from docloom.runtime import numbered, spread, written
 from docloom.sources import ooxml as X
@@ -169,6 +169,7 @@ def ingest(spark: SparkSession, folder: str, store: Store, kb_id: int, name: str
 def ask(questions: DataFrame, chunks: DataFrame, make: Callable[[], E.Provider] = E.Offline, hits: int = 8, hybrid: bool = False) -> DataFrame:
     """(qid, success, answer, error, total_sources): retrieval, context and a provider's answer for a batch of questions.
 
+    Each question has its own number of hits and least score; ``hits`` stands in for a null k, and a null threshold drops none.
     Retrieval is by keywords, or, with ``hybrid``, by the fusion of keyword and vector scores within the knowledge base;
     chunks without a column ``vector`` are embedded first.
     """
@@ -178,13 +179,14 @@ def ask(questions: DataFrame, chunks: DataFrame, make: Callable[[], E.Provider]
         vectors = E.call_model(spread(corpus), "obj_id", E.embedding_text(), make, "embed").select("obj_id", F.col("result").alias("vector"))
         corpus = written(corpus, "chunks").join(vectors, "obj_id", "left")
     corpus = written(corpus, "corpus")
-    q = checked.where("outcome = 'ok'").select("qid", F.col("question").alias("text"), "kb_id")
+    q = checked.where("outcome = 'ok'").select("qid", F.col("question").alias("text"), "kb_id", F.coalesce("k", F.lit(hits)).alias("k"), "threshold")
     texts = corpus.select(F.col("obj_id").alias("id"), F.col("content").alias("text"), "kb_id")
     if hybrid:
-        asked = q.join(E.call_model(q, "qid", F.col("text"), make, "embed"), "qid").select("qid", "kb_id", F.col("result").alias("vector"))
-        found = hybrid_full(asked, bm25_scores(q, texts, ["kb_id"]), corpus.select(F.col("obj_id").alias("id"), "vector", "kb_id"), hits, same="kb_id")
+        asked = q.join(E.call_model(q, "qid", F.col("text"), make, "embed"), "qid").select("qid", "kb_id", "k", F.col("result").alias("vector"))
+        found = hybrid_full(asked, bm25_scores(q, texts, ["kb_id"]), corpus.select(F.col("obj_id").alias("id"), "vector", "kb_id"), "k", same="kb_id")
     else:
-        found = bm25_search(q, texts, hits, part=["kb_id"])
+        found = bm25_search(q, texts, "k", part=["kb_id"])
+    found = above(found, q)
     got = found.join(corpus.select(F.col("obj_id").alias("id"), "chunk_id", "chunk_type", "content"), "id").select("qid", "hit_rank", "chunk_id", "chunk_type", "content", "score")
     ctx = contexts(tagged(within_budget(merge_ranked(got)), corpus))
     ready = written(checked.join(ctx, "qid", "left").withColumn("prompt", F.when(F.col("context").isNotNull(), answer_prompt(F.col("question"), F.col("context")))), "prompts")

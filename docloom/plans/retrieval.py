@@ -101,6 +101,12 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25_search(q, _corpus(spark, d), K, part=["kb_id"]).select("qid", "hit_rank", "id", "score")
 
 
+def bm25_asked_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As ``bm25_topk``, with each question's own k, then its own threshold; K stands in for a null k."""
+    q = _asked(spark, d).where("outcome = 'ok'").select("qid", F.col("question").alias("text"), "kb_id", F.coalesce("k", F.lit(K)).alias("k"), "threshold")
+    return R.above(R.bm25_search(q, _corpus(spark, d), "k", part=["kb_id"]), q).select("qid", "hit_rank", "id", "score")
+
+
 def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     q = docs.where("id % 100 = 0").join(_vector_queries(spark, d), F.col("id") == F.col("qid")).select("qid", F.substring("text", 1, 40).alias("text"))
@@ -177,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kb_view, keyword_codec, collection_counts, latest_chunks, upsert_replace, delete_by_filter, filter_equal, filter_contains_any, type_query_offset,
-        cursor_page, batch_validation, vector_topk, vector_topk_threshold, vector_typed_topk, bm25_topk, hybrid_topk, hybrid_topk_threshold, hybrid_full_topk, hybrid_full_topk_threshold,
+        cursor_page, batch_validation, vector_topk, vector_topk_threshold, vector_typed_topk, bm25_topk, bm25_asked_topk, hybrid_topk, hybrid_topk_threshold, hybrid_full_topk, hybrid_full_topk_threshold,
         question_outcome, formatted_hits, dedup_prefix, merge_ranked, context_budget, source_tags, answer_context, response_sources, answer_outcomes,
     )
 }
@@ -254,6 +260,9 @@ SQL = {
     "vector_topk_threshold": _vec_sql(most="AND round(1 - score, 6) <= 0.7"),
     "vector_typed_topk": _vec_sql(same="AND c.label = q.label"),
     "bm25_topk": f"WITH {_ASKED}, {_bm25('SELECT obj_id AS id, content AS text, kb_id FROM chunk', 'SELECT qid, question AS text, kb_id FROM asked WHERE outcome = ' + chr(39) + 'ok' + chr(39), True, K)} SELECT qid, hit_rank, id, score FROM bmk",
+    "bm25_asked_topk": f"""WITH {_ASKED}, own AS (SELECT qid, coalesce(min(k), {K}) AS k, min(threshold) AS threshold FROM questions GROUP BY qid),
+      {_bm25('SELECT obj_id AS id, content AS text, kb_id FROM chunk', 'SELECT qid, question AS text, kb_id FROM asked WHERE outcome = ' + chr(39) + 'ok' + chr(39), True, 1_000_000)}
+      SELECT qid, hit_rank, id, score FROM bmk JOIN own USING (qid) WHERE hit_rank <= own.k AND (own.threshold IS NULL OR score >= own.threshold)""",
     "hybrid_topk": f"{_HYBRID} SELECT qid, hit_rank, id, score FROM fk",
     "hybrid_topk_threshold": f"{_HYBRID} SELECT qid, hit_rank, id, score FROM fk WHERE score >= 0.3",
     "hybrid_full_topk": _hybrid_sql("substr(text, 1, 40)"),

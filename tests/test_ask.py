@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from docloom import pipeline as P
 from docloom.operators import enrich as E
 from docloom.operators.store import Store
@@ -32,3 +34,16 @@ def test_ask_finds_without_a_shared_term(spark, tmp_path, as_rows):
     assert as_rows(P.ask(q, kept, hybrid=True), "qid", "success", "total_sources") == want
     assert as_rows(P.ask(q, kept.drop("vector"), hybrid=True), "qid", "success", "total_sources") == want
     assert as_rows(P.ask(q, kept), "qid", "success", "total_sources")[0] == (1, False, 0)
+
+
+def test_each_question_has_its_own_k_and_threshold(spark, as_rows):
+    texts = [(1, f"c{i}", "text", f"word{i} " + "apple " * i, None) for i in range(1, 31)]
+    chunks = spark.createDataFrame(texts, "kb_id int, chunk_id string, chunk_type string, content string, doc_id string")
+    for c in ("description", "keywords", "table_id", "original_filename"):
+        chunks = chunks.withColumn(c, F.lit(""))
+    chunks = chunks.withColumn("row_no", F.lit(1)).withColumn("paragraph_index", F.lit(1))
+    q = spark.createDataFrame([(1, "apple", 1, 20, None), (2, "apple", 1, 3, None), (3, "apple", 1, None, None), (4, "apple", 1, 20, 9.0)], QUESTION)
+    assert as_rows(P.ask(q, chunks), "qid", "total_sources", "error") == [(1, 20, None), (2, 3, None), (3, 8, None), (4, 0, "nothing found")]
+    q = q.where("qid <> 4").union(spark.createDataFrame([(4, "apple", 1, 20, 0.99)], QUESTION))
+    got = as_rows(P.ask(q, chunks, hybrid=True), "qid", "total_sources")
+    assert got[:3] == [(1, 20), (2, 3), (3, 8)] and got[3][1] < 20
