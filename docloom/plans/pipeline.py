@@ -8,28 +8,70 @@ from pyspark.sql import functions as F
 
 from docloom.operators import enrich as E
 from docloom.operators import grid as G
-from docloom.operators import segment as S
 from docloom.operators.store import Store, latest
-from docloom.pipeline import ask
+from docloom.pipeline import CHUNK_PROPERTIES, Config, TableConfig, ask, chunk_table, described, embedded, excel_chunks, word_chunks
 from docloom.runtime import scratch_path, table, written
 from docloom.sources import ooxml as X
 from docloom.streaming import ingest as I
 
 
-def _docx_files(blocks: DataFrame) -> DataFrame:
-    """(doc_id, content): a Word file of each document's blocks in order; tables hold one blank cell."""
-    one = blocks.groupBy("doc_id", "block_pos").agg(F.min("kind").alias("kind"), F.coalesce(F.min("text"), F.lit("")).alias("text"))
-    docs = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_pos", "kind", "text"))).alias("b"))
+def _grid(cells: list, pictures: dict) -> list:
+    """Rows of a Word table from its cells in order; columns that a span covers are left out, gaps are blank cells."""
+    rows: dict[int, list] = {}
+    for x in cells:
+        rows.setdefault(x["r"], []).append(x)
+    out = []
+    for r in range(max([*rows, *(k[0] for k in pictures), 0]) + 1):
+        row, at = [], 0
+        own = {x["c"]: x for x in rows.get(r, ())}
+        for c in range(max([*own, *(k[1] for k in pictures if k[0] == r), -1]) + 1):
+            if c < at and (c not in own or own[c]["text"] is None) and (r, c) not in pictures:
+                continue
+            x = own.get(c)
+            wide = max(1, (x["grid_span"] or 1) if x else 1)
+            row.append((x["text"] or "" if x else "", wide, x["v_merge"] if x else None, pictures.get((r, c), [])))
+            at = c + wide
+        out.append(row)
+    return out if any(out) else [[("", 1, None)]]
+
+
+def _docx_files(blocks: DataFrame, cells: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, content): a Word file of each document's blocks in order, with the cells of its tables and its pictures.
+
+    A table without cells holds a blank one; pictures of a table without a place in it are in its first cell.
+    """
+    one = blocks.groupBy("doc_id", "block_pos").agg(F.min("kind").alias("kind"), F.coalesce(F.min("text"), F.lit("")).alias("text"), F.min("table_no").alias("table_no"))
+    docs = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_pos", "kind", "text", "table_no"))).alias("b"))
+    grid = G.dedup(cells.where("sheet IS NULL")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("table_id", "r", "c", "text", "grid_span", "v_merge"))).alias("cells"))
+    refs = images.where("rel_id IS NOT NULL").distinct()
+    refs = refs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_pos", "r", "c", "ord", "rel_id"))).alias("refs"))
+    docs = docs.join(grid, "doc_id", "left").join(refs, "doc_id", "left")
 
     def run(batches):
-        for b in batches:
-            for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = X.write_docx([x["text"] if x["kind"] == "paragraph" else [[("", 1, None)]] for x in body])
-                yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([data])], names=["doc_id", "content"])
+        for batch in batches:
+            for doc in batch.to_pylist():
+                tables: dict = {}
+                for x in doc["cells"] or ():
+                    tables.setdefault(x["table_id"], []).append(x)
+                body = []
+                for x in doc["b"]:
+                    own = [i for i in doc["refs"] or () if i["block_pos"] == x["block_pos"]]
+                    if x["kind"] == "paragraph":
+                        body.append((x["text"], [i["rel_id"] for i in own]))
+                        continue
+                    pictures: dict = {}
+                    for i in own:
+                        pictures.setdefault((i["r"] or 0, i["c"] or 0), []).append(i["rel_id"])
+                    body.append(_grid(tables.get(f"table_{x['table_no']}", []), pictures))
+                yield pa.RecordBatch.from_arrays([pa.array([doc["doc_id"]]), pa.array([X.write_docx(body)])], names=["doc_id", "content"])
 
     return docs.mapInArrow(run, "doc_id string, content binary")
 
 
+def _word_files(spark: SparkSession, d: str) -> DataFrame:
+    return _docx_files(table(spark, d, "blocks"), table(spark, d, "cells"), table(spark, d, "image_refs"))
+
+
 def _xlsx_files(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """(doc_id, content): a workbook of each document's sheets."""
     x = G.dedup(cells).where("sheet IS NOT NULL AND text IS NOT NULL")
@@ -53,7 +95,7 @@ def _xlsx_files(cells: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def docx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    got = X.read_word(_docx_files(table(spark, d, "blocks"))).blocks()
+    got = X.read_word(_word_files(spark, d)).blocks()
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_pos"))
     return got.select("doc_id", place.alias("n"), "kind", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -94,17 +136,18 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Word files to numbered chunks: parse, paragraphs, fragments, chunk ids and embedding texts, counted per document."""
-    files = written(_docx_files(table(spark, d, "blocks")), "files")
-    paras = S.body_paragraphs(X.read_word(files).blocks())
-    seq = F.col("paragraph_index") - 1
-    chunks = paras.select(
-        "doc_id", seq.alias("seq"), F.xxhash64("doc_id", "paragraph_index").alias("obj_id"), "paragraph_index", F.lit("text").alias("chunk_type"), "content", F.lit(False).alias("is_fragment")
-    )
-    out = S.with_fragments(chunks)
-    ready = out.withColumn("description", F.lit("")).withColumn("keywords", F.lit("")).withColumn("original_filename", F.lit(""))
-    return ready.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("chunks"), F.count_if("is_fragment").alias("fragments"), F.sum(F.length(E.embedding_text())).alias("embedded_chars")
+    """Word files and workbooks to stored chunks: parse, chunks of all kinds, fragments, descriptions, vectors and the store, counted per document."""
+    word = X.read_word(written(_word_files(spark, d), "files"))
+    excel = X.read_excel(written(_xlsx_files(table(spark, d, "cells"), table(spark, d, "merges")), "files"))
+    config = Config(tables=TableConfig(rows=True))
+    chunks = chunk_table(word_chunks(word, config).unionByName(excel_chunks(excel, config)), 1, config)
+    chunks = written(embedded(written(described(chunks), "described")), "embedded")
+    store = Store(spark, scratch_path(spark, "store"))
+    store.create("chunks", CHUNK_PROPERTIES)
+    store.replace_documents("chunks", chunks.where("vector IS NOT NULL"))
+    kinds = [F.count_if(F.col("chunk_type") == k).alias(n) for k, n in (("table_full", "tables"), ("table_row", "table_rows"), ("image", "images"))]
+    return store.read("chunks").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_if("is_fragment").alias("fragments"), *kinds, F.sum(F.length(E.embedding_text())).alias("embedded_chars")
     )
 
 

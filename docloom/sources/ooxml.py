@@ -314,7 +314,7 @@ def _paragraph(text: str, images: list[str] = ()) -> str:
 
 def write_docx(body: list) -> bytes:
     """A minimal Word file. Items are a paragraph's text, (text, [relations]) for one with pictures, or a table as rows of
-    cells (text, grid_span, v_merge)."""
+    cells (text, grid_span, v_merge), with a list of relations behind them for a cell with pictures."""
     parts = []
     for item in body:
         if isinstance(item, str):
@@ -325,9 +325,10 @@ def write_docx(body: list) -> bytes:
             rows = []
             for row in item:
                 tcs = []
-                for text, span, merge in row:
+                for text, span, merge, *rels in row:
+                    *lines, last = (text or "").split("\n")
                     pr = f'<w:gridSpan w:val="{span}"/>' * (span > 1) + (f'<w:vMerge w:val="{merge}"/>' if merge else "")
-                    tcs.append(f"<w:tc><w:tcPr>{pr}</w:tcPr>{''.join(_paragraph(t) for t in (text or '').split(chr(10)))}</w:tc>")
+                    tcs.append(f"<w:tc><w:tcPr>{pr}</w:tcPr>{''.join(_paragraph(t) for t in lines)}{_paragraph(last, *rels)}</w:tc>")
                 rows.append(f"<w:tr>{''.join(tcs)}</w:tr>")
             parts.append(f"<w:tbl>{''.join(rows)}</w:tbl>")
     ns = f'xmlns:w="{_W[1:-1]}" xmlns:r="{_R[1:-1]}" xmlns:a="{_A[1:-1]}"'
