@@ -1,11 +1,10 @@
 """Problem 7: mixing sources to target shares of the total size, by entropy balancing.
 
 Each mix takes as many tokens in all as its shares allow: the largest total of which no source has to give more than
-``max_repeats`` times its tokens. Document rates w = exp(a + b x), x the size over the source's mean size, are the
-solution nearest to taking every document once (in relative entropy) that meets two sums per source, tokens and
-documents; the second keeps a source's usual lengths. The convex dual is solved by Newton steps; each step sums
-over the table of distinct sizes in the cluster and returns a few numbers per source of a mix. Rates are capped at
-max_repeats and rounded to copies by systematic sampling over documents ordered by size.
+``max_repeats`` times its tokens. Document rates w = exp(b x), x the size over the source's mean size, are the
+solution nearest to taking every document once (in relative entropy) that meets the sum of tokens per source. The dual
+is solved by Newton steps inside a bracket; each step sums over the table of distinct sizes in the cluster and returns
+a few numbers per source of a mix. Rates are capped at max_repeats and rounded to copies by systematic sampling over documents ordered by size.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from docloom.llm.tokens import VOCABULARY, sized
 from docloom.runtime import written
 
-STEPS, CLOSE, PART_ROWS = 40, 1e-9, 50_000
+STEPS, CLOSE, PART_ROWS = 80, 1e-9, 50_000
 LARGEST, LIMIT_STEPS, OFFSETS = 0.5, 6, 32
 
 
@@ -29,45 +28,36 @@ def source_name(c):
 
 
 def _newton(sizes: DataFrame, wanted: list[dict]) -> list[dict]:
-    """The dual variables (a, b) of each wanted (mix, source); ``wanted`` has as many entries as the target table."""
+    """The dual variable b of each wanted (mix, source); ``wanted`` has as many entries as the target table."""
     spark = sizes.sparkSession
-    live = [w | {"a": -1.0, "b": 0.0, "done": w["rate"] >= w["max_repeats"] * (1 - 1e-9)} for w in wanted]  # below every cap
+    live = [w | {"b": 0.0, "low": -math.inf, "high": math.inf, "done": w["rate"] >= w["max_repeats"] * (1 - 1e-9)} for w in wanted]
     for _ in range(STEPS):
         if all(w["done"] for w in live):
             break
         now = spark.createDataFrame(
-            [(i, w["source"], w["mean"], float(w["max_repeats"]), w["a"], w["b"], w["limit"]) for i, w in enumerate(live) if not w["done"]],
-            "i int, source string, mean double, cap double, a double, b double, most double",
+            [(i, w["source"], w["mean"], float(w["max_repeats"]), w["b"], w["limit"]) for i, w in enumerate(live) if not w["done"]],
+            "i int, source string, mean double, cap double, b double, most double",
         )
         x = F.col("n_tokens") / F.col("mean")
-        raw = F.exp(F.least(F.col("a") + F.col("b") * x, F.lit(50.0)))
+        raw = F.exp(F.least(F.col("b") * x, F.lit(50.0)))
         w, free = F.least(raw, F.col("cap")), (raw < F.col("cap")).cast("double")
         n = F.col("n")
         sums = (
             sizes.join(F.broadcast(now), "source").where("n_tokens <= most").withColumn("x", x).withColumn("w", w).withColumn("free", free)
-            .groupBy("i").agg(
-                F.sum(n * F.col("w")).alias("s0"), F.sum(n * F.col("w") * F.col("x")).alias("s1"),
-                F.sum(n * F.col("w") * F.col("free")).alias("h0"), F.sum(n * F.col("w") * F.col("free") * F.col("x")).alias("h1"),
-                F.sum(n * F.col("w") * F.col("free") * F.col("x") * F.col("x")).alias("h2"),
-            )
+            .groupBy("i").agg(F.sum(n * F.col("w") * F.col("x")).alias("s1"), F.sum(n * F.col("w") * F.col("free") * F.col("x") * F.col("x")).alias("h2"))
         )
         for r in sums.collect():  # one row per source of a mix
             t = live[r["i"]]
-            g0, g1 = t["docs"] * t["rate"] - r["s0"], t["docs"] * t["rate"] - r["s1"]
-            det = r["h0"] * r["h2"] - r["h1"] ** 2
-            if max(abs(g0), abs(g1)) <= CLOSE * max(1.0, t["docs"]):
+            gap, b = t["docs"] * t["rate"] - r["s1"], t["b"]
+            if abs(gap) <= CLOSE * max(1.0, t["docs"]):
                 t["done"] = True
                 continue
-            if r["h0"] < 1e-12:  # all are at the cap: step back inside
-                t["a"] -= 1.0
-                continue
-            if det > 1e-9 * r["h0"] * r["h2"]:
-                da, db = (r["h2"] * g0 - r["h1"] * g1) / det, (r["h0"] * g1 - r["h1"] * g0) / det
-            else:  # all sizes are equal
-                da, db = g0 / r["h0"], 0.0
-            scale = min(1.0, 2.0 / max(abs(da), abs(db), 1e-12))
-            t["a"] += scale * da
-            t["b"] += scale * db
+            t["low" if gap > 0 else "high"] = b
+            far = max(2.0, abs(b))
+            step = gap / r["h2"] if r["h2"] > 1e-12 else math.copysign(far, gap)
+            t["b"] = b + max(-far, min(far, step))
+            if not t["low"] < t["b"] < t["high"]:  # beyond the bracket: halve it
+                t["b"] = (t["low"] + t["high"]) / 2
     return live
 
 
@@ -116,8 +106,8 @@ class Mixing:
 
     def _rates(self) -> DataFrame:
         return self.spark.createDataFrame(
-            [(p["mix_id"], p["source"], p["mean"], float(p["max_repeats"]), p["a"], p["b"], p["rate"] >= p["max_repeats"] * (1 - 1e-9), p["limit"]) for p in self.plans],
-            "mix_id int, source string, mean double, cap double, a double, b double, whole boolean, most double",
+            [(p["mix_id"], p["source"], p["mean"], float(p["max_repeats"]), p["b"], p["rate"] >= p["max_repeats"] * (1 - 1e-9), p["limit"]) for p in self.plans],
+            "mix_id int, source string, mean double, cap double, b double, whole boolean, most double",
         )
 
     def selection(self) -> DataFrame:
@@ -126,7 +116,7 @@ class Mixing:
         Documents without a source or without tokens are in no mix; rows of one key are documents each; a source named
         by a mix that no document has gives none. A target table without rows gives an empty result.
         """
-        rate = F.least(F.exp(F.least(F.col("a") + F.col("b") * F.col("n_tokens") / F.col("mean"), F.lit(50.0))), F.col("cap"))
+        rate = F.least(F.exp(F.least(F.col("b") * F.col("n_tokens") / F.col("mean"), F.lit(50.0))), F.col("cap"))
         rows = self.sizes.join(F.broadcast(self._rates()), "source").where("n_tokens <= most").withColumn("w", F.when(F.col("whole"), F.col("cap")).otherwise(rate))
         w = F.round("w", 9)
         rows = rows.select("mix_id", "source", "key", "n_tokens", F.floor(w).alias("sure"), (w - F.floor(w)).alias("part"))
