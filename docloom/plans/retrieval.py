@@ -122,10 +122,11 @@ def hybrid_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
     return R.hybrid_search(*_hybrid(spark, d), K, least=0.3)
 
 
-def _hybrid_full(spark: SparkSession, d: str, least: float | None = None) -> DataFrame:
+def _hybrid_full(spark: SparkSession, d: str, least: float | None = None, whole: bool = False) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     vectors = _vector_queries(spark, d)
-    q = docs.where("id % 100 = 0").join(vectors, F.col("id") == F.col("qid")).select("qid", F.substring("text", 1, 40).alias("text"))
+    q = docs.where("id % 100 = 0").join(vectors, F.col("id") == F.col("qid"))
+    q = q.select("qid", "text") if whole else q.select("qid", F.substring("text", 1, 40).alias("text"))
     return R.hybrid_full(vectors, R.bm25_scores(q, docs), _vectors(spark, d), K, least)
 
 
@@ -138,6 +139,15 @@ def hybrid_full_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid_full(spark, d, 0.3)
 
 
+def hybrid_text_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As ``hybrid_full_topk``, asked by the whole text of the documents instead of its first 40 characters."""
+    return _hybrid_full(spark, d, whole=True)
+
+
+def hybrid_text_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid_full(spark, d, 0.3, whole=True)
+
+
 def question_outcome(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("qid", "kb_id", "outcome")
 
@@ -183,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kb_view, keyword_codec, collection_counts, latest_chunks, upsert_replace, delete_by_filter, filter_equal, filter_contains_any, type_query_offset,
-        cursor_page, batch_validation, vector_topk, vector_topk_threshold, vector_typed_topk, bm25_topk, bm25_asked_topk, hybrid_topk, hybrid_topk_threshold, hybrid_full_topk, hybrid_full_topk_threshold,
+        cursor_page, batch_validation, vector_topk, vector_topk_threshold, vector_typed_topk, bm25_topk, bm25_asked_topk, hybrid_topk, hybrid_topk_threshold, hybrid_full_topk, hybrid_full_topk_threshold, hybrid_text_topk, hybrid_text_topk_threshold,
         question_outcome, formatted_hits, dedup_prefix, merge_ranked, context_budget, source_tags, answer_context, response_sources, answer_outcomes,
     )
 }
@@ -267,6 +277,8 @@ SQL = {
     "hybrid_topk_threshold": f"{_HYBRID} SELECT qid, hit_rank, id, score FROM fk WHERE score >= 0.3",
     "hybrid_full_topk": _hybrid_sql("substr(text, 1, 40)"),
     "hybrid_full_topk_threshold": _hybrid_sql("substr(text, 1, 40)", "AND score >= 0.3"),
+    "hybrid_text_topk": _hybrid_sql("text"),
+    "hybrid_text_topk_threshold": _hybrid_sql("text", "AND score >= 0.3"),
     "question_outcome": f"WITH {_ASKED} SELECT qid, kb_id, outcome FROM asked",
     "formatted_hits": f"""SELECT h.qid, h.hit_rank, h.chunk_id, h.chunk_type, h.content, coalesce(h.score, 0.0) AS similarity_score, c.doc_id AS metadata FROM hits h
       LEFT JOIN (SELECT chunk_id, min(doc_id) AS doc_id FROM {_LATEST} GROUP BY chunk_id) c ON c.chunk_id = h.chunk_id""",

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from docloom.operators import retrieve as R
+from docloom.plans import retrieval as Q
 
 
 def sides(spark, n=400):
@@ -29,3 +30,12 @@ def test_fusion_over_all_scores(spark, as_rows, same):
     assert R.hybrid_full(q.limit(0), keyword, d).count() == 0 and R.hybrid_full(q, keyword.limit(0), d, 2).count() == 10
     capped = R.hybrid_search(R.top_k(v, "qid", "score", "id", 20), R.top_k(keyword, "qid", "score", "id", 20), 8)
     assert as_rows(capped, "qid", "id") != as_rows(R.hybrid_full(q, keyword, d, 8, same=same), "qid", "id")
+
+
+def test_terms_beyond_forty_characters_count(spark, tmp_path):
+    texts = [(0, "common " * 10 + "zebra")] + [(i, {57: "zebra", 58: "zebra " + "filler " * 30}.get(i, "other")) for i in range(1, 99)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, [1.0, 0.0], 0) for i in range(99)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole, prefix = ({r.id: r.score for r in f(spark, f"file://{tmp_path}").collect()} for f in (Q.hybrid_text_topk, Q.hybrid_full_topk))
+    assert 57 in whole and 57 not in prefix and len(whole) == len(prefix) == 10
