@@ -30,31 +30,32 @@ _ENDS = [
 _FREE = regex.compile(r"[\s\p{P}]")
 
 
-def _parts(text: str, start: int, end: int, limit: int, level: int, out: list[tuple[int, int, int]]) -> None:
+def _parts(text: str, start: int, end: int, limit: int, step: int, level: int, out: list[tuple[int, int, int]]) -> None:
     """Spans of at most ``limit``, each with the level of the boundary that it ends at."""
     if end - start <= limit:
         out.append((start, end, level))
         return
     if level == len(_ENDS):
-        out.extend((at, min(end, at + limit), level) for at in range(start, end, limit))
+        out.append((start, start + limit, level))  # the parts behind leave room for the overlap
+        out.extend((at, min(end, at + step), level) for at in range(start + limit, end, step))
         return
     at = start
     for m in _ENDS[level].finditer(text, start, end):
         if m.end() > at:
-            _one(text, at, m.end(), limit, level, out)
+            _one(text, at, m.end(), limit, step, level, out)
             at = m.end()
     if at < end:
-        _one(text, at, end, limit, level, out)
+        _one(text, at, end, limit, step, level, out)
 
 
-def _one(text: str, start: int, end: int, limit: int, level: int, out: list[tuple[int, int, int]]) -> None:
+def _one(text: str, start: int, end: int, limit: int, step: int, level: int, out: list[tuple[int, int, int]]) -> None:
     if end - start > limit and level == len(_ENDS) - 1 and end - start == limit + 1 and _FREE.match(text, end - 1):
         out.extend([(start, end - 1, level), (end - 1, end, level)])  # a stretch that just fits, then its mark
     else:
         if end - start <= limit:
             out.append((start, end, level))
         else:
-            _parts(text, start, end, limit, level + 1, out)
+            _parts(text, start, end, limit, step, level + 1, out)
 
 
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -70,7 +71,7 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     if len(text) <= limit:
         return [(0, len(text), 0, 0)]
     parts: list[tuple[int, int, int]] = []
-    _parts(text, 0, len(text), limit, 0, parts)
+    _parts(text, 0, len(text), limit, limit - overlap, 0, parts)
     out: list[tuple[int, int, int, int]] = []
     start, end, level, k = 0, 0, 0, 0
     shared = 0

@@ -30,6 +30,11 @@ def test_split_covers_text():
         check(text, 500, 50)
 
 
+def test_forced_cuts_overlap():
+    got = splitting.split("字" * 1700, 500, 50)
+    assert [p[:3] for p in got] == [(0, 500, 0), (450, 950, 50), (900, 1400, 50), (1350, 1700, 50)]
+
+
 def test_split_prefers_high_boundaries():
     text = "一句。" * 100 + "\n" + "二句。" * 100
     assert [p[:2] for p in splitting.split(text, 400, 0)] == [(0, 301), (301, 601)]
