@@ -20,6 +20,11 @@ BROADCAST_CHARS = 16_000_000
 # Look-alike letters of Greek and Cyrillic and the Latin letters they look like, by position.
 _GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ", "ABEZHIKMNOPTYXCjoc"
 _CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеорсухѕіјһԁԛԝӏ", "ABESIJKMHOPCTYXYGQWaeopcyxsijhdqwl"
+# Capitals of Cherokee, Lisu and Coptic and letters of Armenian that are drawn as Latin letters.
+_CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏞᏟᏢᏦᏴ", "DRTAJEWMHGZSVLCPKB"
+_LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"
+_COPTIC = "ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟ", "ABHIKMNOPCTYXo"
+_ARMENIAN = "ՕՏօոսհ", "OSonuh"
 # Look-alike signs.
 _SIGNS = "‐‑⁃−﹣∶ː꞉∕⁄⧸∣ǀ‚․ꓸ", "-----:::///||,.."
 # Radicals of the CJK supplement that show the same figure as an ideograph (no decomposition exists).
@@ -38,7 +43,7 @@ def maps() -> tuple[dict[str, str], dict[str, str]]:
     The coarse map also drops accents; equal texts have equal coarse forms, so it serves to find candidates.
     """
     fine: dict[str, str] = {}
-    for a, b in (_GREEK, _CYRILLIC, _SIGNS, _RADICALS):
+    for a, b in (_GREEK, _CYRILLIC, _CHEROKEE, _LISU, _COPTIC, _ARMENIAN, _SIGNS, _RADICALS):
         fine.update(zip(a, b, strict=True))
     bases: dict[str, str] = {}
     for cp in range(0x80, 0x30000):
@@ -101,6 +106,11 @@ def _coarse(c: Column) -> Column:
     return _translate(c, maps()[1])
 
 
+def _unchanged(c: Column) -> Column:
+    """The characters of a value that the map leaves as they are."""
+    return F.translate(c, "".join([*maps()[0], *LIGATURES]), "")
+
+
 def normal_form(text: str) -> str:
     """The same form for one Python string: mapped and composed."""
     for a, b in LIGATURES.items():
@@ -126,14 +136,16 @@ def _suspects(rows: DataFrame) -> DataFrame:
 def _variants(suspects: DataFrame) -> DataFrame:
     """(field, variant, canonical) of each string that looks like another string of its field.
 
-    The canonical member is the one nearest to its mapped form, then the least in binary order.
+    The canonical member is the one with the fewest characters that the map changes, then the shortest (composed accents
+    before split ones), then the least in binary order; all over the whole value.
     """
     spark = suspects.sparkSession
     variants = suspects.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("shown", mapped(F.col("value")))
+    variants = variants.withColumn("changed", F.length("value") - F.length(_unchanged(F.col("value"))))
     classes = spark.sql(
         """SELECT field, min(shown) AS shown,
-                  min_by(value, struct(cast(value <> shown AS int), levenshtein(substr(value, 1, 200), substr(shown, 1, 200)), value)) AS canonical
-           FROM (SELECT field, value, shown, shown COLLATE UNICODE AS look FROM {variants})
+                  min_by(value, struct(changed, length(value), value)) AS canonical
+           FROM (SELECT field, value, shown, changed, shown COLLATE UNICODE AS look FROM {variants})
            GROUP BY field, look HAVING count(*) > 1""",
         variants=variants,
     )

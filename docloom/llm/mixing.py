@@ -3,8 +3,8 @@
 Each mix takes as many tokens in all as its shares allow: the largest total of which no source has to give more than
 ``max_repeats`` times its tokens. Document rates w = exp(b x), x the size over the source's mean size, are the
 solution nearest to taking every document once (in relative entropy) that meets the sum of tokens per source. The dual
-is solved by Newton steps inside a bracket; each step sums over the table of distinct sizes in the cluster and returns
-a few numbers per source of a mix. Rates are capped at max_repeats and rounded to copies by systematic sampling over documents ordered by size.
+is solved by Newton steps inside a bracket; each round sums over the table of distinct sizes in the cluster, at several points
+at once, and returns a few numbers per source of a mix. Rates are capped at max_repeats and rounded to copies by systematic sampling over documents ordered by size.
 """
 
 from __future__ import annotations
@@ -17,8 +17,14 @@ from pyspark.sql import functions as F
 from docloom.llm.tokens import VOCABULARY, sized
 from docloom.runtime import written
 
-STEPS, CLOSE, PART_ROWS = 80, 1e-9, 50_000
-LARGEST, LIMIT_STEPS, OFFSETS = 0.5, 6, 32
+#: Rounds of the solver and the gap (in documents of mean size, over all documents) at which a rate is settled.
+STEPS, CLOSE = 30, 1e-9
+#: Rows of a lot of the rounding, lots numbered together, and starting points that it tries.
+LOT_ROWS, STRETCH, OFFSETS = 50_000, 1024, 32
+#: Points of the dual that a round looks at: the first one over the whole line, later ones close around Newton's estimates.
+_FIRST = [0.0, *[s * 10.0**e for e in (-3, -2, -1, 0, 1, 2, 3) for s in (-3.0, -1.0, 1.0, 3.0)]]
+_WIDEST = 1e9
+_NEAR = [0.0, *[s * 10.0**-e for e in (2, 4, 6, 9) for s in (-1.0, 1.0)]]
 
 
 def source_name(c):
@@ -27,37 +33,54 @@ def source_name(c):
     return F.when(x != "", x)
 
 
+def _sums(sizes: DataFrame, live: list[dict], points: list[list[float]]) -> list[dict[int, tuple[float, float]]]:
+    """Per (mix, source), the sum of w x and of its slope at each of its points; one pass over the table of sizes."""
+    rows = [(i, k, t["source"], t["mean"], float(t["max_repeats"]), b) for i, t in enumerate(live) for k, b in enumerate(points[i])]
+    now = sizes.sparkSession.createDataFrame(rows, "i int, k int, source string, mean double, cap double, b double")
+    x = F.col("n_tokens") / F.col("mean")
+    raw = F.exp(F.least(F.col("b") * x, F.lit(50.0)))
+    w, free = F.least(raw, F.col("cap")), (raw < F.col("cap")).cast("double")
+    n = F.col("n")
+    got = (
+        sizes.join(F.broadcast(now), "source").withColumn("x", x).withColumn("w", w).withColumn("free", free).groupBy("i", "k")
+        .agg(F.sum(n * F.col("w") * F.col("x")).alias("s"), F.sum(n * F.col("w") * F.col("free") * F.col("x") * F.col("x")).alias("h"))
+    )
+    out: list[dict[int, tuple[float, float]]] = [{} for _ in live]
+    for r in got.collect():  # a few numbers per source of a mix
+        out[r["i"]][r["k"]] = r["s"], r["h"]
+    return out
+
+
+def _step(t: dict, points: list[float], got: dict[int, tuple[float, float]]) -> list[float]:
+    """Take the sums of a round into a target's bracket; the points of its next round, none once it is settled."""
+    gaps = {b: (t["docs"] * t["rate"] - got[k][0], got[k][1]) for k, b in enumerate(points)}
+    t["b"] = min(gaps, key=lambda b: abs(gaps[b][0]))
+    if abs(gaps[t["b"]][0]) <= CLOSE * max(1.0, t["docs"]):
+        t["done"] = True
+        return []
+    low = t["low"] = max([t["low"], *[b for b, (gap, _) in gaps.items() if gap > 0]])
+    high = t["high"] = min([t["high"], *[b for b, (gap, _) in gaps.items() if gap < 0]])
+    near = {(low + high) / 2, *([math.copysign(math.sqrt(low * high), low)] if low * high > 0 else [])}
+    for b in (low, high):
+        if b in gaps and gaps[b][1] > 1e-12:
+            near |= {b + gaps[b][0] / gaps[b][1] + (high - low) * e for e in _NEAR}
+    inside = sorted(b for b in near if low < b < high)
+    t["done"] = not inside  # the bracket's ends are neighbouring numbers
+    return inside
+
+
 def _newton(sizes: DataFrame, wanted: list[dict]) -> list[dict]:
-    """The dual variable b of each wanted (mix, source); ``wanted`` has as many entries as the target table."""
-    spark = sizes.sparkSession
-    live = [w | {"b": 0.0, "low": -math.inf, "high": math.inf, "done": w["rate"] >= w["max_repeats"] * (1 - 1e-9)} for w in wanted]
+    """The dual variable b of each wanted (mix, source), and ``done``: whether it settled.
+
+    The sum of w x rises with b. A round evaluates it at several points in one distributed pass, keeps the bracket between
+    the nearest points on either side, and puts the next points around the Newton steps from its two ends.
+    """
+    live = [w | {"b": 0.0, "low": -_WIDEST, "high": _WIDEST, "done": w["rate"] >= w["max_repeats"] * (1 - 1e-9)} for w in wanted]
+    points = [[] if t["done"] else _FIRST for t in live]
     for _ in range(STEPS):
-        if all(w["done"] for w in live):
+        if not any(points):
             break
-        now = spark.createDataFrame(
-            [(i, w["source"], w["mean"], float(w["max_repeats"]), w["b"], w["limit"]) for i, w in enumerate(live) if not w["done"]],
-            "i int, source string, mean double, cap double, b double, most double",
-        )
-        x = F.col("n_tokens") / F.col("mean")
-        raw = F.exp(F.least(F.col("b") * x, F.lit(50.0)))
-        w, free = F.least(raw, F.col("cap")), (raw < F.col("cap")).cast("double")
-        n = F.col("n")
-        sums = (
-            sizes.join(F.broadcast(now), "source").where("n_tokens <= most").withColumn("x", x).withColumn("w", w).withColumn("free", free)
-            .groupBy("i").agg(F.sum(n * F.col("w") * F.col("x")).alias("s1"), F.sum(n * F.col("w") * F.col("free") * F.col("x") * F.col("x")).alias("h2"))
-        )
-        for r in sums.collect():  # one row per source of a mix
-            t = live[r["i"]]
-            gap, b = t["docs"] * t["rate"] - r["s1"], t["b"]
-            if abs(gap) <= CLOSE * max(1.0, t["docs"]):
-                t["done"] = True
-                continue
-            t["low" if gap > 0 else "high"] = b
-            far = max(2.0, abs(b))
-            step = gap / r["h2"] if r["h2"] > 1e-12 else math.copysign(far, gap)
-            t["b"] = b + max(-far, min(far, step))
-            if not t["low"] < t["b"] < t["high"]:  # beyond the bracket: halve it
-                t["b"] = (t["low"] + t["high"]) / 2
+        points = [_step(t, own, got) if own else [] for t, own, got in zip(live, points, _sums(sizes, live, points))]
     return live
 
 
@@ -68,7 +91,9 @@ class Mixing:
         self.spark = docs.sparkSession
         named = docs.select(F.col(key).alias("key"), source_name(F.col(source)).alias("source"), F.col(text).alias("text")).where("source IS NOT NULL")
         self.key = key
-        self.sizes = written(sized(named, ["key", "source"], "text", vocabulary).where("n_tokens > 0"), "sized")
+        sizes = sized(named, ["key", "source"], "text", vocabulary).where("n_tokens > 0")
+        # a number of each row, written with it, deals rows to lots even where one key repeats
+        self.sizes = written(sizes.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "sized")
         self.targets = [
             r.asDict() for r in targets.select("mix_id", source_name(F.col("source")).alias("source"), "target_share", "max_repeats").orderBy("mix_id", "source").collect()
         ]
@@ -76,38 +101,25 @@ class Mixing:
         self.plans = _newton(self.counts, self._plans())
 
     def _plans(self) -> list[dict]:
-        """What each source of a mix has to give: documents, mean size and rate.
-
-        A document of more than LARGEST of the tokens that its source has to give a mix is left out of that mix, as one
-        copy of it would miss the share; the totals are then taken again.
-        """
-        live = [t for t in self.targets if t["target_share"] > 0 and t["max_repeats"] > 0]
-        for t in live:
-            t["limit"] = float("inf")
-        for _ in range(LIMIT_STEPS):
-            limits = self.spark.createDataFrame([(i, t["source"], t["limit"]) for i, t in enumerate(live)], "i int, source string, most double")
-            n = F.col("n")
-            rows = self.counts.join(F.broadcast(limits), "source").where("n_tokens <= most").groupBy("i")
-            got = {r["i"]: r for r in rows.agg(F.sum(n).alias("docs"), F.sum(n * F.col("n_tokens")).alias("tokens")).collect()}
-            plans, stable = [], True
-            for mix in dict.fromkeys(t["mix_id"] for t in live):
-                own = [(i, t) for i, t in enumerate(live) if t["mix_id"] == mix and i in got]
-                share = sum(t["target_share"] for _, t in own)
-                total = min((t["max_repeats"] * got[i]["tokens"] * share / t["target_share"] for i, t in own), default=0.0)
-                for i, t in own:
-                    docs, tokens, want = got[i]["docs"], got[i]["tokens"], total * t["target_share"] / share
-                    plans.append(t | {"docs": docs, "mean": tokens / docs, "rate": min(want / tokens, float(t["max_repeats"])), "want": want})
-                    if LARGEST * want < t["limit"]:
-                        stable = False
-                        t["limit"] = LARGEST * want
-            if stable:
-                break
-        return plans if live else []
+        """What each source of a mix has to give: documents, mean size, wanted tokens and rate; every document counts."""
+        n = F.col("n")
+        per = self.counts.groupBy("source").agg(F.sum(n).alias("docs"), F.sum(n * F.col("n_tokens")).alias("tokens"))
+        names = self.spark.createDataFrame([(x,) for x in dict.fromkeys(t["source"] for t in self.targets)], "source string")
+        got = {r["source"]: r for r in per.join(F.broadcast(names), "source", "left_semi").collect()}  # one row per source that a mix names
+        plans = []
+        for mix in dict.fromkeys(t["mix_id"] for t in self.targets):
+            own = [t for t in self.targets if t["mix_id"] == mix and t["source"] in got and t["target_share"] > 0 and t["max_repeats"] > 0]
+            share = sum(t["target_share"] for t in own)
+            total = min((t["max_repeats"] * got[t["source"]]["tokens"] * share / t["target_share"] for t in own), default=0.0)
+            for t in own:
+                docs, tokens, want = got[t["source"]]["docs"], got[t["source"]]["tokens"], total * t["target_share"] / share
+                plans.append(t | {"docs": docs, "mean": tokens / docs, "rate": min(want / tokens, float(t["max_repeats"])), "want": want})
+        return plans
 
     def _rates(self) -> DataFrame:
         return self.spark.createDataFrame(
-            [(p["mix_id"], p["source"], p["mean"], float(p["max_repeats"]), p["b"], p["rate"] >= p["max_repeats"] * (1 - 1e-9), p["limit"]) for p in self.plans],
-            "mix_id int, source string, mean double, cap double, b double, whole boolean, most double",
+            [(p["mix_id"], p["source"], p["mean"], float(p["max_repeats"]), p["b"], p["rate"] >= p["max_repeats"] * (1 - 1e-9)) for p in self.plans],
+            "mix_id int, source string, mean double, cap double, b double, whole boolean",
         )
 
     def selection(self) -> DataFrame:
@@ -117,19 +129,23 @@ class Mixing:
         by a mix that no document has gives none. A target table without rows gives an empty result.
         """
         rate = F.least(F.exp(F.least(F.col("b") * F.col("n_tokens") / F.col("mean"), F.lit(50.0))), F.col("cap"))
-        rows = self.sizes.join(F.broadcast(self._rates()), "source").where("n_tokens <= most").withColumn("w", F.when(F.col("whole"), F.col("cap")).otherwise(rate))
+        rows = self.sizes.join(F.broadcast(self._rates()), "source").withColumn("w", F.when(F.col("whole"), F.col("cap")).otherwise(rate))
         w = F.round("w", 9)
-        rows = rows.select("mix_id", "source", "key", "n_tokens", F.floor(w).alias("sure"), (w - F.floor(w)).alias("part"))
+        rows = rows.select("mix_id", "source", "key", "n_tokens", "salt", F.floor(w).alias("sure"), (w - F.floor(w)).alias("part"))
         # systematic rounding: the running sum of fractional parts, in order of size, steps over a whole number; of
         # several starting points the one is taken that comes nearest to the wanted tokens
-        parts = max(1, math.ceil(self.sizes.count() / PART_ROWS))
+        lots = max(1, math.ceil(self.sizes.count() / LOT_ROWS))
         band = F.floor(F.log2(F.col("n_tokens").cast("double")) * 8).cast("int")
-        rows = rows.withColumn("band", band).withColumn("lot", F.pmod(F.xxhash64("key"), F.lit(parts)))
+        rows = rows.withColumn("band", band).withColumn("lot", F.pmod(F.col("salt"), F.lit(lots)).cast("int"))
         spot = ["mix_id", "source", "band", "lot"]
-        sums = written(rows.groupBy(*spot).agg(F.sum("part").alias("s")), "lots")
-        before = Window.partitionBy("mix_id", "source").orderBy("band", "lot").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select(*spot, F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("before"))
-        inside = Window.partitionBy(*spot).orderBy("n_tokens", "key").rowsBetween(Window.unboundedPreceding, 0)
+        sums = written(rows.groupBy(*spot).agg(F.sum("part").alias("s")), "lots").withColumn("stretch", F.floor(F.col("lot") / STRETCH))
+        # sums before a lot: of the stretches before its own, and of the lots before it in its stretch
+        outer = Window.partitionBy("mix_id", "source").orderBy("band", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+        inner = Window.partitionBy("mix_id", "source", "band", "stretch").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+        far = sums.groupBy("mix_id", "source", "band", "stretch").agg(F.sum("s").alias("s")).withColumn("far", F.coalesce(F.sum("s").over(outer), F.lit(0.0))).drop("s")
+        sums = sums.withColumn("near", F.coalesce(F.sum("s").over(inner), F.lit(0.0))).join(far, ["mix_id", "source", "band", "stretch"])
+        sums = sums.select(*spot, (F.col("far") + F.col("near")).alias("before"))
+        inside = Window.partitionBy(*spot).orderBy("n_tokens", "salt").rowsBetween(Window.unboundedPreceding, 0)
         run = rows.join(sums, spot).withColumn("upto", F.col("before") + F.sum("part").over(inside))
         run = written(run.select("mix_id", "source", "key", "n_tokens", "sure", "part", "upto"), "rounding")
 
@@ -148,14 +164,19 @@ class Mixing:
         return out.where("copies > 0")
 
     def shares(self, selection: DataFrame) -> DataFrame:
-        """(mix_id, source, target_share, actual_share, tokens, documents, most_copies) for every row of the target table."""
+        """(mix_id, source, target_share, max_repeats, actual_share, tokens, documents, most_copies, settled) for every row of the target table.
+
+        ``settled``: the source's rate met its tokens; false if the solver stopped before, null for a source without documents.
+        """
         got = selection.groupBy("mix_id", "source").agg(
             F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies")
         )
+        settled = {(p["mix_id"], p["source"]): p["done"] for p in self.plans}
         want = self.spark.createDataFrame(
-            [(t["mix_id"], t["source"], t["target_share"], t["max_repeats"]) for t in self.targets], "mix_id int, source string, target_share double, max_repeats int"
+            [(t["mix_id"], t["source"], t["target_share"], t["max_repeats"], settled.get((t["mix_id"], t["source"]))) for t in self.targets],
+            "mix_id int, source string, target_share double, max_repeats int, settled boolean",
         )
         x = want.join(got, ["mix_id", "source"], "left").fillna(0, ["tokens", "documents", "most_copies"])
         total = F.sum("tokens").over(Window.partitionBy("mix_id"))
         share = F.when(total > 0, F.round(F.col("tokens") / total, 6)).otherwise(0.0)
-        return x.select("mix_id", "source", "target_share", "max_repeats", share.alias("actual_share"), "tokens", "documents", "most_copies")
+        return x.select("mix_id", "source", "target_share", "max_repeats", share.alias("actual_share"), "tokens", "documents", "most_copies", "settled")

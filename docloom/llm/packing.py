@@ -1,6 +1,6 @@
 """Problem 6: filling containers of fixed capacity with items, by bounded-space online best fit.
 
-Items are dealt to shards of bounded size by hash. In a shard a fixed number of bins is open per capacity, kept in a
+Items are dealt to shards of bounded size by the hash of a row number, so that a repeated key is spread too. In a shard a fixed number of bins is open per capacity, kept in a
 bitset keyed by free space: an item goes to the open bin with the least sufficient space; when none fits and all places
 are taken, the fullest closes. The bins that a shard leaves open become items of the next round, in which few shards
 hold the leftovers of many, until one shard is left; so the space lost is that of a fixed number of bins in all.
@@ -99,10 +99,11 @@ def pack(items: DataFrame, capacities: list[tuple[int, int]], key: str, size: st
     if any(c < 1 for _, c in capacities):
         raise ValueError("a capacity must be at least 1")
     items = items.select(F.col(key).alias("item"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
+    items = written(items.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "sized")
     some = items.where("size > 0")
     shards = max(1, math.ceil(some.count() / shard_items))
     placed = written(
-        some.withColumn("shard", F.pmod(F.xxhash64("item", "size"), F.lit(shards)).cast("int"))
+        some.withColumn("shard", F.pmod(F.col("salt"), F.lit(shards)).cast("int")).drop("salt")
         .groupBy("shard").applyInArrow(_pack_shard(capacities, 0), _ROWS), "placed"
     )
     moved = placed.where("open").groupBy("cap_id", "bin").agg(F.sum("size").alias("size"))

@@ -11,7 +11,7 @@ from docloom.llm.mixing import Mixing
 from docloom.llm.neardup import NearDuplicates
 from docloom.llm.quality import text_stats
 from docloom.llm.tokens import sized
-from docloom.runtime import table, written
+from docloom.runtime import table
 
 LOOKALIKE_FIELDS = ["content", "keywords"]
 
@@ -54,7 +54,7 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sized(table(spark, sf_dir, "documents"), ["doc_id"], "text")
     # the four capacities are parameters, so they are read on the driver
     caps = [(r["cap_id"], r["capacity_tokens"]) for r in table(spark, sf_dir, "capacities").select("cap_id", "capacity_tokens").collect()]
-    return packing.pack(written(docs, "sized"), caps, "doc_id", "n_tokens")
+    return packing.pack(docs, caps, "doc_id", "n_tokens")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

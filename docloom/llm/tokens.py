@@ -15,7 +15,6 @@ from docloom.runtime import spread
 #: A ranks file of byte pairs (tiktoken form), and the pattern that cuts text before merging.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SLICE = 4096
 
 
 @lru_cache(maxsize=2)
@@ -28,19 +27,8 @@ def encoder(path: str):
 
 
 def count(text: str, path: str = VOCABULARY) -> int:
-    """Tokens of one text. An unbroken stretch of letters is encoded in slices, as its merging would take quadratic time."""
-    enc = encoder(path)
-    if len(text) <= _SLICE:
-        return len(enc.encode_ordinary(text))
-    n, at = 0, 0
-    while at < len(text):
-        to = min(len(text), at + _SLICE)
-        if to < len(text):  # cut in front of a blank or line break, where the pattern cuts anyway
-            cut = max(text.rfind("\n", at + 1, to), text.rfind(" ", at + 1, to))
-            to = cut if cut > at else to
-        n += len(enc.encode_ordinary(text[at:to]))
-        at = to
-    return n
+    """Tokens of one text, encoded as a whole; merging takes time in proportion to the text, unbroken stretches included."""
+    return len(encoder(path).encode_ordinary(text))
 
 
 def _count_batches(path: str):
