@@ -35,14 +35,14 @@ def source_name(c):
 
 def _sums(sizes: DataFrame, live: list[dict], points: list[list[float]]) -> list[dict[int, tuple[float, float]]]:
     """Per (mix, source), the sum of w x and of its slope at each of its points; one pass over the table of sizes."""
-    rows = [(i, k, t["source"], t["mean"], float(t["max_repeats"]), b) for i, t in enumerate(live) for k, b in enumerate(points[i])]
-    now = sizes.sparkSession.createDataFrame(rows, "i int, k int, source string, mean double, cap double, b double")
+    rows = [(i, k, t["source"], t["mean"], float(t["max_repeats"]), t["most"], b) for i, t in enumerate(live) for k, b in enumerate(points[i])]
+    now = sizes.sparkSession.createDataFrame(rows, "i int, k int, source string, mean double, cap double, most double, b double")
     x = F.col("n_tokens") / F.col("mean")
     raw = F.exp(F.least(F.col("b") * x, F.lit(50.0)))
     w, free = F.least(raw, F.col("cap")), (raw < F.col("cap")).cast("double")
     n = F.col("n")
     got = (
-        sizes.join(F.broadcast(now), "source").withColumn("x", x).withColumn("w", w).withColumn("free", free).groupBy("i", "k")
+        sizes.join(F.broadcast(now), "source").where("n_tokens <= most").withColumn("x", x).withColumn("w", w).withColumn("free", free).groupBy("i", "k")
         .agg(F.sum(n * F.col("w") * F.col("x")).alias("s"), F.sum(n * F.col("w") * F.col("free") * F.col("x") * F.col("x")).alias("h"))
     )
     out: list[dict[int, tuple[float, float]]] = [{} for _ in live]
@@ -101,25 +101,36 @@ class Mixing:
         self.plans = _newton(self.counts, self._plans())
 
     def _plans(self) -> list[dict]:
-        """What each source of a mix has to give: documents, mean size, wanted tokens and rate; every document counts."""
-        n = F.col("n")
-        per = self.counts.groupBy("source").agg(F.sum(n).alias("docs"), F.sum(n * F.col("n_tokens")).alias("tokens"))
-        names = self.spark.createDataFrame([(x,) for x in dict.fromkeys(t["source"] for t in self.targets)], "source string")
-        got = {r["source"]: r for r in per.join(F.broadcast(names), "source", "left_semi").collect()}  # one row per source that a mix names
-        plans = []
-        for mix in dict.fromkeys(t["mix_id"] for t in self.targets):
-            own = [t for t in self.targets if t["mix_id"] == mix and t["source"] in got and t["target_share"] > 0 and t["max_repeats"] > 0]
-            share = sum(t["target_share"] for t in own)
-            total = min((t["max_repeats"] * got[t["source"]]["tokens"] * share / t["target_share"] for t in own), default=0.0)
-            for t in own:
-                docs, tokens, want = got[t["source"]]["docs"], got[t["source"]]["tokens"], total * t["target_share"] / share
-                plans.append(t | {"docs": docs, "mean": tokens / docs, "rate": min(want / tokens, float(t["max_repeats"])), "want": want})
-        return plans
+        """What each source of a mix has to give: documents, mean size, wanted tokens and rate.
+
+        A document larger than all its source has to give a mix can't be taken even once; the totals are then taken again
+        without it, until every document that counts fits. ``left_out`` says how many don't.
+        """
+        live = [t | {"most": float("inf")} for t in self.targets if t["target_share"] > 0 and t["max_repeats"] > 0]
+        n, fits, every = F.col("n"), F.col("n_tokens") <= F.col("most"), None
+        while live:  # each round leaves out at least one size of a source
+            limits = self.spark.createDataFrame([(i, t["source"], t["most"]) for i, t in enumerate(live)], "i int, source string, most double")
+            rows = self.counts.join(F.broadcast(limits), "source").where(fits).groupBy("i")
+            got = {r["i"]: r for r in rows.agg(F.sum(n).alias("docs"), F.sum(n * F.col("n_tokens")).alias("tokens"), F.max("n_tokens").alias("largest")).collect()}
+            every = every or {i: r["docs"] for i, r in got.items()}
+            plans, settled = [], True
+            for mix in dict.fromkeys(t["mix_id"] for t in live):
+                own = [(i, t) for i, t in enumerate(live) if t["mix_id"] == mix and i in got]
+                share = sum(t["target_share"] for _, t in own)
+                total = min((t["max_repeats"] * got[i]["tokens"] * share / t["target_share"] for i, t in own), default=0.0)
+                for i, t in own:
+                    docs, tokens, want = got[i]["docs"], got[i]["tokens"], total * t["target_share"] / share
+                    plans.append(t | {"docs": docs, "mean": tokens / docs, "rate": min(want / tokens, float(t["max_repeats"])), "want": want, "left_out": every[i] - docs})
+                    if got[i]["largest"] > want:
+                        t["most"], settled = want, False
+            if settled:
+                return plans
+        return []
 
     def _rates(self) -> DataFrame:
         return self.spark.createDataFrame(
-            [(p["mix_id"], p["source"], p["mean"], float(p["max_repeats"]), p["b"], p["rate"] >= p["max_repeats"] * (1 - 1e-9)) for p in self.plans],
-            "mix_id int, source string, mean double, cap double, b double, whole boolean",
+            [(p["mix_id"], p["source"], p["mean"], float(p["max_repeats"]), p["b"], p["rate"] >= p["max_repeats"] * (1 - 1e-9), p["most"]) for p in self.plans],
+            "mix_id int, source string, mean double, cap double, b double, whole boolean, most double",
         )
 
     def selection(self) -> DataFrame:
@@ -129,7 +140,7 @@ class Mixing:
         by a mix that no document has gives none. A target table without rows gives an empty result.
         """
         rate = F.least(F.exp(F.least(F.col("b") * F.col("n_tokens") / F.col("mean"), F.lit(50.0))), F.col("cap"))
-        rows = self.sizes.join(F.broadcast(self._rates()), "source").withColumn("w", F.when(F.col("whole"), F.col("cap")).otherwise(rate))
+        rows = self.sizes.join(F.broadcast(self._rates()), "source").where("n_tokens <= most").withColumn("w", F.when(F.col("whole"), F.col("cap")).otherwise(rate))
         w = F.round("w", 9)
         rows = rows.select("mix_id", "source", "key", "n_tokens", "salt", F.floor(w).alias("sure"), (w - F.floor(w)).alias("part"))
         # systematic rounding: the running sum of fractional parts, in order of size, steps over a whole number; of
@@ -164,19 +175,20 @@ class Mixing:
         return out.where("copies > 0")
 
     def shares(self, selection: DataFrame) -> DataFrame:
-        """(mix_id, source, target_share, max_repeats, actual_share, tokens, documents, most_copies, settled) for every row of the target table.
+        """(mix_id, source, target_share, max_repeats, actual_share, tokens, documents, most_copies, settled, left_out) for every row of the target table.
 
         ``settled``: the source's rate met its tokens; false if the solver stopped before, null for a source without documents.
+        ``left_out``: documents larger than all that their source has to give the mix.
         """
         got = selection.groupBy("mix_id", "source").agg(
             F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies")
         )
-        settled = {(p["mix_id"], p["source"]): p["done"] for p in self.plans}
+        said = {(p["mix_id"], p["source"]): (p["done"], p["left_out"]) for p in self.plans}
         want = self.spark.createDataFrame(
-            [(t["mix_id"], t["source"], t["target_share"], t["max_repeats"], settled.get((t["mix_id"], t["source"]))) for t in self.targets],
-            "mix_id int, source string, target_share double, max_repeats int, settled boolean",
+            [(t["mix_id"], t["source"], t["target_share"], t["max_repeats"], *said.get((t["mix_id"], t["source"]), (None, 0))) for t in self.targets],
+            "mix_id int, source string, target_share double, max_repeats int, settled boolean, left_out long",
         )
         x = want.join(got, ["mix_id", "source"], "left").fillna(0, ["tokens", "documents", "most_copies"])
         total = F.sum("tokens").over(Window.partitionBy("mix_id"))
         share = F.when(total > 0, F.round(F.col("tokens") / total, 6)).otherwise(0.0)
-        return x.select("mix_id", "source", "target_share", "max_repeats", share.alias("actual_share"), "tokens", "documents", "most_copies", "settled")
+        return x.select("mix_id", "source", "target_share", "max_repeats", share.alias("actual_share"), "tokens", "documents", "most_copies", "settled", "left_out")
