@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import candidates as C
-from docloom.llm import setjoin, shingles
+from docloom.llm import setjoin
 from docloom.llm.components import components
 from docloom.llm.lookalike import mapped
 from docloom.runtime import spread, written
@@ -30,18 +30,19 @@ class NearDuplicates:
         self.least = least
         self.rows = df.where(F.length(text) >= least_chars).select(F.col(key).cast("long").alias("id"), F.col(doc).alias("doc"), F.col(text).alias("text"))
         shown = spread(self.rows.select("id", "text")).select("id", mapped(F.col("text")).alias("text"))
-        self.texts = written(shown.mapInArrow(shingles.bare_batches, shingles.BARE), "bare")
+        self.table = setjoin.sketched(shown)
+        self.texts = self.table.where("piece IS NULL")
         self.members = self.texts.select("id", "text_hash").distinct()
 
     def leaders(self) -> DataFrame:
-        """(id, text) of one row per text: that of the least id."""
+        """One row per text, that of the least id; ids that occur twice come once."""
         copies = self.members.groupBy("text_hash").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
         followers = written(self.members.join(copies, "text_hash").where("id <> leader").select("id"), "followers")
-        return self.texts.select("id", "text").join(C.checked(followers), "id", "left_anti")
+        return self.texts.select("id", "text", "size", "sketch", "parity").join(C.checked(followers), "id", "left_anti")
 
     def links(self) -> DataFrame:
         """(a, b, likeness), a < b: the links between leaders, written once."""
-        pairs = setjoin.candidate_links(self.leaders(), self.least)
+        pairs = setjoin.links_of(self.table, self.leaders(), self.least)
         texts = self.texts.select("id", "text")
         return written(C.verified(pairs, texts, texts, self.least).dropDuplicates(["a", "b"]), "links")
 

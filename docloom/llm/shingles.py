@@ -130,17 +130,6 @@ def signature_batches(groups: int, per: int, bits: int, id_type: pa.DataType = p
     return run
 
 
-def bare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: (id, mapped text) to (id, text_hash, text), the bare text; texts shorter than a run are left out."""
-    for b in batches:
-        texts = [bare(t) for t in b.column(1).to_pylist()]
-        keep = [i for i, t in enumerate(texts) if len(t) >= RUN]
-        hashes = np.array([xxhash.xxh3_64_intdigest(texts[i].encode("utf-8", "surrogatepass")) for i in keep], np.uint64).view(np.int64)
-        cols = [b.column(0).take(pa.array(keep, pa.int64())), pa.array(hashes, pa.int64()), pa.array([texts[i] for i in keep], pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "text"])
-
-
-BARE = "id long, text_hash long, text string"
 SIGNATURE = "id long, text_hash long, size int, s0 long, s1 long, s2 long, s3 long, keys array<long>"
 
 

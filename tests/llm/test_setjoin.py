@@ -18,21 +18,19 @@ def test_parity_sketch_bounds_the_difference():
     h, off = shingles.runs(texts)
     sizes = np.diff(off)
     raw = setjoin.parity(h, np.repeat(np.arange(len(texts)), sizes), sizes)
-    import pyarrow as pa
-
-    level, words = setjoin._sketch_levels(pa.chunked_array([pa.array(raw, pa.binary())]))
     sets = [set(h[off[i] : off[i + 1]].tolist()) for i in range(len(texts))]
     for i in range(len(texts)):
         for j in range(len(texts)):
-            k = min(level[i], level[j])
-            assert np.bitwise_count(words[k][1][words[k][0][i]] ^ words[k][1][words[k][0][j]]).sum() <= len(sets[i] ^ sets[j])
-    assert set(level) == {0, 1, 2, 3}
+            w = min(len(raw[i]), len(raw[j]))
+            assert np.bitwise_count(setjoin.folded(raw[i], w) ^ setjoin.folded(raw[j], w)).sum() <= len(sets[i] ^ sets[j])
+    assert {len(x) * 8 for x in raw} == {512, 1024, 2048, 4096}
 
 
-@pytest.mark.parametrize(("least", "ranges"), [(0.6, 400), (0.8, 10**6), (0.5, 3000)])
-def test_no_link_is_lost(spark, monkeypatch, least, ranges):
-    """Against brute force, over set sizes of all sketch levels, with few and many ranges."""
+@pytest.mark.parametrize(("least", "ranges", "hot"), [(0.6, 400, 10**6), (0.8, 10**6, 10**6), (0.5, 3000, 10**6), (0.6, 400, 7), (0.5, 10**6, 3)])
+def test_no_link_is_lost(spark, monkeypatch, least, ranges, hot):
+    """Against brute force, over set sizes of all sketch levels, with few and many ranges, with hot runs split and unsplit."""
     monkeypatch.setattr(setjoin, "RANGE_RUNS", ranges)
+    monkeypatch.setattr(setjoin, "HOT_SETS", hot)
     rng = random.Random(int(least * 10))
     texts = []
     for _ in range(25):
@@ -51,3 +49,30 @@ def test_nothing(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert setjoin.candidate_links(df, 0.6).count() == 0
     assert setjoin.candidate_links(spark.createDataFrame([(1, "abc"), (2, "abc")], "id long, text string"), 0.6).count() == 0
+
+
+def test_counts_are_added_up_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "FAN", 2)
+    texts = [text(random.Random(i), 60) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(7)
+    counts = setjoin.bucket_counts(setjoin.sketched(df))
+    assert counts.sum() == sum(len({t[i : i + 5] for i in range(len(t) - 4)}) for t in map(shingles.bare, texts))
+
+
+def test_what_a_set_sends_is_bounded(spark):
+    """However many ranges there are, a listed run costs at most its own 6 bytes and one head of 49 with the sketch."""
+    texts = [text(random.Random(i), 390) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    table = setjoin.sketched(df)
+    counts, sent = setjoin.bucket_counts(table), {}
+    sizes = [len({t[i : i + 5] for i in range(len(t) - 4)}) for t in map(shingles.bare, texts)]
+    listed = sum(n - -(-6 * n // 10) + 1 for n in sizes)
+    for ranges in (1, 10, 100, 1000, 10_000):
+        plan = setjoin.Plan(counts, 0.6)
+        plan.ranges = ranges
+        shared = spark.sparkContext.broadcast(plan)
+        lists = table.where("piece IS NULL").select("id", "text", "sketch").mapInArrow(setjoin._prefix_batches(shared, 0.6), setjoin.LISTS)
+        cols = [c.split()[0] for c in setjoin.LISTS.split(", ")][1:]
+        sent[ranges] = lists.selectExpr("sum(" + " + ".join(f"length({c})" for c in cols) + ")").first()[0]
+        assert sent[ranges] <= min(6 * listed + 49 * ranges * len(texts), 55 * listed)
+    assert sent[10_000] < 1.2 * sent[1000]
