@@ -12,6 +12,8 @@ from docloom.runtime import written
 
 #: Up to so many ids (8 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Standard deviations below the expected agreement at which a sketch drops a pair, and the chance of that at the threshold.
+SIGMAS, SKETCH_LOSS = 4, 3.2e-5
 
 
 def checked(ids: DataFrame) -> DataFrame:
@@ -22,7 +24,7 @@ def checked(ids: DataFrame) -> DataFrame:
 def agreeing(bits: int, least: float, words: int) -> int:
     """Bits that the sketches of sets of likeness ``least`` agree in, less four standard deviations."""
     p = (1 + least) / 2
-    return math.floor(bits * p - 4 * math.sqrt(bits * p * (1 - p))) if words else 0
+    return math.floor(bits * p - SIGMAS * math.sqrt(bits * p * (1 - p))) if words else 0
 
 
 def sketch_filter(words: list[str], least: float) -> Column:
@@ -53,10 +55,10 @@ def likely_pairs(pairs: DataFrame, sigs_a: DataFrame, sigs_b: DataFrame, least:
 
 
 def verified(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame, least: float) -> DataFrame:
-    """(a, b, likeness) of the pairs whose exact likeness is at least ``least``; texts: (id, text)."""
-    pairs = written(pairs, "likely")
-    few_a = written(pairs.select(F.col("a").alias("id")).distinct(), "likely-a")
-    few_b = written(pairs.select(F.col("b").alias("id")).distinct(), "likely-b")
-    ta = texts_a.join(checked(few_a), "id", "left_semi").select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    tb = texts_b.join(checked(few_b), "id", "left_semi").select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(likeness_batches(least), PAIRS)
+    """(a, b, likeness) of the pairs whose exact likeness is at least ``least``; texts: (id, text).
+
+    Few pairs are broadcast to the texts of their first ends, so that only those texts move; many are joined by shuffle.
+    """
+    pairs = checked(written(pairs, "likely"))
+    ta, tb = texts_a.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts_b.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return ta.join(pairs, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(likeness_batches(least), PAIRS)

@@ -1,31 +1,43 @@
 """Problem 4: deduplicating new batches against all history, with a prefix-tree hash forest.
 
 Each accepted item stands in ``TREES`` trees, in each under a packed signature of ``PER_TREE`` MinHash values taken in
-that tree's own permutation. A tree is kept as runs sorted by (tree, signature); a batch is located in them by the range
-of signatures that share a prefix. Prefixes start at the full signature and are widened until the chance to meet an item
-of the threshold likeness reaches the recall target. Meetings are verified exactly, decided in order of item_id, and the
-accepted items are appended as a new run; runs are merged when there are too many. History is never hashed again.
+that tree's own permutation. The trees are kept as runs sorted by (tree, signature) in a shared folder, with a manifest that
+a later session takes up. Items that share the first values of a signature stand in one range of a tree, so a batch reads
+from the runs only the ranges that its own signatures fall in: they are range predicates, by which the files' row groups
+and pages are skipped. Prefixes start at the full signature and are widened, a value at a time, until the chance to meet an
+item of the threshold likeness reaches the recall target. Meetings are verified exactly, decided in order of item_id, and
+the accepted items are appended as a new run; runs of like size are merged. History is never hashed again.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import candidates as C
 from docloom.llm import shingles
 from docloom.llm.lookalike import mapped
-from docloom.runtime import drop_path, scratch_path, written
-
-TREES, PER_TREE, BITS = 64, 5, 12
-LIKENESS, LEAST_CHARS, RECALL, MOST_RUNS = 0.6, 120, 0.9995, 4
-_KEPT = "id long, text_hash long, size int, s0 long, s1 long, s2 long, s3 long, text string"
+from docloom.runtime import drop_path, names_in, read_text, scratch_path, spread, write_text, written
+
+TREES, PER_TREE, BITS = 32, 5, 12
+LIKENESS, LEAST_CHARS, RECALL = 0.6, 120, 0.9995
+#: Ranges that a search names at most (nearer ones are joined, so more is read but nothing missed), over so many cells a tree.
+MOST_RANGES, CELL_BITS = 256, 10
+#: Up to so many signatures of a batch (of 48 bytes) are broadcast to the history; beyond, both are shuffled by prefix.
+BROADCAST_POSTINGS = 250_000
+#: Rows of a page of the runs, which is what a search reads at least, and of a bucket that is sorted in one task.
+PAGE_ROWS, BUCKET_ROWS = 1000, 1_000_000
+_KEPT = ["id", "text_hash", "size", "s0", "s1", "s2", "s3", "text"]
+_KEPT_SCHEMA = "id long, text_hash long, size int, s0 long, s1 long, s2 long, s3 long, text string"
 _INDEX = "tree int, signature long, id long, size int, s0 long, s1 long"
 
 
 def recall(likeness: float, depth: int, trees: int = TREES) -> float:
-    """The chance that sets of this likeness share a prefix of ``depth`` values in some tree."""
-    return 1 - (1 - likeness**depth) ** trees
+    """The chance that sets of this likeness share a prefix of ``depth`` values in some tree and pass both sketches."""
+    return (1 - (1 - likeness**depth) ** trees) * (1 - 2 * C.SKETCH_LOSS)
 
 
 def depth_for(likeness: float, target: float, trees: int = TREES, per: int = PER_TREE) -> int:
@@ -36,95 +48,162 @@ def depth_for(likeness: float, target: float, trees: int = TREES, per: int = PER
     return depth
 
 
+def ranges(cells: list[tuple[int, int]], most: int = MOST_RANGES) -> list[tuple[int, int, int]]:
+    """(tree, first, last) runs of the cells (tree, cell); beyond ``most``, those with the smallest gaps between are joined."""
+    out: list[list[int]] = []
+    for tree, cell in sorted(cells):
+        if out and out[-1][0] == tree and out[-1][2] + 1 >= cell:
+            out[-1][2] = cell
+        else:
+            out.append([tree, cell, cell])
+    gaps = sorted((b[1] - a[2], i) for i, (a, b) in enumerate(zip(out, out[1:])) if a[0] == b[0])
+    joined = {i for _, i in gaps[: max(0, len(out) - most)]}
+    merged: list[list[int]] = []
+    for i, r in enumerate(out):
+        if i - 1 in joined:
+            merged[-1][2] = r[2]
+        else:
+            merged.append(r)
+    return [tuple(r) for r in merged]
+
+
 class HashForest:
-    """The accepted items of all earlier batches and their trees, in a folder that all executors share."""
+    """The accepted items of all earlier batches and their trees, in a folder that all executors share.
+
+    A forest at a path where one was kept before takes up its runs.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, least: float = LIKENESS, least_chars: int = LEAST_CHARS, target: float = RECALL):
-        self.spark, self.least, self.least_chars = spark, least, least_chars
+        self.spark, self.least, self.least_chars, self.target = spark, least, least_chars, target
         self.path = path or scratch_path(spark, "forest")
-        self.depth = depth_for(least, target)
-        self.runs: list[str] = []
-        self.made = 0
-
-    def _read(self, what: str, schema: str) -> DataFrame:
-        paths = [f"{r}/{what}" for r in self.runs]
+        self.state: dict = {"runs": [], "made": 0, "last": None, "form": [TREES, PER_TREE, BITS, least, least_chars]}
+        if kept := [n for n in names_in(spark, self.path) if n.startswith("manifest-") and n.endswith(".json")]:
+            self.state = json.loads(read_text(spark, f"{self.path}/{kept[-1]}"))
+            if self.state["form"] != [TREES, PER_TREE, BITS, least, least_chars]:
+                raise ValueError(f"the forest at {self.path} was made with other parameters")
+
+    @property
+    def runs(self) -> list[str]:
+        return [name for name, _ in self.state["runs"]]
+
+    def _read(self, what: str, schema: str, runs: list[str] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{r}/{what}" for r in (self.runs if runs is None else runs)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _append(self, kept: DataFrame, trees: DataFrame) -> None:
-        run = f"{self.path}/run-{self.made}"
-        self.made += 1
-        kept.write.parquet(f"{run}/kept")
-        trees.repartitionByRange("tree", "signature").sortWithinPartitions("tree", "signature").write.parquet(f"{run}/index")
-        self.runs.append(run)
-        if len(self.runs) > MOST_RUNS:
-            self._merge()
-
-    def _merge(self) -> None:
-        """Merge all runs but the first, largest one; the first joins when the others have outgrown it."""
-        old = self.runs if self.made % (4 * MOST_RUNS) == 0 else self.runs[1:]
-        stay, self.runs = [r for r in self.runs if r not in old], old
-        run = f"{self.path}/run-{self.made}"
-        self.made += 1
-        self._read("kept", _KEPT).write.parquet(f"{run}/kept")
-        self._read("index", _INDEX).repartitionByRange("tree", "signature").sortWithinPartitions("tree", "signature").write.parquet(f"{run}/index")
-        self.runs = [*stay, run]
-        for r in old:
-            drop_path(self.spark, r)
-
-    def _prefix(self, tree: Column, signature: Column) -> Column:
-        """One key for the range of signatures that share the first ``depth`` values in a tree."""
-        return F.shiftleft(tree.cast("long"), 57).bitwiseXOR(F.shiftrightunsigned(signature, BITS * (PER_TREE - self.depth)))
-
-    def _postings(self, trees: DataFrame) -> DataFrame:
-        return trees.select(self._prefix(F.col("tree"), F.col("signature")).alias("key"), "id", "size", "s0", "s1")
+    def _write_run(self, kept: DataFrame, trees: DataFrame, rows: int) -> str:
+        """A new run; it counts once the manifest names it, so one that an earlier attempt left is written over."""
+        name = f"run-{self.state['made']:08d}"
+        kept.write.mode("overwrite").parquet(f"{self.path}/{name}/kept")
+        cells = 1 << max(0, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)))
+        bucket = F.shiftright("signature", BITS * PER_TREE - 20) % cells
+        index = trees.repartition(F.col("tree"), bucket).sortWithinPartitions("tree", "signature")
+        index.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/{name}/index")
+        return name
+
+    def _commit(self, runs: list[tuple[str, int]], last: int) -> None:
+        """Name the runs that count in a new manifest; what no manifest names any more is deleted."""
+        gone, before = set(self.runs) - {n for n, _ in runs}, self.state["made"]
+        self.state = self.state | {"runs": runs, "made": before + 1, "last": last}
+        write_text(self.spark, f"{self.path}/manifest-{self.state['made']:08d}.json", json.dumps(self.state))
+        for old in [f"manifest-{before:08d}.json", *gone]:
+            drop_path(self.spark, f"{self.path}/{old}")
+
+    def _append(self, kept: DataFrame, trees: DataFrame, rows: int, last: int) -> None:
+        """Append a run; the newest runs are merged into the one before while they hold over half as many rows."""
+        if not rows:
+            return self._commit(self.state["runs"], last)
+        runs = [*self.state["runs"], (self._write_run(kept, trees, rows), rows)]
+        self._commit(runs, last)
+        at, total = len(runs) - 1, rows
+        while at > 0 and 2 * total > runs[at - 1][1]:
+            at, total = at - 1, total + runs[at - 1][1]
+        if at < len(runs) - 1:
+            old = [n for n, _ in runs[at:]]
+            name = self._write_run(self._read("kept", _KEPT_SCHEMA, old), self._read("index", _INDEX, old), total)
+            self._commit([*runs[:at], (name, total)], last)
+
+    def _postings(self, trees: DataFrame, depth: int) -> DataFrame:
+        """(key, id, size, s0, s1): one key for the range of signatures that share the first ``depth`` values in a tree."""
+        prefix = F.shiftrightunsigned("signature", BITS * (PER_TREE - depth))
+        return trees.select(F.shiftleft(F.col("tree").cast("long"), 57).bitwiseXOR(prefix).alias("key"), "id", "size", "s0", "s1")
+
+    def near(self, trees: DataFrame, items: int) -> DataFrame:
+        """The rows of the runs in the ranges of a batch's signatures (tree, signature, ...); a range holds whole first values."""
+        index = self._read("index", _INDEX)
+        if items >= 4 << CELL_BITS:  # a batch that falls into every cell
+            return index
+        wide = BITS * PER_TREE - CELL_BITS
+        cells = trees.select("tree", F.shiftright("signature", wide).cast("int").alias("cell")).distinct().collect()  # TREES x 2^CELL_BITS at most
+        found: Column | None = None
+        for tree, first, last in ranges([(r["tree"], r["cell"]) for r in cells]):
+            one = (F.col("tree") == tree) & F.col("signature").between(first << wide, ((last + 1) << wide) - 1)
+            found = one if found is None else found | one
+        return index.where(found if found is not None else F.lit(False))
 
     def ingest(self, items: DataFrame, key: str = "item_id", text: str = "content") -> DataFrame:
         """(kept_id, item_id) of the refused items of a batch; the accepted ones join the history.
 
-        Items are taken by id, which must be above all ids of earlier batches; an id that occurs twice is taken once.
-        Null and short texts and texts without a run of five characters are neither compared nor refused.
+        Items are taken by id, which must be above all ids of earlier batches; an id that occurs twice is taken once, with
+        the text of the least hash. Null and short texts and texts without a run of five characters are neither compared
+        nor refused. Null ids are left out.
         """
-        rows = items.where(F.length(text) >= self.least_chars).select(F.col(key).cast("long").alias("id"), mapped(F.col(text)).alias("text"))
-        rows = rows.dropDuplicates(["id"])
-        sigs = written(
-            rows.mapInArrow(shingles.signature_batches(TREES, PER_TREE, BITS, with_text=True), shingles.SIGNATURE + ", text string"), "batch"
-        )
-        # equal texts share one decision
-        leader = F.min("id").alias("leader")
-        copies = written(sigs.groupBy("text_hash").agg(leader), "copies")
-        lead = sigs.join(copies.select(F.col("leader").alias("id")), "id", "left_semi")
-        trees = written(lead.select(F.posexplode("keys").alias("tree", "signature"), "id", "size", "s0", "s1").select(*[c.split()[0] for c in _INDEX.split(", ")]), "batch-trees")
-        new, old = self._postings(trees), self._postings(self._read("index", _INDEX))
-        pairs = C.candidate_pairs(new, new, self.least, same=True).union(C.candidate_pairs(old, new, self.least, same=False))
-        history = self._read("kept", _KEPT)
-        known = history.select("id", "s0", "s1", "s2", "s3").union(lead.select("id", "s0", "s1", "s2", "s3"))
-        likely = C.likely_pairs(pairs, known, lead, self.least)
-        texts = history.select("id", "text").union(lead.select("id", "text"))
-        links = written(C.verified(likely, texts, lead.select("id", "text"), self.least).select("a", "b"), "batch-links")
-        refused = written(self._decide(links, lead), "batch-refused")
-        out = self._with_copies(sigs, copies, refused)
+        rows = spread(items.where(F.length(text) >= self.least_chars).where(F.col(key).isNotNull())).select(F.col(key).cast("long").alias("id"), mapped(F.col(text)).alias("text"))
+        batch = written(rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id()), "batch")
+        count, low, high = batch.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
+        if not count:
+            return self.spark.createDataFrame([], "kept_id long, item_id long")
+        if self.state["last"] is not None and low <= self.state["last"]:
+            raise ValueError(f"item {low} isn't above those of earlier batches")
+        # equal texts share one decision, that of the first: its leader
+        one = batch.groupBy("id").agg(F.min(F.struct("h", "n")).alias("x")).select("id", "x.h", "x.n")
+        tops = one.groupBy("h").agg(F.min(F.struct("id", "n")).alias("t")).select("h", F.col("t.id").alias("leader"), F.col("t.n").alias("top"))
+        copies = written(one.join(tops, "h").select("id", "leader", "n", "top"), "copies")
+        chosen = batch.select("id", "n", "text").join(C.checked(copies.where("n = top").select("n")), "n", "left_semi").select("id", "text")
+        lead = written(chosen.mapInArrow(shingles.signature_batches(TREES, PER_TREE, BITS, with_text=True), shingles.SIGNATURE + ", text string"), "batch-signatures")
+        trees = lead.select(F.posexplode("keys").alias("tree", "signature"), "id", "size", "s0", "s1")
+        links = written(self._links(lead, trees, count), "batch-links")
+        refused = written(self._decide(links, low), "batch-refused")
+        out = self._with_copies(copies, lead, refused)
         gone = C.checked(refused.select("id"))
-        self._append(lead.join(gone, "id", "left_anti").select(*[c.split()[0] for c in _KEPT.split(", ")]), trees.join(gone, "id", "left_anti"))
+        self._append(lead.join(gone, "id", "left_anti").select(*_KEPT), trees.join(gone, "id", "left_anti"), lead.count() - refused.count(), high)
         return out
 
-    def _decide(self, links: DataFrame, lead: DataFrame) -> DataFrame:
-        """(id, kept): the refused among the linked; an item is decided once all earlier items it resembles are."""
-        new = lead.select("id")
+    def _links(self, lead: DataFrame, trees: DataFrame, count: int) -> DataFrame:
+        """(a, b), a < b: the leaders of a batch and the earlier items, of the batch or of history, that they resemble."""
+        depth = depth_for(self.least, self.target)
+        new = self._postings(trees, depth)
+        pairs, sketches = C.candidate_pairs(new, new, self.least, same=True), ["id", "s0", "s1", "s2", "s3"]
+        known, texts = lead.select(*sketches), lead.select("id", "text")
+        if self.runs:
+            old = self._postings(self.near(trees, count), depth)
+            asked = F.broadcast(new) if count * TREES <= BROADCAST_POSTINGS else new
+            pairs = pairs.union(C.candidate_pairs(old, asked, self.least, same=False))
+            history = self._read("kept", _KEPT_SCHEMA)
+            known, texts = history.select(*sketches).union(known), history.select("id", "text").union(texts)
+        likely = C.likely_pairs(pairs, known, lead.select(*sketches), self.least)
+        return C.verified(likely, texts, lead.select("id", "text"), self.least).select("a", "b")
+
+    def _decide(self, links: DataFrame, low: int) -> DataFrame:
+        """(id, kept): the refused among the linked; an item is decided once all earlier items it resembles are. Ids below
+        ``low`` are history, which is accepted."""
         ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-        state = ends.join(new.withColumn("state", F.lit(0)), "id", "left").select("id", F.coalesce("state", F.lit(1)).alias("state"))
-        state = written(state, "state")  # 0 open, 1 accepted, 2 refused; history is accepted
+        by_history = links.where(F.col("a") < low).select(F.col("b").alias("id")).distinct().withColumn("known", F.lit(2))
+        state = ends.join(by_history, "id", "left").select("id", F.when(F.col("id") < low, 1).otherwise(F.coalesce("known", F.lit(0))).alias("state"))
+        state = written(state, "state")  # 0 open, 1 accepted, 2 refused
+        inner = links.where(F.col("a") >= low)
         while not state.where("state = 0").isEmpty():
-            seen = links.join(state.select(F.col("id").alias("a"), F.col("state").alias("sa")), "a")
+            seen = inner.join(state.select(F.col("id").alias("a"), F.col("state").alias("sa")), "a")
             seen = seen.groupBy(F.col("b").alias("id")).agg(F.max(F.col("sa") == 1).alias("hit"), F.max(F.col("sa") == 0).alias("wait"))
             now = F.when(F.col("state") != 0, F.col("state")).when(F.col("hit"), 2).when(F.col("wait"), 0).otherwise(1)
             state = written(state.join(seen, "id", "left").select("id", now.cast("int").alias("state")), "state")
         kept = links.join(state.where("state = 1").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("kept"))
         return state.where("state = 2").select("id").join(kept, "id")
 
-    def _with_copies(self, sigs: DataFrame, copies: DataFrame, refused: DataFrame) -> DataFrame:
+    def _with_copies(self, copies: DataFrame, lead: DataFrame, refused: DataFrame) -> DataFrame:
         """A later copy is refused for its accepted leader, or for what its leader was refused for."""
-        all_items = sigs.select("id", "text_hash").join(copies, "text_hash").join(refused.select(F.col("id").alias("leader"), "kept"), "leader", "left")
-        return all_items.where("kept IS NOT NULL OR id <> leader").select(F.coalesce("kept", "leader").alias("kept_id"), F.col("id").alias("item_id"))
+        compared = lead.select(F.col("id").alias("leader"))  # without those that have no run
+        every = copies.select("id", "leader").join(compared, "leader").join(refused.select(F.col("id").alias("leader"), "kept"), "leader", "left")
+        return every.where("kept IS NOT NULL OR id <> leader").select(F.coalesce("kept", "leader").alias("kept_id"), F.col("id").alias("item_id"))
 
 
 def dedup_batches(df: DataFrame, batch: str = "batch_no", per_ingest: int = 8, key: str = "item_id", text: str = "content") -> DataFrame:
