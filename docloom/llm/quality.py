@@ -1,8 +1,8 @@
 """Problem 8: per-document text statistics, and rules on them that tell prose from lists, tables and junk.
 
-Characters are classed through lookup tables over the whole text at once; lines are read once each. Beside the usual
-figures (words, symbols, line ends, common words) there are repetition figures: duplicate lines and paragraphs, and the
-share of the text that the most frequent run of eight characters covers.
+Characters are classed, and runs of characters counted, in arrays over many texts at once; lines are read once each. Beside
+the usual figures (words, symbols, line ends, common words) there are repetition figures: duplicate lines and paragraphs, and
+the share of the characters that the occurrences of the most frequent run cover, for runs of several lengths.
 """
 
 from __future__ import annotations
@@ -15,18 +15,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.runtime import spread
 
-NGRAM = 8
+#: Lengths of runs whose dominant one is measured, powers of two; the distinct share is that of runs of NGRAM.
+NGRAMS, NGRAM = (4, 8, 16), 8
+#: Characters taken together; a longer text is taken by itself.
+CHARS_AT_ONCE = 1 << 20
 STATS = {
     "n_chars": "int", "word_count": "int", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double",
     "common_share": "double", "line_count": "int", "ended_lines": "double", "sentence_marks": "double", "short_lines": "double",
     "entry_share": "double", "row_share": "double", "sentence_share": "double", "trace_share": "double", "noise_ratio": "double",
     "damaged_ratio": "double", "rare_ideographs": "double", "duplicate_lines": "double", "duplicate_paragraphs": "double",
-    "dominant_ngram": "double", "distinct_ngrams": "double", "distinct_words": "double", "longest_word": "int",
+    "dominant_4gram": "double", "dominant_ngram": "double", "dominant_16gram": "double", "distinct_ngrams": "double", "distinct_words": "double", "longest_word": "int",
 }
 
 _WORD = re.compile(r"[A-Za-z\u00c0-\u024f]+")
@@ -43,7 +47,9 @@ _TRACE = re.compile(
     r"\s*(?:\[?(?:DEBUG|TRACE|WARN|WARNING|INFO|ERROR|FATAL)\]?[\s:]|0x[0-9a-fA-F]{4,}|at [\w.$<>]+\(|Traceback |File \"|\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d[.,]\d+\s|[0-9a-fA-F]{6,8}[: ]\s*(?:[0-9a-fA-F]{2} ){4})"
 )
 _MOJIBAKE = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]+")
-_CSV_FIELD = re.compile(r'"(?:[^"]|"")*"|[^,;]*')
+_LINES = re.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]+")
+_PARAGRAPHS = re.compile(r"\n\s*\n")
+_PIECES = re.compile(r"[\u3400-\u9fff]+|\d+")
 
 
 @lru_cache(maxsize=1)
@@ -70,24 +76,25 @@ def _tables() -> np.ndarray:
     return t
 
 
-def _line_kind(line: str, fields: int) -> str:
-    """entry, row, trace, sentence or other, for one non-blank line; ``fields``: the usual comma fields of the text."""
+def _line_kind(line: str, fields: int, inner: int, ended: bool) -> str:
+    """entry, row, trace, sentence or other, for one non-blank line of ``inner`` sentence marks, ``ended`` by one or not;
+    ``fields``: the usual comma fields of the text. Cheap tests stand before the patterns that they imply."""
+    n = len(line)
     if _TRACE.match(line):
         return "trace"
-    if _BORDER.match(line) and len(line) > 8 or _CELL.search(line):
+    if n > 8 and _BORDER.match(line) or "<" in line and _CELL.search(line):
         return "row"
-    n = len(line)
     if line.count("|") + line.count("¦") + line.count("│") >= 2:
         return "row"
-    if len(_LEADER.findall(line)) and n < 160:
+    bare = line.strip()
+    if n < 160 and bare[-1].isdigit() and _LEADER.search(line):
         return "entry"
-    gaps = len(_GAP.findall(line.strip()))
-    if gaps >= 2 or "\t" in line.strip() and gaps:
+    if "\t" in bare or "  " in bare or "\u3000" in bare:
+        gaps = len(_GAP.findall(bare))
+        if gaps >= 2 or "\t" in bare and gaps:
+            return "row"
+    if line.count("=") >= 2 and len(_PAIR.findall(line)) >= 2:
         return "row"
-    if len(_PAIR.findall(line)) >= 2:
-        return "row"
-    ended = bool(_END.search(line.rstrip()))
-    inner = len(_SENTENCE.findall(line))
     if not inner and fields >= 3 and line.count(",") + line.count(";") >= 2 and _csv_fields(line) == fields:
         return "row"
     room = _room(line)
@@ -126,53 +133,97 @@ def _csv_fields(line: str) -> int:
     return max(bare.count(","), bare.count(";")) + 1
 
 
+def _repetition(codes: np.ndarray, owner: np.ndarray, texts: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of NGRAMS, per text: the characters that the most frequent run's occurrences cover (none if it occurs
+    once), and the share of its runs that are distinct. Runs are known by a 44-bit hash; of equally frequent ones one counts."""
+    out, h, step = {}, codes.astype(np.uint64), 1
+    while step < max(NGRAMS):
+        h = h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + (h[step:] ^ (h[step:] >> np.uint64(29))) if len(h) > step else h[:0]
+        step *= 2
+        if step not in NGRAMS:
+            continue
+        covered, distinct = np.zeros(texts, np.int64), np.ones(texts)
+        own = owner[: len(h)]
+        mine = np.flatnonzero(own == owner[step - 1 :]) if len(h) else np.zeros(0, np.int64)
+        if len(mine):
+            own = own[mine]
+            key = (own.astype(np.uint64) << np.uint64(44)) | ((h[mine] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20))
+            ranked = np.sort(key)
+            at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            count = np.diff(np.append(at, len(ranked)))
+            text = (ranked[at] >> np.uint64(44)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            most = np.zeros(texts, np.int64)
+            most[text[first]] = np.maximum.reduceat(count, first)
+            top = np.flatnonzero((count == most[text]) & (count > 1))
+            best = np.zeros(texts, np.uint64)
+            best[text[top]] = ranked[at[top]]  # the last one of a tie
+            spots = mine[key == best[own]]
+            spots = spots[most[owner[spots]] > 1]
+            room = np.full(len(spots), step)
+            same = owner[spots[1:]] == owner[spots[:-1]]
+            room[:-1][same] = np.minimum(step, np.diff(spots)[same])
+            covered = np.bincount(owner[spots], weights=room, minlength=texts).astype(np.int64)
+            distinct[text[first]] = np.diff(np.append(first, len(text))) / np.bincount(own, minlength=texts)[text[first]]
+        out[step] = covered, distinct
+    return out
+
+
 def stats(text: str, common: frozenset[str]) -> dict:
     """The figures of one text that isn't blank. ``common``: very frequent words of all languages in lower case."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = np.bincount(_tables()[codes], minlength=10)
-    shown = max(1, int(len(codes) - kinds[5]))
+    return stats_of([text], common)[0]
+
+
+def stats_of(texts: list[str], common: frozenset[str]) -> list[dict]:
+    """The figures of texts that aren't blank."""
+    lens = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), lens)
+    kinds = np.bincount(owner * 10 + _tables()[codes], minlength=10 * len(texts)).reshape(-1, 10)
+    hits = np.bincount(owner, weights=_common_table(common)[codes], minlength=len(texts)).astype(np.int64)
+    latin = np.bincount(owner, weights=(codes >= 0xC2) & (codes <= 0xF4), minlength=len(texts)) > 0  # may hold broken encoding
+    repeated = _repetition(codes, owner, len(texts))
+    out = []
+    for i, text in enumerate(texts):
+        grams = {k: (float(covered[i]) / len(text), float(distinct[i])) for k, (covered, distinct) in repeated.items()}
+        out.append(_figures(text, common, kinds[i], int(hits[i]), bool(latin[i]), grams))
+    return out
+
+
+def _figures(text: str, common: frozenset[str], kinds: np.ndarray, hits: int, latin: bool, grams: dict[int, tuple[float, float]]) -> dict:
+    shown = max(1, int(len(text) - kinds[5]))
     words = _WORD.findall(text)
     lower = [w.lower() for w in words]
     ideographs = int(kinds[2] + kinds[3])
-    hits = sum(1 for w in lower if w in common) + _common_ideographs(codes, common)
+    hits += sum(map(common.__contains__, lower))
     units = len(words) + ideographs
-    lines = [x for x in re.split(r"[\n\r\x0b\x0c\x85\u2028\u2029]+", text) if x.strip()]
+    lines = [x for x in _LINES.split(text) if x.strip()]
     fields = Counter(_csv_fields(x) for x in lines if "," in x or ";" in x).most_common(1)
     usual = fields[0][0] if fields and fields[0][1] >= 2 and fields[0][1] >= 0.4 * len(lines) else 0
-    kinds_of = [_line_kind(x, usual) for x in lines]
+    inner = [len(_SENTENCE.findall(x)) for x in lines]
+    ends = [_END.search(x.rstrip()) is not None for x in lines]
+    kinds_of = [_line_kind(x, usual, k, e) for x, k, e in zip(lines, inner, ends)]
     _wrapped(lines, kinds_of)
     share, total = Counter(), sum(map(len, lines))
     for k, x in zip(kinds_of, lines):
         share[k] += len(x)
-    ended = sum(bool(_END.search(x.rstrip())) for x in lines)
     short = sum(len(x) <= 30 for x in lines)
-    tokens = text.split()
-    paragraphs = [x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()]
+    longest = max(map(len, text.split()), default=0)
+    paragraphs = [x.strip() for x in _PARAGRAPHS.split(text) if x.strip()]
     stripped = [x.strip() for x in lines]
-    h = codes.astype(np.uint64)
-    if len(h) >= NGRAM:
-        g = h[: len(h) - NGRAM + 1].copy()
-        for k in range(1, NGRAM):
-            g *= np.uint64(0x9E3779B97F4A7C15)
-            g += h[k : len(h) - NGRAM + 1 + k]
-        g.sort()
-        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        most = int(np.diff(np.append(at, len(g))).max())
-        dominant, distinct = (min(1.0, most * NGRAM / len(h)) if most > 1 else 0.0), len(at) / len(g)
-    else:
-        dominant, distinct = 0.0, 1.0
-    broken = sum(len(x) for x in _MOJIBAKE.findall(text)) + int(kinds[9])
-    pieces = [*lower, *re.findall(r"[\u3400-\u9fff]+|\d+", text)]
+    broken = (sum(len(x) for x in _MOJIBAKE.findall(text)) if latin else 0) + int(kinds[9])
+    pieces = [*lower, *_PIECES.findall(text)]
+    strings = sum(map(len, _LONG.findall(text))) if longest >= 25 and not share["trace"] else 0
     return {
         "n_chars": len(text), "word_count": units, "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
         "symbol_ratio": float(kinds[7] + kinds[8] + kinds[6]) / shown, "digit_ratio": float(kinds[4]) / shown, "common_share": hits / max(1, units),
-        "line_count": len(lines), "ended_lines": ended / len(lines), "sentence_marks": 100 * len(_SENTENCE.findall(text)) / len(text), "short_lines": short / len(lines),
+        "line_count": len(lines), "ended_lines": sum(ends) / len(lines), "sentence_marks": 100 * sum(inner) / len(text), "short_lines": short / len(lines),
         "entry_share": share["entry"] / total, "row_share": share["row"] / total, "sentence_share": share["sentence"] / total,
-        "trace_share": (share["trace"] + (sum(map(len, _LONG.findall(text))) if not share["trace"] else 0)) / total,
+        "trace_share": (share["trace"] + strings) / total,
         "noise_ratio": float(kinds[8]) / shown, "damaged_ratio": broken / shown, "rare_ideographs": float(kinds[3]) / max(1, ideographs),
         "duplicate_lines": 1 - len(set(stripped)) / len(stripped), "duplicate_paragraphs": 1 - len(set(paragraphs)) / len(paragraphs),
-        "dominant_ngram": dominant, "distinct_ngrams": distinct, "distinct_words": len(set(pieces)) / max(1, len(pieces)),
-        "longest_word": max(map(len, tokens), default=0),
+        "dominant_4gram": grams[4][0], "dominant_ngram": grams[8][0], "dominant_16gram": grams[16][0], "distinct_ngrams": grams[NGRAM][1],
+        "distinct_words": len(set(pieces)) / max(1, len(pieces)), "longest_word": longest,
     }
 
 
@@ -185,25 +236,23 @@ def _common_table(common: frozenset[str]) -> np.ndarray:
     return t
 
 
-def _common_ideographs(codes: np.ndarray, common: frozenset[str]) -> int:
-    return int(_common_table(common)[codes].sum())
-
-
 def kind(s: dict) -> str:
-    """prose, list, table or junk, from the figures of one text."""
+    """prose, list, table or junk, from the figures of one text; the shares of line kinds and the repetition figures together."""
     rows, entries, sentences = s["row_share"], s["entry_share"], s["sentence_share"]
     if s["damaged_ratio"] > 0.02 or s["trace_share"] > 0.5 or s["noise_ratio"] > 0.06:
         return "junk"  # broken encoding, machine traces, damaged recognition
     if s["rare_ideographs"] > 0.5 and s["common_share"] < 0.05 and rows < 0.5:
         return "junk"  # random ideographs
-    if s["symbol_ratio"] > 0.9:
-        return "junk"
-    if s["n_chars"] >= 40 and s["distinct_ngrams"] < 0.12:
-        return "junk"  # endless repetition
+    if s["symbol_ratio"] > 0.9 or s["mean_word_length"] > 30 and sentences < 0.5:
+        return "junk"  # signs only, or random strings
+    if s["n_chars"] >= 40 and (s["distinct_ngrams"] < 0.12 or max(s["dominant_4gram"], s["dominant_ngram"], s["dominant_16gram"]) > 0.85):
+        return "junk"  # endless repetition: few runs of characters, or one that covers nearly all
     if s["distinct_words"] < 0.3 and s["digit_ratio"] < 0.03 and sentences < 0.3 and entries < 0.5:
         return "junk"  # the same few words over and over: page furniture
     if s["duplicate_lines"] > 0.5 and s["line_count"] * (1 - s["duplicate_lines"]) <= 15 and s["distinct_words"] < 0.35 and rows < 0.5:
         return "junk"
+    if s["duplicate_paragraphs"] > 0.7 and s["dominant_16gram"] > 0.4 and rows < 0.5:
+        return "junk"  # a few paragraphs over and over: boilerplate
     if s["line_count"] == 1 and rows > 0.5 and s["digit_ratio"] < 0.03:
         return "junk"  # words set apart, but no rows
     if sentences >= 0.5:
@@ -212,16 +261,31 @@ def kind(s: dict) -> str:
         return "table"
     if entries >= 0.35:
         return "list"
-    if sentences < 0.2 and s["sentence_marks"] < 0.1 and s["n_chars"] > 60:
-        return "junk"  # heaps of words without sentences
+    if s["short_lines"] >= 0.8 and s["ended_lines"] < 0.2 and s["line_count"] >= 5 and s["duplicate_lines"] < 0.5:
+        return "list"  # mixed short lines
+    if s["word_count"] == 0 and rows < 0.2 or sentences < 0.2 and s["sentence_marks"] < 0.1 and s["n_chars"] > 60:
+        return "junk"  # heaps of words without sentences, or none
     return "prose"
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about CHARS_AT_ONCE characters, a row at least."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        upto, at = np.cumsum(pc.utf8_length(b.column(1)).to_numpy()), 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHARS_AT_ONCE, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _stat_batches(common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"int": pa.int32(), "double": pa.float64()}
-        for b in batches:
-            rows = [stats(t, common) for t in b.column(1).to_pylist()]
+        for b in _spans(batches):
+            rows = stats_of(b.column(1).to_pylist(), common)
             cols = [pa.array([r[k] for r in rows], types[v]) for k, v in STATS.items()]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([kind(r) for r in rows], pa.string())], names=["id", *STATS, "doc_kind"])
 
