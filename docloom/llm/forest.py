@@ -2,9 +2,9 @@
 
 Each accepted item stands in ``TREES`` trees, in each under a packed signature of ``PER_TREE`` MinHash values taken in
 that tree's own permutation. The trees are kept as runs sorted by (tree, signature) in a shared folder, with a manifest that
-a later session takes up. Items that share the first values of a signature stand in one range of a tree, so a batch reads
-from the runs only the ranges that its own signatures fall in: they are range predicates, by which the files' row groups
-and pages are skipped. Prefixes start at the full signature and are widened, a value at a time, until the chance to meet an
+a later session takes up. Items that share the first values of a signature stand in one range of a tree. A run is cut into
+shelves, ranges of its sorted order of about as many rows each, and a batch reads of it only the shelves that the ranges of
+its own signatures fall in. Prefixes start at the full signature and are widened, a value at a time, until the chance to meet an
 item of the threshold likeness reaches the recall target. Meetings are verified exactly, decided in order of item_id, and
 the accepted items are appended as a new run; runs of like size are merged. History is never hashed again.
 """
@@ -24,15 +24,16 @@ from docloom.runtime import drop_path, names_in, read_text, scratch_path, spread
 
 TREES, PER_TREE, BITS = 32, 5, 12
 LIKENESS, LEAST_CHARS, RECALL = 0.6, 120, 0.9995
-#: Ranges that a search names at most (nearer ones are joined, so more is read but nothing missed), over so many cells a tree.
-MOST_RANGES, CELL_BITS = 256, 10
+#: A cell is the range of a tree's signatures that share the first so many bits.
+CELL_BITS = 20
+#: Rows of a shelf, sorted in one task and read as a whole, and the most signatures that shelves are looked up for; a batch of
+#: more is taken to fall into all of them.
+SHELF_ROWS, MOST_LOOKED_UP = 1_000_000, 262_144
 #: Up to so many signatures of a batch (of 48 bytes) are broadcast to the history; beyond, both are shuffled by prefix.
 BROADCAST_POSTINGS = 250_000
-#: Rows of a page of the runs, which is what a search reads at least, and of a bucket that is sorted in one task.
-PAGE_ROWS, BUCKET_ROWS = 1000, 1_000_000
 _KEPT = ["id", "text_hash", "size", "s0", "s1", "s2", "s3", "text"]
 _KEPT_SCHEMA = "id long, text_hash long, size int, s0 long, s1 long, s2 long, s3 long, text string"
-_INDEX = "tree int, signature long, id long, size int, s0 long, s1 long"
+_INDEX = "cell int, signature long, id long, size int, s0 long, s1 long"
 
 
 def recall(likeness: float, depth: int, trees: int = TREES) -> float:
@@ -48,23 +49,16 @@ def depth_for(likeness: float, target: float, trees: int = TREES, per: int = PER
     return depth
 
 
-def ranges(cells: list[tuple[int, int]], most: int = MOST_RANGES) -> list[tuple[int, int, int]]:
-    """(tree, first, last) runs of the cells (tree, cell); beyond ``most``, those with the smallest gaps between are joined."""
-    out: list[list[int]] = []
-    for tree, cell in sorted(cells):
-        if out and out[-1][0] == tree and out[-1][2] + 1 >= cell:
-            out[-1][2] = cell
-        else:
-            out.append([tree, cell, cell])
-    gaps = sorted((b[1] - a[2], i) for i, (a, b) in enumerate(zip(out, out[1:])) if a[0] == b[0])
-    joined = {i for _, i in gaps[: max(0, len(out) - most)]}
-    merged: list[list[int]] = []
-    for i, r in enumerate(out):
-        if i - 1 in joined:
-            merged[-1][2] = r[2]
-        else:
-            merged.append(r)
-    return [tuple(r) for r in merged]
+def postings_of(signed: DataFrame) -> DataFrame:
+    """The rows of the trees (cell, signature, id, size, s0, s1) of signed items."""
+    trees = signed.select(F.posexplode("keys").alias("tree", "signature"), "id", "size", "s0", "s1")
+    cell = F.shiftleft("tree", CELL_BITS).bitwiseOR(F.shiftright("signature", BITS * PER_TREE - CELL_BITS).cast("int"))
+    return trees.select(cell.alias("cell"), "signature", "id", "size", "s0", "s1")
+
+
+def shelf(shelves: int) -> Column:
+    """The shelf of a row of a run cut into so many; signatures are even, so stretches of cells are."""
+    return F.floor(F.col("cell").cast("long") * shelves / (TREES << CELL_BITS)).cast("int")
 
 
 class HashForest:
@@ -84,25 +78,25 @@ class HashForest:
 
     @property
     def runs(self) -> list[str]:
-        return [name for name, _ in self.state["runs"]]
+        return [r["name"] for r in self.state["runs"]]
 
     def _read(self, what: str, schema: str, runs: list[str] | None = None) -> DataFrame:
-        paths = [f"{self.path}/{r}/{what}" for r in (self.runs if runs is None else runs)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        out = self.spark.createDataFrame([], schema)
+        for run in self.runs if runs is None else runs:
+            out = out.union(self.spark.read.schema(schema).parquet(f"{self.path}/{run}/{what}").select(*out.columns))  # without the shelf
+        return out
 
-    def _write_run(self, kept: DataFrame, trees: DataFrame, rows: int) -> str:
+    def _write_run(self, kept: DataFrame, trees: DataFrame, rows: int) -> dict:
         """A new run; it counts once the manifest names it, so one that an earlier attempt left is written over."""
-        name = f"run-{self.state['made']:08d}"
-        kept.write.mode("overwrite").parquet(f"{self.path}/{name}/kept")
-        cells = 1 << max(0, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)))
-        bucket = F.shiftright("signature", BITS * PER_TREE - 20) % cells
-        index = trees.repartition(F.col("tree"), bucket).sortWithinPartitions("tree", "signature")
-        index.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/{name}/index")
-        return name
-
-    def _commit(self, runs: list[tuple[str, int]], last: int) -> None:
+        run = {"name": f"run-{self.state['made']:08d}", "rows": rows, "shelves": max(1, math.ceil(rows * TREES / SHELF_ROWS))}
+        kept.write.mode("overwrite").parquet(f"{self.path}/{run['name']}/kept")
+        index = trees.withColumn("shelf", shelf(run["shelves"])).repartition(run["shelves"], "shelf").sortWithinPartitions("shelf", "cell", "signature")
+        index.write.mode("overwrite").partitionBy("shelf").parquet(f"{self.path}/{run['name']}/index")
+        return run
+
+    def _commit(self, runs: list[dict], last: int) -> None:
         """Name the runs that count in a new manifest; what no manifest names any more is deleted."""
-        gone, before = set(self.runs) - {n for n, _ in runs}, self.state["made"]
+        gone, before = set(self.runs) - {r["name"] for r in runs}, self.state["made"]
         self.state = self.state | {"runs": runs, "made": before + 1, "last": last}
         write_text(self.spark, f"{self.path}/manifest-{self.state['made']:08d}.json", json.dumps(self.state))
         for old in [f"manifest-{before:08d}.json", *gone]:
@@ -112,33 +106,32 @@ class HashForest:
         """Append a run; the newest runs are merged into the one before while they hold over half as many rows."""
         if not rows:
             return self._commit(self.state["runs"], last)
-        runs = [*self.state["runs"], (self._write_run(kept, trees, rows), rows)]
+        runs = [*self.state["runs"], self._write_run(kept, trees, rows)]
         self._commit(runs, last)
         at, total = len(runs) - 1, rows
-        while at > 0 and 2 * total > runs[at - 1][1]:
-            at, total = at - 1, total + runs[at - 1][1]
+        while at > 0 and 2 * total > runs[at - 1]["rows"]:
+            at, total = at - 1, total + runs[at - 1]["rows"]
         if at < len(runs) - 1:
-            old = [n for n, _ in runs[at:]]
-            name = self._write_run(self._read("kept", _KEPT_SCHEMA, old), self._read("index", _INDEX, old), total)
-            self._commit([*runs[:at], (name, total)], last)
+            old = [r["name"] for r in runs[at:]]
+            self._commit([*runs[:at], self._write_run(self._read("kept", _KEPT_SCHEMA, old), self._read("index", _INDEX, old), total)], last)
 
     def _postings(self, trees: DataFrame, depth: int) -> DataFrame:
         """(key, id, size, s0, s1): one key for the range of signatures that share the first ``depth`` values in a tree."""
         prefix = F.shiftrightunsigned("signature", BITS * (PER_TREE - depth))
-        return trees.select(F.shiftleft(F.col("tree").cast("long"), 57).bitwiseXOR(prefix).alias("key"), "id", "size", "s0", "s1")
-
-    def near(self, trees: DataFrame, items: int) -> DataFrame:
-        """The rows of the runs in the ranges of a batch's signatures (tree, signature, ...); a range holds whole first values."""
-        index = self._read("index", _INDEX)
-        if items >= 4 << CELL_BITS:  # a batch that falls into every cell
-            return index
-        wide = BITS * PER_TREE - CELL_BITS
-        cells = trees.select("tree", F.shiftright("signature", wide).cast("int").alias("cell")).distinct().collect()  # TREES x 2^CELL_BITS at most
-        found: Column | None = None
-        for tree, first, last in ranges([(r["tree"], r["cell"]) for r in cells]):
-            one = (F.col("tree") == tree) & F.col("signature").between(first << wide, ((last + 1) << wide) - 1)
-            found = one if found is None else found | one
-        return index.where(found if found is not None else F.lit(False))
+        tree = F.shiftright("cell", CELL_BITS).cast("long")
+        return trees.select(F.shiftleft(tree, 57).bitwiseXOR(prefix).alias("key"), "id", "size", "s0", "s1")
+
+    def near(self, trees: DataFrame, items: int, depth: int = PER_TREE) -> DataFrame:
+        """The rows of the runs' shelves that a batch's signatures fall in; all that share ``depth`` values with one are among them."""
+        whole = items * TREES > MOST_LOOKED_UP or BITS * depth < CELL_BITS
+        found = self.spark.createDataFrame([], _INDEX)
+        for run in self.state["runs"]:
+            rows = self.spark.read.schema(f"{_INDEX}, shelf int").parquet(f"{self.path}/{run['name']}/index")
+            if run["shelves"] > 1 and not whole:
+                asked = [r["shelf"] for r in trees.select(shelf(run["shelves"]).alias("shelf")).distinct().collect()]  # at most a run's shelves
+                rows = rows.where(F.col("shelf").isin(asked))
+            found = found.union(rows.drop("shelf"))
+        return found
 
     def ingest(self, items: DataFrame, key: str = "item_id", text: str = "content") -> DataFrame:
         """(kept_id, item_id) of the refused items of a batch; the accepted ones join the history.
@@ -160,7 +153,7 @@ class HashForest:
         copies = written(one.join(tops, "h").select("id", "leader", "n", "top"), "copies")
         chosen = batch.select("id", "n", "text").join(C.checked(copies.where("n = top").select("n")), "n", "left_semi").select("id", "text")
         lead = written(chosen.mapInArrow(shingles.signature_batches(TREES, PER_TREE, BITS, with_text=True), shingles.SIGNATURE + ", text string"), "batch-signatures")
-        trees = lead.select(F.posexplode("keys").alias("tree", "signature"), "id", "size", "s0", "s1")
+        trees = postings_of(lead)
         links = written(self._links(lead, trees, count), "batch-links")
         refused = written(self._decide(links, low), "batch-refused")
         out = self._with_copies(copies, lead, refused)
@@ -175,7 +168,7 @@ class HashForest:
         pairs, sketches = C.candidate_pairs(new, new, self.least, same=True), ["id", "s0", "s1", "s2", "s3"]
         known, texts = lead.select(*sketches), lead.select("id", "text")
         if self.runs:
-            old = self._postings(self.near(trees, count), depth)
+            old = self._postings(self.near(trees, count, depth), depth)
             asked = F.broadcast(new) if count * TREES <= BROADCAST_POSTINGS else new
             pairs = pairs.union(C.candidate_pairs(old, asked, self.least, same=False))
             history = self._read("kept", _KEPT_SCHEMA)
