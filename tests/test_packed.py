@@ -79,3 +79,33 @@ def test_cheapest_dialect_is_learnt(spark):
     assert chosen == 1
     got = {(r["key"] if "key" in r else r["obj_id"], r["item"]) for r in unpack(df, "obj_id", ["f"]).where("obj_id >= 60").collect()}
     assert got == {(60, "100"), (60, "200"), (61, "100"), (61, "200"), (62, "100"), (62, "200"), (63, "7,500 t")}
+
+
+def test_costs_decide(spark, as_rows):
+    """Without the cost stage a field is one value; with it, values known and new are parted."""
+    df = spark.createDataFrame([(1, "a, b；c"), (2, "one value"), (3, "“x, y”|z")], "obj_id long, f string")
+    got = as_rows(unpack(df, "obj_id", ["f"]), "obj_id", "pos", "item")
+    assert got == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "one value"), (3, 1, "x, y"), (3, 2, "z")]
+    assert as_rows(unpack(df, "obj_id", ["f"], costs=False), "obj_id", "item") == [(1, "a, b；c"), (2, "one value"), (3, "“x, y”|z")]
+
+
+def test_search_finds_the_cheapest_of_all(spark):
+    """The search, one switch at a time, ends at the cheapest of all candidate dialects, on every field of a table."""
+    import os
+
+    from docloom.operators.packed_fields import chosen, learnt
+
+    path = "/root/testdata/sf0.001/chunk.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    marked = frozenset(["key_information"])
+    values = long_fields(spark.read.parquet(path), "obj_id", ["keywords", "header", "key_information"]).select("field", "value").distinct()
+    code = learnt(values, marked)
+    for r in values.collect():
+        a, b = (chosen(code, r.field, r.value, r.field in marked, every) for every in (False, True))
+        assert [x for x, _ in a[2]] == [x for x, _ in b[2]] and round(code.parse(r.field, a[2]) - code.parse(r.field, b[2]), 6) == 0
+
+
+def test_brackets_of_any_depth():
+    deep = "(" * 50 + "a, b" + ")" * 50
+    assert parse(f"{deep}, c") == [deep, "c"] and parse("(" * 50_000 + ", c") == ["(" * 50_000, "c"]
