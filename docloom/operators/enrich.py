@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import time
@@ -20,6 +21,8 @@ LABELS = {"description": "图片描述：", "keywords": "关键词：", "queries
 ROLES = {
     "text": "你负责概括文本段落。", "text_fragment": "你负责概括段落的一个分片。", "table_full": "你负责概括整张表格。", "table_row": "你负责结合表头概括表格的一行。", "image": "你负责结合上下文概括图片。",
 }
+#: Rows of one call to a provider.
+CALL_ROWS = 64
 TASK = "请只输出 JSON：{\"description\": \"…\", \"keywords\": [\"…\"]}"
 
 
@@ -30,6 +33,8 @@ class Provider(Protocol):
 
     def embed(self, texts: list[str]) -> list[list[float] | None]: ...
 
+    def vision(self, prompts: list[str], images: list[bytes]) -> list[str | None]: ...
+
 
 class Offline:
     """A deterministic stand-in: describes a prompt by its first characters, embeds by hashing."""
@@ -40,6 +45,11 @@ class Offline:
     def complete(self, prompts: list[str]) -> list[str | None]:
         return ["结果 " + json.dumps({"description": p[:20], "keywords": [str(len(p))]}, ensure_ascii=False) for p in prompts]
 
+    def vision(self, prompts: list[str], images: list[bytes]) -> list[str | None]:
+        """As the model of a vision service would be asked: the picture as a data URI, an analysis record back."""
+        uris = [data_uri(b) for b in images]
+        return [json.dumps({"description": f"图片 {len(b)} 字节", "keywords": [u[5 : u.index(";")]], "image_type": "unknown", "context_relation": p[:20], "key_information": [], "searchable_queries": [p[:10]]}, ensure_ascii=False) for p, b, u in zip(prompts, images, uris)]
+
     def embed(self, texts: list[str]) -> list[list[float] | None]:
         out: list[list[float] | None] = []
         for t in texts:
@@ -55,6 +65,12 @@ class Offline:
         return out
 
 
+def data_uri(image: bytes) -> str:
+    """A picture as a data URI of its kind, as vision services take it."""
+    kind = "png" if image[:4] == b"\x89PNG" else "gif" if image[:3] == b"GIF" else "jpeg"
+    return f"data:image/{kind};base64,{base64.b64encode(image).decode()}"
+
+
 def with_retry(call: Callable, tries: int = 3, first: float = 4.0, most: float = 10.0, kinds: tuple = (ConnectionError, TimeoutError), sleep: Callable = time.sleep):
     """``call()``, again after an exponential pause on the given errors; the last error is raised."""
     for n in range(tries):
@@ -66,29 +82,43 @@ def with_retry(call: Callable, tries: int = 3, first: float = 4.0, most: float =
             sleep(min(most, first * 2**n))
 
 
+def _asked(call: Callable, rows: list) -> list:
+    """``call`` of many rows; if it fails for good, of each by itself, so that only the failing ones come out null."""
+    try:
+        return list(with_retry(lambda: call(rows)))
+    except Exception:  # of any kind: a row's failure must not end the others, nor the job
+        out = []
+        for r in rows:
+            try:
+                out += call([r])
+            except Exception:
+                out.append(None)
+        return out
+
+
 def _batches(make: Callable[[], Provider], method: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
+        call = (lambda rows: provider.vision(*map(list, zip(*rows)))) if method == "vision" else getattr(provider, method)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            asked = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+            texts = b.column(1).to_pylist()
+            images = b.column(2).to_pylist() if method == "vision" else None
+            asked = [i for i, t in enumerate(texts) if t is not None and t.strip() and (images is None or images[i])]
             got: list = [None] * len(texts)
-            if asked:
-                try:
-                    answers = with_retry(lambda: getattr(provider, method)([texts[i] for i in asked]))
-                except (ConnectionError, TimeoutError):
-                    answers = [None] * len(asked)  # a failed call leaves nulls, it doesn't end the batch
-                for i, a in zip(asked, answers):
+            for at in range(0, len(asked), CALL_ROWS):
+                some = asked[at : at + CALL_ROWS]
+                for i, a in zip(some, _asked(call, [texts[i] if images is None else (texts[i], images[i]) for i in some])):
                     got[i] = a
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, kind)], names=[*b.schema.names[:-1], "result"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, kind)], names=[b.schema.names[0], "result"])
 
     return run
 
 
-def call_model(df: DataFrame, key: str, text: Column, make: Callable[[], Provider] = Offline, method: str = "complete") -> DataFrame:
-    """(<key>, result) of each row: the provider's answer or vector; null for blank texts and failed calls."""
-    kind, sql = (pa.string(), "string") if method == "complete" else (pa.list_(pa.float32()), "array<float>")
-    rows = df.select(F.col(key), text.alias("_text"))
+def call_model(df: DataFrame, key: str, text: Column, make: Callable[[], Provider] = Offline, method: str = "complete", image: Column | None = None) -> DataFrame:
+    """(<key>, result) of each row: the provider's answer (complete, vision) or vector (embed); null for blank texts, missing
+    pictures and failed calls. Rows are asked CALL_ROWS at a time; where that fails, one by one."""
+    kind, sql = (pa.list_(pa.float32()), "array<float>") if method == "embed" else (pa.string(), "string")
+    rows = df.select(F.col(key), text.alias("_text"), *([image.alias("_image")] if method == "vision" else []))
     return rows.mapInArrow(_batches(make, method, kind), f"`{key}` {dict(df.dtypes)[key]}, result {sql}")
 
 

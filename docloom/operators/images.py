@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import or_empty, shown, strip
+from docloom.runtime import numbered, running
 
 # The wording of image context, and the record of a failed analysis.
 NO_TITLE = "未知文档"
@@ -24,9 +25,9 @@ ANALYSIS = T.StructType(
 
 def first_seen(refs: DataFrame) -> DataFrame:
     """Image references with image_index: of each relation of a document the first place, numbered from 0; null relations and repeats fall out."""
-    place = ["block_pos", F.col("r").asc_nulls_first(), F.col("c").asc_nulls_first(), "ord"]
-    x = refs.where("rel_id IS NOT NULL").withColumn("__docloom_n", F.row_number().over(Window.partitionBy("doc_id", "rel_id").orderBy(*place))).where("__docloom_n = 1")
-    return x.withColumn("image_index", F.row_number().over(Window.partitionBy("doc_id").orderBy(*place, "rel_id")) - 1).drop("__docloom_n")
+    place = F.struct(*[F.col(c) for c in ("block_pos", "r", "c", "ord")], F.struct(*[F.col(c) for c in refs.columns]).alias("row"))
+    firsts = refs.where("rel_id IS NOT NULL").groupBy(F.col("doc_id").alias("__docloom_d"), F.col("rel_id").alias("__docloom_r")).agg(F.min(place).alias("__docloom_p"))
+    return numbered(firsts.select("__docloom_p.row.*"), ["doc_id"], "block_pos", ["r", "c", "ord", "rel_id"], "n").withColumn("image_index", F.col("n") - 1).drop("n")
 
 
 def anchored(images: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def anchored(images: DataFrame, blocks: DataFrame) -> DataFrame:
     the paragraph before, or to 1; one in a table to its cell."""
     one = blocks.groupBy("doc_id", "block_pos").agg(F.min("kind").alias("kind"), F.min("text").alias("text"))
     solid = ((F.col("kind") == "paragraph") & shown(F.col("text"))).cast("int")
-    upto = F.sum(solid).over(Window.partitionBy("doc_id").orderBy("block_pos").rowsBetween(Window.unboundedPreceding, 0))
-    x = images.join(one.select("doc_id", "block_pos", upto.alias("upto")), ["doc_id", "block_pos"], "left")
+    upto = running(one, ["doc_id"], "block_pos", [], solid, "upto").select("doc_id", "block_pos", F.col("upto").cast("long").alias("upto"))
+    x = images.join(upto, ["doc_id", "block_pos"], "left")
     cell = F.col("r").isNotNull()
     return x.select(
         "doc_id", "block_pos", "rel_id", "image_index", F.when(cell, "table_cell").otherwise("paragraph").alias("container_type"),
@@ -64,13 +65,17 @@ def doc_titles(chunks: DataFrame) -> DataFrame:
 
 def image_context(chunks: DataFrame, window: int = 2) -> DataFrame:
     """(doc_id, obj_id, preceding, following, title, position, context) of image rows: texts within ``window`` rows, the
-    document's title, the row's place, and all of it in one line."""
-    order = Window.partitionBy("doc_id").orderBy("seq", "obj_id")
-    text = F.when(F.col("chunk_type") == "text", or_empty(F.col("content")))
-    x = chunks.select(
-        "doc_id", "obj_id", "chunk_type", F.array_join(F.collect_list(text).over(order.rowsBetween(-window, -1)), " ").alias("preceding"),
-        F.array_join(F.collect_list(text).over(order.rowsBetween(1, window)), " ").alias("following"), F.row_number().over(order).alias("n"),
-    ).where("chunk_type = 'image'")
+    document's title, the row's place, and all of it in one line. The rows around an image are found by their number."""
+    rows = numbered(chunks.select("doc_id", "seq", "obj_id", "chunk_type", "content"), ["doc_id"], "seq", ["obj_id"], "n")
+    images = rows.where("chunk_type = 'image'").select("doc_id", "obj_id", "n")
+    texts = rows.where("chunk_type = 'text'").select("doc_id", F.col("n").alias("at"), or_empty(F.col("content")).alias("t"))
+    steps = F.explode(F.array(*[F.lit(k) for k in range(-window, window + 1) if k]))
+    near = images.withColumn("step", steps).withColumn("at", F.col("n") + F.col("step")).join(texts, ["doc_id", "at"], "left")
+
+    def side(cond) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond & F.col("t").isNotNull(), F.struct("step", "t")))), lambda s: s["t"]), " ")
+
+    x = near.groupBy("doc_id", "obj_id", "n").agg(side(F.col("step") < 0).alias("preceding"), side(F.col("step") > 0).alias("following"))
     x = x.join(doc_titles(chunks), "doc_id").withColumn("position", F.concat(F.lit(PLACE[0]), F.col("n"), F.lit(PLACE[1])))
     parts = [F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c))) for c, label in CONTEXT_LABELS]
     return x.select("doc_id", "obj_id", "preceding", "following", "title", "position", F.concat_ws("，", *parts).alias("context"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import or_empty, shown, strip
-from docloom.runtime import numbered, spread
+from docloom.runtime import numbered, running, spread
 
 # Cut marks by rank, and the reach of the search around the wanted end.
 CUT_MARKS = ("\n。！？)）!?", ";；…:：", ",，\t .")
@@ -42,6 +43,9 @@ class FragmentConfig:
                 raise ValueError(why)
 
 
+_FRAGMENT = "fragment_index int, total_fragments int, start_pos int, end_pos int, fragment_start_pos int, fragment_end_pos int, content string"
+#: What ``text.strip`` takes off.
+_BLANKS = " \t\n\x0b\x0c\r" + "".join(chr(c) for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp"))
 _MARKS = [re.compile(f"[{re.escape(m)}]") for m in CUT_MARKS]
 _SPACE = re.compile(r"\s")
 
@@ -135,23 +139,38 @@ def should_fragment(config: FragmentConfig) -> Column:
     )
 
 
+def _fragment_batches(config: FragmentConfig):
+    """(id, text) to the numbered fragments of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        for b in batches:
+            src, cols = [], [[] for _ in kinds]
+            for i, t in enumerate(b.column(1).to_pylist()):
+                cut = [(s, e, t[s:e]) for s, e in spans(t, config.size, config.overlap)]
+                cut = [x for x in cut if len(x[2].strip(_BLANKS)) >= config.least]
+                for k, (s, e, piece) in enumerate(cut, 1):
+                    first = t.find(piece)
+                    src.append(i)
+                    for c, v in zip(cols, (k, len(cut), s, e, first, first + len(piece), piece)):
+                        c.append(v)
+            cols = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(src, pa.int64())), *cols], names=["id", *[c.split()[0] for c in _FRAGMENT.split(", ")]])
+
+    return run
+
+
 def fragments(chunks: DataFrame, config: FragmentConfig = FragmentConfig()) -> DataFrame:
     """(obj_id, fragment_index, total_fragments, start_pos, end_pos, fragment_start_pos, fragment_end_pos, content).
 
     Of the chunker's pieces those of fewer than ``least`` characters without outer blanks are dropped, the rest numbered.
     A row of which no piece is left gives no fragment: the original stands for it. start_pos is the piece's true place,
-    fragment_start_pos the place where its text first occurs.
+    fragment_start_pos the place where its text first occurs. All of it is done where the text is; an obj_id that occurs
+    twice counts once.
     """
     long = chunks.where(should_fragment(config)).select("obj_id", F.col("content").alias("original")).dropDuplicates(["obj_id"])
-    cut = chunk_split(long, "obj_id", "original", config.size, config.overlap).where(F.length(strip(F.col("content"))) >= config.least)
-    own = Window.partitionBy("obj_id")
-    cut = cut.withColumn("fragment_index", F.row_number().over(own.orderBy("chunk_no"))).withColumn("total_fragments", F.count(F.lit(1)).over(own).cast("int"))
-    first = F.expr("locate(content, original) - 1")
-    out = cut.join(long, "obj_id").withColumn("fragment_start_pos", first)
-    return out.select(
-        "obj_id", "fragment_index", "total_fragments", "start_pos", "end_pos", "fragment_start_pos",
-        (F.col("fragment_start_pos") + F.length("content")).alias("fragment_end_pos"), "content",
-    )
+    out = long.mapInArrow(_fragment_batches(config), f"id {dict(chunks.dtypes)['obj_id']}, {_FRAGMENT}")
+    return out.withColumnRenamed("id", "obj_id")
 
 
 def with_fragments(chunks: DataFrame, config: FragmentConfig = FragmentConfig()) -> DataFrame:
@@ -198,16 +217,18 @@ def fragment_stats(expanded: DataFrame) -> DataFrame:
 
 def table_neighbours(blocks: DataFrame) -> DataFrame:
     """(doc_id, block_pos, table_no, preceding_index, following_index, preceding, following, context) of each Word table:
-    the nearest non-blank paragraph before it, and the one numbered next if there is one."""
+    the nearest non-blank paragraph before it, and the one numbered next if there is one.
+
+    Paragraphs are counted in stretches of a document, and found by their number, so a long document isn't one task's.
+    """
     rows = blocks.groupBy("doc_id", "block_pos").agg(F.min("kind").alias("kind"), F.min("text").alias("text"), F.min("table_no").alias("table_no"))
-    is_para = (F.col("kind") == "paragraph") & shown(F.col("text"))
-    order = Window.partitionBy("doc_id").orderBy("block_pos")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    para = F.when(is_para, F.col("text"))
-    x = rows.select(
-        "doc_id", "block_pos", "kind", "table_no", F.sum(is_para.cast("int")).over(back).alias("before"),
-        F.last(para, ignorenulls=True).over(back).alias("preceding"), F.first(para, ignorenulls=True).over(ahead).alias("following"),
-    ).where("kind = 'table'")
+    solid = (F.col("kind") == "paragraph") & shown(F.col("text"))
+    rows = running(rows.where(solid | (F.col("kind") == "table")).withColumn("solid", solid), ["doc_id"], "block_pos", [], F.col("solid").cast("int"), "before")
+    texts = rows.where("solid").select("doc_id", F.col("before").cast("long").alias("n"), "text")
+    tables = rows.where("kind = 'table'").select("doc_id", "block_pos", "table_no", F.col("before").cast("long").alias("before"))
+    pre = texts.select("doc_id", F.col("n").alias("before"), F.col("text").alias("preceding"))
+    post = texts.select("doc_id", (F.col("n") - 1).alias("before"), F.col("text").alias("following"))
+    x = tables.join(pre, ["doc_id", "before"], "left").join(post, ["doc_id", "before"], "left")
     context = F.concat(F.lit(BEFORE), or_empty(F.col("preceding")), F.lit(AFTER), or_empty(F.col("following")))
     return x.select(
         "doc_id", "block_pos", "table_no", F.when(F.col("before") > 0, F.col("before")).alias("preceding_index"),

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    A machine-local folder is set only where the session names none (tests, a laptop).
+    A machine-local folder is set only where the session names none and runs on one machine (tests, a laptop); a cluster
+    without a shared folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -25,8 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; its results must have been used or written by then."""
+    drop_path(spark, _own_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -82,22 +95,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def numbered(df: DataFrame, keys: list[str], major: str, minor: list[str], name: str, width: int = 4096) -> DataFrame:
-    """``df`` with a dense number from 1 per key, in order of the whole number ``major``, then ``minor``.
+def running(df: DataFrame, keys: list[str], major: str, minor: list[str], value: Column, name: str, width: int = 4096) -> DataFrame:
+    """``df`` with the sum of ``value``, a whole number, over the rows of its key up to this one, in order of the whole number
+    ``major``, then ``minor``.
 
-    Rows are numbered within stretches of ``width`` values of ``major``, and stretches are counted on by a small table, so
+    Rows are summed within stretches of ``width`` values of ``major``, and stretches are counted on by a small table, so
     that a key that holds a third of all rows isn't sorted in one task. A null ``major`` comes first.
     """
-    df = df.withColumn("__docloom_s", F.coalesce(F.floor(F.col(major) / width), F.lit(-(1 << 62))))
-    counts = df.groupBy(*keys, "__docloom_s").agg(F.count(F.lit(1)).alias("__docloom_c"))
+    df = df.withColumn("__docloom_s", F.coalesce(F.floor(F.col(major) / width), F.lit(-(1 << 62)))).withColumn("__docloom_v", value)
+    sums = df.groupBy(*keys, "__docloom_s").agg(F.sum("__docloom_v").alias("__docloom_c"))
     upto = Window.partitionBy(*keys).orderBy("__docloom_s").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*[F.col(k).alias(f"__docloom_{k}") for k in keys], F.col("__docloom_s").alias("__docloom_t"), F.coalesce(F.sum("__docloom_c").over(upto), F.lit(0)).alias("__docloom_b"))
-    own = F.row_number().over(Window.partitionBy(*keys, "__docloom_s").orderBy(major, *minor))
+    before = sums.select(*[F.col(k).alias(f"__docloom_{k}") for k in keys], F.col("__docloom_s").alias("__docloom_t"), F.coalesce(F.sum("__docloom_c").over(upto), F.lit(0)).alias("__docloom_b"))
+    own = F.sum("__docloom_v").over(Window.partitionBy(*keys, "__docloom_s").orderBy(major, *minor).rowsBetween(Window.unboundedPreceding, 0))
     on = [F.col(k).eqNullSafe(F.col(f"__docloom_{k}")) for k in keys] + [F.col("__docloom_s") == F.col("__docloom_t")]
     out = df.withColumn("__docloom_o", own).join(before, on).withColumn(name, (F.col("__docloom_o") + F.col("__docloom_b")).cast("int"))
     return out.drop(*[c for c in out.columns if c.startswith("__docloom_")])
 
 
+def numbered(df: DataFrame, keys: list[str], major: str, minor: list[str], name: str, width: int = 4096) -> DataFrame:
+    """``df`` with a dense number from 1 per key, in order of the whole number ``major``, then ``minor``; see ``running``."""
+    return running(df, keys, major, minor, F.lit(1), name, width)
+
+
 _SHIPPED: set[str] = set()
 
 
