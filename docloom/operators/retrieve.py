@@ -31,50 +31,54 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k) -> DataFrame:
     return scored.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= limit)
 
 
-def _nearest_batches(qids: list, vectors: np.ndarray, kinds: list | None, k: int):
-    """The k best of every query within each Arrow batch, all ties of the last one included."""
+def _best(score: np.ndarray, may: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k greatest scores among those that ``may`` count, all ties of the last one included."""
+    best = np.flatnonzero(may)
+    if k <= 0:
+        return best[:0]
+    if len(best) > k:
+        own = score[best]
+        best = best[own >= np.partition(own, len(best) - k)[len(best) - k]]
+    return best
+
+
+def _nearest_batches(shared):
+    """The k best of every query within each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [i for i, v in enumerate(b.column(1).to_pylist()) if v is not None and len(v) == vectors.shape[1]]
-            if not rows:
-                continue
-            v = np.array([b.column(1)[i].as_py() for i in rows], np.float64)
-            size = np.linalg.norm(v, axis=1)
-            score = np.round(vectors @ (v / np.where(size > 0, size, 1)[:, None]).T, DIGITS)
-            own = np.array(b.column(2).take(pa.array(rows)).to_pylist(), object) if kinds is not None else None
-            q_out, r_out, s_out = [], [], []
-            for q in range(len(qids)):
-                may = np.arange(len(rows)) if own is None else np.flatnonzero(own == kinds[q])
-                if len(may) > k:
-                    least = np.partition(score[q, may], len(may) - k)[len(may) - k]
-                    may = may[score[q, may] >= least]
-                q_out += [qids[q]] * len(may)
-                r_out += [rows[i] for i in may]
-                s_out.append(score[q, may])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q_out, pa.int64()), b.column(0).take(pa.array(r_out, pa.int64())).cast(pa.int64()), pa.array(np.concatenate(s_out) + 0.0)], names=["qid", "id", "score"]
-            )
+        block: _Block = shared.value
+        for b in _pieces(batches):
+            rows, score, may = block.cosine(b)
+            best = [_best(score[q], may[q], block.k[q]) for q in range(len(block.qids))]
+            q, r = np.repeat(np.arange(len(best)), [len(x) for x in best]), np.concatenate([np.zeros(0, np.int64), *best])
+            yield pa.RecordBatch.from_arrays([pa.array(block.qids[q]), b.column(0).take(pa.array(rows[r])).cast(pa.int64()), pa.array(score[q, r])], names=["qid", "id", "score"])
 
     return run
 
 
+def _blocks(queries: DataFrame, same: str | None) -> Iterator[_Block]:
+    """The queries, a stated set, in blocks of QUERY_BLOCK and of one length of vectors each."""
+    rows = queries.toLocalIterator()
+    while some := list(islice(rows, QUERY_BLOCK)):
+        by_length: dict[int, list] = {}
+        for r in some:
+            by_length.setdefault(len(r["vector"] or ()), []).append(r)
+        yield from (_Block(own, same) for own in by_length.values())
+
+
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, most: float | None = None, same: str | None = None) -> DataFrame:
     """(qid, hit_rank, id, distance): the k nearest by cosine distance, ties by id; only then those beyond ``most`` are dropped.
 
-    The queries (qid, vector) are a stated set; they are taken in blocks of QUERY_BLOCK, and each block goes once over the
+    The queries (qid, vector) are a stated set; they are taken in blocks of QUERY_BLOCK, broadcast, and each block goes once over the
     corpus (id, vector), of which a batch sends on its own k best per query. ``same`` names a column that must be equal.
     Null vectors and vectors of another length match nothing; a vector of no length scores 0.
     """
-    names = ["vector", *([same] if same else [])]
-    rows, out = queries.where("vector IS NOT NULL").select("qid", *names).toLocalIterator(), []
-    while block := list(islice(rows, QUERY_BLOCK)):
-        v = np.array([r["vector"] for r in block], np.float64)
-        size = np.linalg.norm(v, axis=1)
-        v /= np.where(size > 0, size, 1)[:, None]
-        kinds = [r[same] for r in block] if same else None
-        out.append(corpus.select("id", *names).mapInArrow(_nearest_batches([r["qid"] for r in block], v, kinds, k), "qid long, id long, score double"))
-    scored = reduce(DataFrame.union, out) if out else corpus.sparkSession.createDataFrame([], "qid long, id long, score double")
+    names, row = ["vector", *([same] if same else [])], "qid long, id long, score double"
+    none = F.lit(None).cast("double")
+    asked = queries.where("vector IS NOT NULL").select("qid", *names, F.lit(k).alias("k"), none.alias("tlo"), none.alias("thi"))
+    sc, rows = corpus.sparkSession.sparkContext, spread(corpus.select("id", *names))
+    out = [rows.mapInArrow(_nearest_batches(sc.broadcast(block)), row) for block in _blocks(asked, same)]
+    scored = reduce(DataFrame.union, out) if out else corpus.sparkSession.createDataFrame([], row)
     hits = top_k(scored, "qid", "score", "id", k)
     hits = hits.select("qid", "hit_rank", "id", F.round(1 - F.col("score"), DIGITS).alias("distance"))
     return hits if most is None else hits.where(F.col("distance") <= most)
@@ -134,9 +138,8 @@ def fused(vector: DataFrame, keyword: DataFrame, alpha: float = ALPHA) -> DataFr
     """
 
     def scaled(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("qid")
-        lo, hi = F.min("score").over(w), F.max("score").over(w)
-        return df.select("qid", "id", F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0).alias(name))
+        ends = df.groupBy("qid").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+        return df.join(ends, "qid").select("qid", "id", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0).alias(name))
 
     x = scaled(vector, "v").join(scaled(keyword, "t"), ["qid", "id"], "full")
     score = F.lit(alpha) * F.coalesce("v", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("t", F.lit(0.0))
@@ -186,10 +189,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (b.slice(at, ROW_BLOCK) for at in range(0, b.num_rows, ROW_BLOCK))
 
 
-def _span_batches(block: _Block):
+def _span_batches(shared):
     """The least and greatest score of every query within each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: _Block = shared.value
         for b in _pieces(batches):
             _, score, may = block.cosine(b)
             some = np.flatnonzero(may.any(axis=1))
@@ -200,12 +204,13 @@ def _span_batches(block: _Block):
     return run
 
 
-def _fused_batches(block: _Block, spans: dict, alpha: float):
+def _fused_batches(shared, spans: dict, alpha: float):
     """The k best of every query by fused score within each batch (id, vector, ..., said), all ties of the last one included."""
-    lo = np.array([spans.get(q, (0.0, 0.0))[0] for q in block.qids.tolist()])[:, None]
-    hi = np.array([spans.get(q, (0.0, 0.0))[1] for q in block.qids.tolist()])[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: _Block = shared.value
+        lo = np.array([spans.get(q, (0.0, 0.0))[0] for q in block.qids.tolist()])[:, None]
+        hi = np.array([spans.get(q, (0.0, 0.0))[1] for q in block.qids.tolist()])[:, None]
         ranked = block.qids[block.order]
         for b in _pieces(batches):
             rows, cosine, counts = block.cosine(b)
@@ -223,17 +228,8 @@ def _fused_batches(block: _Block, spans: dict, alpha: float):
             score[q, row] += (1 - alpha) * np.where(wide, (t - block.low[q]) / np.where(wide, block.high[q] - block.low[q], 1), 1.0)
             may[q, row] = True
             score = np.round(score, DIGITS) + 0.0
-            q_out, r_out = [], []
-            for q in range(len(block.qids)):
-                best, k = np.flatnonzero(may[q]), block.k[q]
-                if k <= 0:
-                    continue
-                if len(best) > k:
-                    best = best[score[q, best] >= np.partition(score[q, best], len(best) - k)[len(best) - k]]
-                q_out.append(np.full(len(best), q))
-                r_out.append(best)
-            q = np.concatenate([np.zeros(0, np.int64), *q_out])
-            r = np.concatenate([np.zeros(0, np.int64), *r_out])
+            best = [_best(score[q], may[q], block.k[q]) for q in range(len(block.qids))]
+            q, r = np.repeat(np.arange(len(best)), [len(x) for x in best]), np.concatenate([np.zeros(0, np.int64), *best])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.qids[q]), b.column(0).take(pa.array(r)).cast(pa.int64()), pa.array(score[q, r]), pa.array(block.k[q].astype(np.int32))], names=["qid", "id", "score", "k"]
             )
@@ -255,9 +251,9 @@ def hybrid_full(queries: DataFrame, keyword: DataFrame, corpus: DataFrame, k: in
     asked = queries.select("qid", *names, (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k")).where("k IS NOT NULL")
     said = keyword.groupBy("id").agg(F.collect_list(F.struct("qid", "score")).alias("said"))
     vectors = spread(corpus.select("id", *names))
-    both, rows, out = written(vectors.join(said, "id", "full"), "both-sides"), asked.join(limits, "qid", "left").toLocalIterator(), []
-    while got := list(islice(rows, QUERY_BLOCK)):
-        block = _Block(got, same)
+    both, out = written(vectors.join(said, "id", "full"), "both-sides"), []
+    for block in _blocks(asked.join(limits, "qid", "left"), same):
+        block = corpus.sparkSession.sparkContext.broadcast(block)
         spans = both.select("id", *names).mapInArrow(_span_batches(block), "qid long, lo double, hi double")
         spans = {r["qid"]: (r["lo"], r["hi"]) for r in spans.groupBy("qid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}  # one row per query
         out.append(both.select("id", *names, "said").mapInArrow(_fused_batches(block, spans, alpha), row))

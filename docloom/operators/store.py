@@ -1,7 +1,7 @@
 """The chunk store: knowledge bases as partitions of parquet tables, with filters, paging, replacement and deletion.
 
-A knowledge base ``Kb_<id>`` is the partition ``kb_id=<id>`` of the store's table. Replacing a document rewrites only the
-partitions of the knowledge bases that the batch touches.
+A knowledge base ``Kb_<id>`` is the partition ``kb_id=<id>`` of the store's table; it can be looked up, described and
+dropped by itself. Rows of one document are written together, so replacing a document rewrites only the files that hold it.
 """
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.runtime import drop_path, written
+from docloom.runtime import drop_path, names_in, written
 
 QUERYABLE = ("text", "table_full", "table_row")
 # The stored properties, with the default of a missing one.
@@ -92,9 +93,15 @@ def latest(chunks: DataFrame, by: str = "stored_at") -> DataFrame:
 
 
 def upsert(base: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("kb_id", "doc_id")) -> DataFrame:
-    """``base`` with all rows of the batch's documents replaced by the batch's; doing it again changes nothing."""
-    new = batch.select(*keys).distinct()
-    return base.join(new, list(keys), "left_anti").unionByName(batch)
+    """``base`` with all rows of the batch's documents replaced by the batch's; doing it again changes nothing. Null keys are
+    keys too: they equal each other."""
+    return without(base, batch, keys).unionByName(batch)
+
+
+def without(base: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("kb_id", "doc_id")) -> DataFrame:
+    """``base`` without the batch's documents."""
+    new = batch.select(*[F.col(k).alias(f"__docloom_{k}") for k in keys]).distinct()
+    return base.join(new, [F.col(k).eqNullSafe(F.col(f"__docloom_{k}")) for k in keys], "left_anti")
 
 
 def delete_by_filter(base: DataFrame, f) -> DataFrame:
@@ -141,8 +148,12 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def exists(self, name: str) -> bool:
-        fs, p = self._fs(self._path(name))
+    def _base(self, name: str, kb_id: int | None) -> str:
+        return self._path(name) if kb_id is None else f"{self._path(name)}/kb_id={int(kb_id)}"
+
+    def exists(self, name: str, kb_id: int | None = None) -> bool:
+        """Whether there is the collection, or the knowledge base in it."""
+        fs, p = self._fs(self._base(name, kb_id))
         return bool(fs.exists(p))
 
     def create(self, name: str, properties: dict[str, str]) -> bool:
@@ -152,36 +163,72 @@ class Store:
             self.spark.createDataFrame([], schema).write.parquet(self._path(name))
         return True
 
-    def drop(self, name: str) -> bool:
-        """False if there was no such collection."""
-        if not self.exists(name):
+    def drop(self, name: str, kb_id: int | None = None) -> bool:
+        """Drop a collection, or one knowledge base of it; false if there was no such one."""
+        if not self.exists(name, kb_id):
             return False
-        drop_path(self.spark, self._path(name))
+        drop_path(self.spark, self._base(name, kb_id))
         return True
 
+    def bases(self, name: str) -> list[int]:
+        """The knowledge bases of a collection."""
+        found = [re.fullmatch(r"kb_id=(\d+)", n) for n in names_in(self.spark, self._path(name))]
+        return sorted(int(m[1]) for m in found if m)
+
     def names(self) -> list[str]:
         fs, p = self._fs(self.root)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, kb_id: int | None = None) -> DataFrame:
         if not self.exists(name):
             raise ValueError(f"collection {name} does not exist")
-        return self.spark.read.parquet(self._path(name))
+        rows = self.spark.read.parquet(self._path(name))
+        return rows if kb_id is None else rows.where(F.col("kb_id") == kb_id)
 
-    def info(self, name: str) -> DataFrame:
-        """(property, type, objects) of a collection."""
-        df = self.read(name)
+    def info(self, name: str, kb_id: int | None = None) -> DataFrame:
+        """(property, type, objects) of a collection, or of one knowledge base."""
+        df = self.read(name, kb_id)
         fields = self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "property string, type string")
         return fields.withColumn("objects", F.lit(df.count()))
 
     def insert(self, name: str, rows: DataFrame) -> None:
         if not self.exists(name):
             raise ValueError(f"collection {name} does not exist")
-        rows.write.mode("append").partitionBy("kb_id").parquet(self._path(name))
+        self._append(name, rows)
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        """Rows of a document into one file; the engine splits a document that is too large for it."""
+        rows.hint("rebalance", "kb_id", "doc_id").write.mode("append").partitionBy("kb_id").parquet(self._path(name))
+
+    def delete(self, name: str, f: Equal | ContainsAny | And) -> None:
+        """Delete the rows that a filter matches; files without one stay as they are."""
+        hit = self.read(name).where(F.coalesce(predicate(f), F.lit(False)))
+        self._rewrite(name, self._files(hit), lambda old: delete_by_filter(old, f))
 
     def replace_documents(self, name: str, batch: DataFrame) -> None:
-        """Replace the documents of the batch; only the partitions of its knowledge bases are rewritten."""
+        """Replace the documents of the batch; only the files that hold rows of them are rewritten.
+
+        The new files are written before the old ones are deleted; after a crash in between, the same call again puts it right.
+        """
+        batch = written(batch, "upsert-batch")
+        new = batch.select("kb_id", "doc_id").distinct()
         old = self.read(name)
-        touched = old.join(batch.select("kb_id").distinct(), "kb_id", "left_semi").select(*batch.columns)
-        new = written(upsert(touched, batch), "upsert")
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(self._path(name))
+        hit = old.join(new.withColumnsRenamed({"kb_id": "_k", "doc_id": "_d"}), F.col("kb_id").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+        self._rewrite(name, self._files(hit), lambda old: without(old, batch), batch)
+        for folder in {f.rpartition("/")[0] for f in batch.inputFiles()}:
+            drop_path(self.spark, unquote(folder))
+
+    def _files(self, hit: DataFrame) -> list[str]:
+        """The files that rows come from: names, as many as there are files."""
+        return [unquote(r[0]) for r in hit.select(F.col("_metadata.file_path")).distinct().collect()]
+
+    def _rewrite(self, name: str, paths: list[str], kept, more: DataFrame | None = None) -> None:
+        rows = more
+        if paths:
+            old = self.spark.read.option("basePath", self._path(name)).parquet(*paths)
+            stay = kept(old)
+            rows = stay if rows is None else stay.select(*rows.columns).unionByName(rows)
+        if rows is not None:
+            self._append(name, rows)
+        for p in paths:
+            drop_path(self.spark, p)

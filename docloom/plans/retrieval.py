@@ -97,55 +97,25 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    q = _asked(spark, d).where("outcome = 'ok'").select("qid", F.col("question").alias("text"), "kb_id")
-    return R.bm25_search(q, _corpus(spark, d), K, part=["kb_id"]).select("qid", "hit_rank", "id", "score")
-
-
-def bm25_asked_topk(spark: SparkSession, d: str) -> DataFrame:
-    """As ``bm25_topk``, with each question's own k, then its own threshold; K stands in for a null k."""
+    """Each question with its own k, then its own threshold; K stands in for a null k."""
     q = _asked(spark, d).where("outcome = 'ok'").select("qid", F.col("question").alias("text"), "kb_id", F.coalesce("k", F.lit(K)).alias("k"), "threshold")
     return R.above(R.bm25_search(q, _corpus(spark, d), "k", part=["kb_id"]), q).select("qid", "hit_rank", "id", "score")
 
 
-def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    q = docs.where("id % 100 = 0").join(_vector_queries(spark, d), F.col("id") == F.col("qid")).select("qid", F.substring("text", 1, 40).alias("text"))
-    v = R.vector_search(_vector_queries(spark, d), _vectors(spark, d), 100).select("qid", "id", F.round(1 - F.col("distance"), 6).alias("score"))
-    return v, R.bm25_search(q, docs, 100).select("qid", "id", "score")
-
-
-def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.hybrid_search(*_hybrid(spark, d), K)
-
-
-def hybrid_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return R.hybrid_search(*_hybrid(spark, d), K, least=0.3)
-
-
-def _hybrid_full(spark: SparkSession, d: str, least: float | None = None, whole: bool = False) -> DataFrame:
+def _hybrid(spark: SparkSession, d: str, least: float | None = None) -> DataFrame:
+    """Documents that have a vector ask by their whole text and vector; all scores of both sides are fused."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     vectors = _vector_queries(spark, d)
-    q = docs.where("id % 100 = 0").join(vectors, F.col("id") == F.col("qid"))
-    q = q.select("qid", "text") if whole else q.select("qid", F.substring("text", 1, 40).alias("text"))
+    q = docs.where("id % 100 = 0").join(vectors, F.col("id") == F.col("qid")).select("qid", "text")
     return R.hybrid_full(vectors, R.bm25_scores(q, docs), _vectors(spark, d), K, least)
 
 
-def hybrid_full_topk(spark: SparkSession, d: str) -> DataFrame:
-    """As ``hybrid_topk``, with each side taken whole instead of its 100 best."""
-    return _hybrid_full(spark, d)
-
-
-def hybrid_full_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid_full(spark, d, 0.3)
-
-
-def hybrid_text_topk(spark: SparkSession, d: str) -> DataFrame:
-    """As ``hybrid_full_topk``, asked by the whole text of the documents instead of its first 40 characters."""
-    return _hybrid_full(spark, d, whole=True)
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d)
 
 
-def hybrid_text_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid_full(spark, d, 0.3, whole=True)
+def hybrid_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d, 0.3)
 
 
 def question_outcome(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kb_view, keyword_codec, collection_counts, latest_chunks, upsert_replace, delete_by_filter, filter_equal, filter_contains_any, type_query_offset,
-        cursor_page, batch_validation, vector_topk, vector_topk_threshold, vector_typed_topk, bm25_topk, bm25_asked_topk, hybrid_topk, hybrid_topk_threshold, hybrid_full_topk, hybrid_full_topk_threshold, hybrid_text_topk, hybrid_text_topk_threshold,
+        cursor_page, batch_validation, vector_topk, vector_topk_threshold, vector_typed_topk, bm25_topk, hybrid_topk, hybrid_topk_threshold,
         question_outcome, formatted_hits, dedup_prefix, merge_ranked, context_budget, source_tags, answer_context, response_sources, answer_outcomes,
     )
 }
@@ -235,12 +205,6 @@ def _hybrid_sql(text: str, least: str = "") -> str:
   SELECT qid, hit_rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS hit_rank FROM fu) WHERE hit_rank <= {K} {least}"""
 
 
-_HYBRID = f"""WITH {_bm25("SELECT doc_id AS id, text FROM documents", "SELECT vec_id AS qid, substr(text, 1, 40) AS text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0", False, 100)},
-  ve AS (SELECT qid, id, round(1 - distance, 6) AS score FROM ({_vec_sql(k=100)})),
-  sc AS (SELECT qid, id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS x, side FROM (SELECT *, min(score) OVER (PARTITION BY qid, side) AS lo, max(score) OVER (PARTITION BY qid, side) AS hi FROM (
-    SELECT qid, id, score, 'v' AS side FROM ve UNION ALL SELECT qid, id, score, 't' FROM bmk))),
-  fu AS (SELECT qid, id, round({R.ALPHA} * coalesce(max(CASE WHEN side = 'v' THEN x END), 0.0) + {1 - R.ALPHA} * coalesce(max(CASE WHEN side = 't' THEN x END), 0.0), 6) AS score FROM sc GROUP BY qid, id),
-  fk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS hit_rank FROM fu) WHERE hit_rank <= {K})"""
 _DEDUP = """dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, substr(coalesce(content, ''), 1, 100) ORDER BY hit_rank, chunk_id) AS n FROM hits) WHERE n = 1),
   mr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coalesce(score, 0.0) DESC, hit_rank, chunk_id)::INT AS merged_rank FROM dd),
   ru AS (SELECT *, sum(length(coalesce(content, ''))) OVER (PARTITION BY qid ORDER BY merged_rank)::BIGINT AS running FROM mr)"""
@@ -269,16 +233,11 @@ SQL = {
     "vector_topk": _vec_sql(),
     "vector_topk_threshold": _vec_sql(most="AND round(1 - score, 6) <= 0.7"),
     "vector_typed_topk": _vec_sql(same="AND c.label = q.label"),
-    "bm25_topk": f"WITH {_ASKED}, {_bm25('SELECT obj_id AS id, content AS text, kb_id FROM chunk', 'SELECT qid, question AS text, kb_id FROM asked WHERE outcome = ' + chr(39) + 'ok' + chr(39), True, K)} SELECT qid, hit_rank, id, score FROM bmk",
-    "bm25_asked_topk": f"""WITH {_ASKED}, own AS (SELECT qid, coalesce(min(k), {K}) AS k, min(threshold) AS threshold FROM questions GROUP BY qid),
+    "bm25_topk": f"""WITH {_ASKED}, own AS (SELECT qid, coalesce(min(k), {K}) AS k, min(threshold) AS threshold FROM questions GROUP BY qid),
       {_bm25('SELECT obj_id AS id, content AS text, kb_id FROM chunk', 'SELECT qid, question AS text, kb_id FROM asked WHERE outcome = ' + chr(39) + 'ok' + chr(39), True, 1_000_000)}
       SELECT qid, hit_rank, id, score FROM bmk JOIN own USING (qid) WHERE hit_rank <= own.k AND (own.threshold IS NULL OR score >= own.threshold)""",
-    "hybrid_topk": f"{_HYBRID} SELECT qid, hit_rank, id, score FROM fk",
-    "hybrid_topk_threshold": f"{_HYBRID} SELECT qid, hit_rank, id, score FROM fk WHERE score >= 0.3",
-    "hybrid_full_topk": _hybrid_sql("substr(text, 1, 40)"),
-    "hybrid_full_topk_threshold": _hybrid_sql("substr(text, 1, 40)", "AND score >= 0.3"),
-    "hybrid_text_topk": _hybrid_sql("text"),
-    "hybrid_text_topk_threshold": _hybrid_sql("text", "AND score >= 0.3"),
+    "hybrid_topk": _hybrid_sql("text"),
+    "hybrid_topk_threshold": _hybrid_sql("text", "AND score >= 0.3"),
     "question_outcome": f"WITH {_ASKED} SELECT qid, kb_id, outcome FROM asked",
     "formatted_hits": f"""SELECT h.qid, h.hit_rank, h.chunk_id, h.chunk_type, h.content, coalesce(h.score, 0.0) AS similarity_score, c.doc_id AS metadata FROM hits h
       LEFT JOIN (SELECT chunk_id, min(doc_id) AS doc_id FROM {_LATEST} GROUP BY chunk_id) c ON c.chunk_id = h.chunk_id""",

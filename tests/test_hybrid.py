@@ -37,5 +37,12 @@ def test_terms_beyond_forty_characters_count(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     vectors = [(i, [1.0, 0.0], 0) for i in range(99)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    whole, prefix = ({r.id: r.score for r in f(spark, f"file://{tmp_path}").collect()} for f in (Q.hybrid_text_topk, Q.hybrid_full_topk))
-    assert 57 in whole and 57 not in prefix and len(whole) == len(prefix) == 10
+    whole = {r.id: r.score for r in Q.hybrid_topk(spark, f"file://{tmp_path}").collect()}
+    assert 57 in whole and len(whole) == 10
+
+
+def test_vectors_of_several_lengths(spark, as_rows):
+    """Queries of each length meet the vectors of their own length only."""
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, []), (5, None)], "id long, vector array<float>")
+    q = spark.createDataFrame([(10, [1.0, 0.0]), (11, [1.0, 1.0, 0.0]), (12, None), (13, [])], "qid long, vector array<float>")
+    assert as_rows(R.vector_search(q, d, 1), "qid", "id") == [(10, 1), (11, 3)]
