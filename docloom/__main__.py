@@ -10,7 +10,7 @@ from docloom import pipeline
 from docloom.functions import config as settings
 from docloom.operators.segment import FragmentConfig
 from docloom.operators.store import Store
-from docloom.runtime import ship
+from docloom.runtime import ship, sweep
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -24,10 +24,17 @@ def main(argv: list[str] | None = None) -> None:
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("docloom").getOrCreate()
     ship(spark)
+    try:
+        _run(args, spark)
+    finally:
+        sweep(spark)
+
+
+def _run(args: argparse.Namespace, spark: SparkSession) -> None:
     store = Store(spark, args.store)
     if args.what == "ingest":
         s = settings.load(args.config)
-        c = pipeline.Config(FragmentConfig(**s["chunker"]), pipeline.TableConfig(s["tables"]["format"], s["tables"]["rows"] != "full_only"))
+        c = pipeline.Config(FragmentConfig(**s["chunker"]), pipeline.TableConfig(s["tables"]["format"], s["tables"]["rows"] != "full_only"), pipeline.ImageConfig(**s["images"]))
         pipeline.ingest(spark, args.folder, store, args.kb_id, config=c, recreate=args.recreate).show(1000, truncate=80)
     else:
         rows = [(i, q, args.kb_id, 8, None) for i, q in enumerate(args.questions, 1)]

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULTS = {"chunker": {"size": 500, "overlap": 50, "least": 100}, "tables": {"format": "markdown", "rows": "full_only"}, "answer": {"hits": 8, "budget": 32_768}}
+DEFAULTS = {"chunker": {"size": 500, "overlap": 50, "least": 100}, "tables": {"format": "markdown", "rows": "full_only"}, "images": {"attach": "separate_block", "window": 2}, "answer": {"hits": 8, "budget": 32_768}}
 _VAR = re.compile(r"\$\{(\w+)\}")
 
 

@@ -14,6 +14,8 @@ NO_TITLE = "未知文档"
 CONTEXT_LABELS = (("title", "文档标题："), ("preceding", "前文："), ("following", "后文："), ("position", "图片位置："))
 PLACE = "第", "个内容块"
 FALLBACK = {"description": "图片分析失败，无法获取详细信息", "keywords": ("图片", "分析失败"), "image_type": "unknown", "context_relation": "无法确定与文档的关系"}
+TASK = "请结合上下文分析图片，只输出 JSON：{\"description\": \"…\", \"keywords\": [\"…\"], \"image_type\": \"…\", \"context_relation\": \"…\", \"key_information\": [\"…\"], \"searchable_queries\": [\"…\"]}"
+ATTACHMENTS = ("separate_block", "merge_into_row", "merge_into_table")
 ANALYSIS = T.StructType(
     [
         T.StructField("description", T.StringType()), T.StructField("keywords", T.ArrayType(T.StringType())), T.StructField("image_type", T.StringType()),
@@ -81,6 +83,11 @@ def image_context(chunks: DataFrame, window: int = 2) -> DataFrame:
     return x.select("doc_id", "obj_id", "preceding", "following", "title", "position", F.concat_ws("，", *parts).alias("context"))
 
 
+def analysis_prompt(context: Column) -> Column:
+    """What a vision model is asked about a picture: its context, if there is any, and the form of the answer."""
+    return F.concat_ws("\n", F.when(F.length(context) > 0, context), F.lit(TASK))
+
+
 def checked_analysis(record: Column) -> Column:
     """A record from a model's JSON: missing or wrongly typed lists are empty, texts "", queries stripped, distinct and non-blank."""
     x = F.from_json(record, ANALYSIS)

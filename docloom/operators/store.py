@@ -25,7 +25,7 @@ PROPERTIES = {
 }
 # Names of types that a collection's properties may be declared with.
 _TYPES = {
-    "text": T.StringType(), "string": T.StringType(), "uuid": T.StringType(), "int": T.IntegerType(), "integer": T.IntegerType(), "number": T.DoubleType(),
+    "text": T.StringType(), "string": T.StringType(), "uuid": T.StringType(), "int": T.IntegerType(), "integer": T.IntegerType(), "bigint": T.LongType(), "number": T.DoubleType(),
     "float": T.DoubleType(), "bool": T.BooleanType(), "boolean": T.BooleanType(), "date": T.TimestampType(), "text_array": T.ArrayType(T.StringType()),
     "vector": T.ArrayType(T.FloatType()),
 }

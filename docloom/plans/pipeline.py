@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from docloom.operators import enrich as E
 from docloom.operators import grid as G
-from docloom.operators.store import Store, latest
-from docloom.pipeline import CHUNK_PROPERTIES, Config, TableConfig, ask, chunk_table, described, embedded, excel_chunks, word_chunks
+from docloom.operators.store import And, ContainsAny, Equal, Store, latest, predicate
+from docloom.pipeline import CHUNK_PROPERTIES, GRAPH_PROPERTIES, Config, ImageConfig, TableConfig, ask, chunk_table, processed, semantic, word_chunks
+from docloom.plans.retrieval import hybrid_sql
+from docloom.plans.segment import _FRAGS, _PARAS, SIZE, chunker_sql
 from docloom.runtime import scratch_path, table, written
 from docloom.sources import ooxml as X
 from docloom.streaming import ingest as I
@@ -136,12 +138,10 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Word files and workbooks to stored chunks: parse, chunks of all kinds, fragments, descriptions, vectors and the store, counted per document."""
-    word = X.read_word(written(_word_files(spark, d), "files"))
-    excel = X.read_excel(written(_xlsx_files(table(spark, d, "cells"), table(spark, d, "merges")), "files"))
-    config = Config(tables=TableConfig(rows=True))
-    chunks = chunk_table(word_chunks(word, config).unionByName(excel_chunks(excel, config)), 1, config)
-    chunks = written(embedded(written(described(chunks), "described")), "embedded")
+    """Word files and workbooks to stored chunks: parse, chunks of all kinds, fragments, descriptions, analyses, vectors and the store, counted per document."""
+    word = X.read_word(files := written(_word_files(spark, d), "files")).once()
+    excel = X.read_excel(_xlsx_files(table(spark, d, "cells"), table(spark, d, "merges"))).once()
+    chunks = processed(word, excel, X.media(files), 1, Config(tables=TableConfig(rows=True)))
     store = Store(spark, scratch_path(spark, "store"))
     store.create("chunks", CHUNK_PROPERTIES)
     store.replace_documents("chunks", chunks.where("vector IS NOT NULL"))
@@ -151,6 +151,95 @@ def document_pipeline(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def chunk_fragment_context(spark: SparkSession, d: str) -> DataFrame:
+    """The rebuilt context of the fragments that the document flow makes of Word bodies."""
+    bodies = table(spark, d, "blocks").where("kind = 'paragraph'")
+    files = _docx_files(bodies, table(spark, d, "cells").limit(0), table(spark, d, "image_refs").limit(0))
+    chunks = chunk_table(word_chunks(X.read_word(files).once()), 1)
+    return chunks.where("is_fragment").select("doc_id", "paragraph_index", "fragment_index", "total_fragments", "content", "context")
+
+
+def _attachment(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """Of the document flow's chunks, those with pictures: their own, or named by a row or a table."""
+    config = Config(tables=TableConfig(rows=True), images=ImageConfig(attach=mode))
+    rows = word_chunks(X.read_word(written(_word_files(spark, d), "files")).once(), config)
+    return rows.where("chunk_type = 'image' OR images IS NOT NULL").select("doc_id", "place", "chunk_type", "row_no", F.coalesce("rel_id", "images").alias("images"))
+
+
+def attach_separate_block(spark: SparkSession, d: str) -> DataFrame:
+    return _attachment(spark, d, "separate_block")
+
+
+def attach_merge_into_row(spark: SparkSession, d: str) -> DataFrame:
+    return _attachment(spark, d, "merge_into_row")
+
+
+def attach_merge_into_table(spark: SparkSession, d: str) -> DataFrame:
+    return _attachment(spark, d, "merge_into_table")
+
+
+def word_cells_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of Word tables, with spans and vertical merges, written into files and read from them again."""
+    own = table(spark, d, "blocks").where("kind = 'table'").select("doc_id", F.concat(F.lit("table_"), "table_no").alias("table_id")).distinct()
+    cells = X.read_word(_word_files(spark, d)).cells().join(own, ["doc_id", "table_id"], "left_semi")
+    return cells.where("text <> ''").select("doc_id", "table_id", "r", "c", "text", "grid_span", "v_merge")
+
+
+def _stored_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A store of documents that have a vector, as chunks of three knowledge bases and four types."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    kinds = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("label") % len(_KINDS) + 1).cast("int"))
+    rows = docs.join(vectors, "doc_id").select((F.col("doc_id") % 3).cast("int").alias("kb_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("obj_id"), kinds.alias("chunk_type"), "content", "vector")
+    store = Store(spark, scratch_path(spark, "store"))
+    store.create("chunks", {"doc_id": "text", "obj_id": "bigint", "chunk_type": "text", "content": "text", "vector": "vector"})
+    store.replace_documents("chunks", rows)
+    store.replace_documents("chunks", rows.where("obj_id % 5 = 0"))
+    return store.read("chunks")
+
+
+_KINDS = ("text", "table_full", "table_row", "image")
+
+
+def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search over the vectors of a store, in the question's knowledge base; documents with id % 100 = 0 ask by their text and vector."""
+    chunks = _stored_documents(spark, d)
+    return semantic(chunks.where("obj_id % 100 = 0").select(F.col("obj_id").alias("qid"), F.col("content").alias("text"), "vector", "kb_id"), chunks)
+
+
+def semantic_typed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As ``semantic_topk``, over texts and whole tables only."""
+    chunks = _stored_documents(spark, d)
+    asked = chunks.where("obj_id % 100 = 0").select(F.col("obj_id").alias("qid"), F.col("content").alias("text"), "vector", "kb_id")
+    return semantic(asked, chunks, ["text", "table_full", "bogus"])
+
+
+def store_bases(spark: SparkSession, d: str) -> DataFrame:
+    """Objects by knowledge base after one of them was dropped and another one deleted from by a filter."""
+    c = table(spark, d, "chunk").select("kb_id", "doc_id", F.col("obj_id").cast("long").alias("obj_id"), "chunk_id", "chunk_type")
+    store = Store(spark, scratch_path(spark, "store"))
+    store.create("chunks", {"doc_id": "text", "obj_id": "bigint", "chunk_id": "text", "chunk_type": "text"})
+    store.insert("chunks", c)
+    store.drop("chunks", 2)
+    store.delete("chunks", And((Equal("kb_id", 1), ContainsAny("chunk_type", ("table_row", "image")))))
+    return store.read("chunks").groupBy("kb_id").agg(F.count(F.lit(1)).alias("objects"), F.sum("obj_id").alias("ids"))
+
+
+def graph_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A graph collection of questions and their hits: created, filled, thinned out by a filter and queried by another."""
+    asked = table(spark, d, "questions").groupBy("qid").agg(F.min("question").alias("question"), F.min("kb_id").alias("kb_id"))
+    hits = table(spark, d, "hits").join(asked, "qid").select(
+        "kb_id", F.col("qid").cast("string").alias("doc_id"), "chunk_id", "question", F.col("content").alias("answer"), F.col("chunk_type").alias("summary"),
+        F.array("chunk_id").alias("sources"), F.lit(None).cast("array<float>").alias("vector"),
+    )
+    store = Store(spark, scratch_path(spark, "store"))
+    store.create("graph", GRAPH_PROPERTIES)
+    store.insert("graph", hits)
+    store.delete("graph", Equal("summary", "image"))
+    rows = store.read("graph").where(predicate(ContainsAny("summary", ("text", "table_full"))))
+    return rows.groupBy("kb_id", "summary").agg(F.count(F.lit(1)).alias("objects"), F.sum(F.size("sources")).alias("sources"))
+
+
 def ask_all(spark: SparkSession, d: str) -> DataFrame:
     """All questions against the latest row of every chunk: hybrid retrieval, context and the offline provider's answer."""
     return ask(table(spark, d, "questions"), latest(table(spark, d, "chunk")), hybrid=True)
@@ -158,9 +247,52 @@ def ask_all(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (docx_roundtrip, xlsx_roundtrip, xlsx_merges_roundtrip, format_dispatch, store_roundtrip, stream_window_counts, document_pipeline, ask_all)
-}
+    for f in (
+        docx_roundtrip, word_cells_roundtrip, xlsx_roundtrip, xlsx_merges_roundtrip, format_dispatch, store_roundtrip, store_bases, graph_roundtrip, stream_window_counts, document_pipeline,
+        chunk_fragment_context, attach_separate_block, attach_merge_into_row, attach_merge_into_table, semantic_topk, semantic_typed_topk, ask_all,
+    )
+}
+
+
+def _semantic_sql(kinds: str = "") -> str:
+    """The fusion over the documents with a vector, in the question's knowledge base."""
+    kind = "CASE label % 4 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END"
+    rows = f"SELECT doc_id AS id, text, doc_id % 3 AS kb_id, embedding FROM documents JOIN embeddings ON vec_id = doc_id WHERE true {kinds.format(kind=kind)}"
+    asked = "SELECT doc_id AS qid, text, doc_id % 3 AS kb_id, embedding FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 100 = 0"
+    return hybrid_sql(rows, asked)
+
+
+def _attach_sql(mode: str) -> str:
+    """What the flow attaches: pictures as they are found in the written files, where a picture's cell is never null and each
+    table is one block; the reader numbers blocks from 0, and pictures of a place in the order they were written."""
+    cell = "b.kind = 'table'"
+    key, kind, row = {"merge_into_row": ("f.doc_id, f.place, f.row_no", "'table_row'", "f.row_no"), "merge_into_table": ("f.doc_id, f.place", "'table_full'", "NULL::INT")}.get(mode, ("", "", ""))
+    found = f"""WITH b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY block_pos) - 1)::INT AS place FROM (SELECT doc_id, block_pos, min(kind) AS kind, min(table_no) AS table_no FROM blocks GROUP BY doc_id, block_pos)),
+      x AS (SELECT DISTINCT i.doc_id, b.place, CASE WHEN {cell} THEN coalesce(i.r, 0) END AS r, CASE WHEN {cell} THEN coalesce(i.c, 0) END AS c, i.ord, i.rel_id, {cell} AS in_table FROM image_refs i JOIN b USING (doc_id, block_pos) WHERE rel_id IS NOT NULL),
+      u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rel_id ORDER BY place, r, c, ord) AS n FROM x) WHERE n = 1),
+      f AS (SELECT doc_id, place, rel_id, in_table, (r + 1)::INT AS row_no, row_number() OVER (PARTITION BY doc_id ORDER BY place, r, c, ord, rel_id) AS image_index FROM u)"""
+    own = "SELECT doc_id, place, 'image' AS chunk_type, row_no, rel_id AS images FROM f"
+    if not key:
+        return f"{found} {own}"
+    return f"""{found} {own} WHERE NOT in_table UNION ALL SELECT doc_id, place, {kind} AS chunk_type, {row} AS row_no, string_agg(rel_id, ',' ORDER BY image_index) AS images FROM f WHERE in_table GROUP BY {key}"""
+
+
 SQL = {
+    "word_cells_roundtrip": """SELECT c.doc_id, c.table_id, r, c, min(text) AS text, coalesce(max(grid_span), 1)::INT AS grid_span, min(v_merge) AS v_merge FROM cells c
+      JOIN (SELECT DISTINCT doc_id, 'table_' || table_no AS table_id FROM blocks WHERE kind = 'table') b ON b.doc_id = c.doc_id AND b.table_id = c.table_id
+      WHERE sheet IS NULL GROUP BY c.doc_id, c.table_id, r, c HAVING coalesce(min(text), '') <> ''""",
+    "store_bases": "SELECT kb_id, count(*) AS objects, sum(obj_id)::BIGINT AS ids FROM chunk WHERE kb_id IS DISTINCT FROM 2 AND NOT coalesce(kb_id = 1 AND chunk_type IN ('table_row', 'image'), false) GROUP BY kb_id",
+    "graph_roundtrip": """SELECT kb_id, chunk_type AS summary, count(*) AS objects, count(*) AS sources FROM hits JOIN (SELECT qid, min(kb_id) AS kb_id FROM questions GROUP BY qid) USING (qid)
+      WHERE chunk_type IN ('text', 'table_full') GROUP BY ALL""",
+    "chunk_fragment_context": "WITH RECURSIVE " + chunker_sql(f"WITH {_PARAS} SELECT doc_id || chr(0) || paragraph_index AS id, content AS text FROM paras WHERE length(content) > {SIZE}") + f""", {_FRAGS}, {_PARAS}
+      SELECT p.doc_id, p.paragraph_index, a.fragment_index, a.total_fragments, a.content, ' 段落分片 ' || a.fragment_index || '/' || a.total_fragments || ' ' ||
+        coalesce('同段落其他分片: ' || string_agg('分片' || b.fragment_index || ': ' || substr(b.content, 1, 50) || '...', '; ' ORDER BY b.fragment_index), '') AS context
+      FROM frags a JOIN paras p ON a.obj_id = p.doc_id || chr(0) || p.paragraph_index LEFT JOIN frags b ON b.obj_id = a.obj_id AND b.fragment_index <> a.fragment_index
+      GROUP BY p.doc_id, p.paragraph_index, a.fragment_index, a.total_fragments, a.content""",
+    "attach_separate_block": _attach_sql("separate_block"),
+    "attach_merge_into_table": _attach_sql("merge_into_table"),
+    "semantic_topk": _semantic_sql(),
+    "semantic_typed_topk": _semantic_sql("AND {kind} IN ('text', 'table_full')"),
     "docx_roundtrip": """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_pos)::INT AS n, kind, CASE WHEN kind = 'paragraph' THEN text ELSE '' END AS text FROM (
       SELECT doc_id, block_pos, min(kind) AS kind, coalesce(min(text), '') AS text FROM blocks GROUP BY doc_id, block_pos)""",
     "xlsx_roundtrip": "SELECT doc_id, sheet, r, c, min(text) AS text FROM cells WHERE sheet IS NOT NULL AND text IS NOT NULL GROUP BY doc_id, sheet, r, c",

@@ -194,17 +194,27 @@ def _bm25(corpus: str, queries: str, part: bool, k: int) -> str:
 
 _ASKED = f"""asked AS (SELECT q.*, CASE WHEN NOT {sql_shown("question")} THEN 'invalid question' WHEN NOT EXISTS (SELECT 1 FROM chunk c WHERE c.kb_id = q.kb_id) THEN 'nothing found' ELSE 'ok' END AS outcome
   FROM (SELECT qid, min(question) AS question, min(kb_id) AS kb_id FROM questions GROUP BY qid) q)"""
-def _hybrid_sql(text: str, least: str = "") -> str:
-    """The fusion over all scores of both sides."""
-    asked = f"SELECT vec_id AS qid, {text} AS text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0"
-    return f"""WITH {_bm25("SELECT doc_id AS id, text FROM documents", asked, False, K)},
-  ve AS (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON true WHERE q.vec_id % 100 = 0),
+
+
+def hybrid_sql(rows: str, asked: str, least: str = "", vectors: str = "") -> str:
+    """The fusion over all scores of both sides: ``rows`` (id, text, and kb_id, embedding), ``asked`` (qid, text, and kb_id, embedding);
+    within a knowledge base, unless ``vectors`` gives the vector scores (qid, id, score) by themselves."""
+    ve = vectors or "SELECT q.qid, c.id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM qs q JOIN corpus c ON c.kb_id = q.kb_id"
+    return f"""WITH {_bm25(rows, asked, not vectors, K)},
+  ve AS ({ve}),
   sc AS (SELECT qid, id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS x, side FROM (SELECT *, min(score) OVER (PARTITION BY qid, side) AS lo, max(score) OVER (PARTITION BY qid, side) AS hi FROM (
     SELECT qid, id, score, 'v' AS side FROM ve UNION ALL SELECT qid, id, score, 't' FROM bm))),
   fu AS (SELECT qid, id, round({R.ALPHA} * coalesce(max(CASE WHEN side = 'v' THEN x END), 0.0) + {1 - R.ALPHA} * coalesce(max(CASE WHEN side = 't' THEN x END), 0.0), 6) AS score FROM sc GROUP BY qid, id)
   SELECT qid, hit_rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS hit_rank FROM fu) WHERE hit_rank <= {K} {least}"""
 
 
+def _documents_sql(least: str = "") -> str:
+    return hybrid_sql(
+        "SELECT doc_id AS id, text FROM documents", "SELECT vec_id AS qid, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0", least,
+        "SELECT q.vec_id AS qid, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON true WHERE q.vec_id % 100 = 0",
+    )
+
+
 _DEDUP = """dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, substr(coalesce(content, ''), 1, 100) ORDER BY hit_rank, chunk_id) AS n FROM hits) WHERE n = 1),
   mr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coalesce(score, 0.0) DESC, hit_rank, chunk_id)::INT AS merged_rank FROM dd),
   ru AS (SELECT *, sum(length(coalesce(content, ''))) OVER (PARTITION BY qid ORDER BY merged_rank)::BIGINT AS running FROM mr)"""
@@ -236,8 +246,8 @@ SQL = {
     "bm25_topk": f"""WITH {_ASKED}, own AS (SELECT qid, coalesce(min(k), {K}) AS k, min(threshold) AS threshold FROM questions GROUP BY qid),
       {_bm25('SELECT obj_id AS id, content AS text, kb_id FROM chunk', 'SELECT qid, question AS text, kb_id FROM asked WHERE outcome = ' + chr(39) + 'ok' + chr(39), True, 1_000_000)}
       SELECT qid, hit_rank, id, score FROM bmk JOIN own USING (qid) WHERE hit_rank <= own.k AND (own.threshold IS NULL OR score >= own.threshold)""",
-    "hybrid_topk": _hybrid_sql("text"),
-    "hybrid_topk_threshold": _hybrid_sql("text", "AND score >= 0.3"),
+    "hybrid_topk": _documents_sql(),
+    "hybrid_topk_threshold": _documents_sql("AND score >= 0.3"),
     "question_outcome": f"WITH {_ASKED} SELECT qid, kb_id, outcome FROM asked",
     "formatted_hits": f"""SELECT h.qid, h.hit_rank, h.chunk_id, h.chunk_type, h.content, coalesce(h.score, 0.0) AS similarity_score, c.doc_id AS metadata FROM hits h
       LEFT JOIN (SELECT chunk_id, min(doc_id) AS doc_id FROM {_LATEST} GROUP BY chunk_id) c ON c.chunk_id = h.chunk_id""",

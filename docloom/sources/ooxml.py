@@ -11,7 +11,7 @@ import io
 import re
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.runtime import written
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -183,9 +185,15 @@ def parse_xlsx(data: bytes) -> tuple[list[tuple], list[tuple]]:
 _ROW = "doc_id string, part string, n1 int, n2 int, n3 int, n4 int, n5 int, s1 string, s2 string, s3 string"
 
 
-def _parse_batches(kind: str):
+#: First bytes of the older binary Word files.
+_OLE = b"\xd0\xcf\x11\xe0"
+
+
+def _parse_batches(kind: str, convert: Callable[[bytes], bytes] | None = None):
     def rows(doc: str, data: bytes) -> Iterator[tuple]:
         if kind == "word":
+            if convert is not None and data[:4] == _OLE:
+                data = convert(data)
             blocks, cells, images = parse_docx(data)
             yield from ((doc, "block", b[0], b[3], None, None, None, b[1], b[2], None) for b in blocks)
             yield from ((doc, "cell", c[0], c[1], c[2], c[4], None, None, c[3], c[5]) for c in cells)
@@ -211,11 +219,14 @@ def _parse_batches(kind: str):
 
 
 class Parsed:
-    """The tables of parsed files; parsing is one pass over the files for each table that is used."""
+    """The tables of parsed files. Parsing is a pass over the files for each table that is used; ``once`` writes its rows first."""
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
 
+    def once(self) -> Parsed:
+        return Parsed(written(self.rows, "parsed"))
+
     def _part(self, part: str, **cols: str) -> DataFrame:
         return self.rows.where(F.col("part") == part).select("doc_id", *[F.col(v).alias(k) for k, v in cols.items()])
 
@@ -236,8 +247,10 @@ class Parsed:
         return self._part("error", error="s1")
 
 
-def read_word(binary: DataFrame) -> Parsed:
-    return Parsed(binary.select("doc_id", "content").mapInArrow(_parse_batches("word"), _ROW))
+def read_word(binary: DataFrame, convert: Callable[[bytes], bytes] | None = None) -> Parsed:
+    """``convert`` turns an older binary Word file into the present form, such as by an office program on the executors; without
+    it, or if it fails, such a file gives an error row."""
+    return Parsed(binary.select("doc_id", "content").mapInArrow(_parse_batches("word", convert), _ROW))
 
 
 def read_excel(binary: DataFrame) -> Parsed:

@@ -56,3 +56,77 @@ def test_numbered_in_stretches(spark, as_rows):
     want = sorted((m, x) for k, m, x in rows if k == "a")
     assert [got["a", m, x] for m, x in want] == list(range(1, 301)) and got["b", None, 1] == 1 and got[None, 4, 2] == 1 and got[None, 5, 1] == 2
     assert numbered(df.where(F.lit(False)), ["k"], "m", [], "n").count() == 0
+
+
+def test_recreate_leaves_other_bases_alone(spark, tmp_path, as_rows):
+    write_files(tmp_path / "in")
+    store = Store(spark, f"file://{tmp_path}/store")
+    for kb_id in (1, 2):
+        P.ingest(spark, f"file://{tmp_path}/in", store, kb_id)
+    before = as_rows(store.read("chunks", 2), "doc_id", "seq", "content")
+    (tmp_path / "in" / "b.xlsx").unlink()
+    P.ingest(spark, f"file://{tmp_path}/in", store, 1, recreate=True)
+    assert store.bases("chunks") == [1, 2] and as_rows(store.read("chunks", 2), "doc_id", "seq", "content") == before
+    assert {r.doc_id for r in store.read("chunks", 1).select("doc_id").distinct().collect()} == {"a.docx"}
+    assert store.drop("chunks", 1) and not store.drop("chunks", 1) and not store.exists("chunks", 1) and store.exists("chunks", 2)
+
+
+def test_replacing_a_document_leaves_other_files_alone(spark, tmp_path, as_rows):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.create("c", {"doc_id": "text", "n": "int"})
+    for doc in ("a", "b", None):
+        store.insert("c", spark.createDataFrame([(1, doc, 1), (1, doc, 2)], "kb_id int, doc_id string, n int"))
+    files = lambda: set(store.read("c").inputFiles())
+    before = files()
+    batch = spark.createDataFrame([(1, "b", 7), (1, None, 8)], "kb_id int, doc_id string, n int")
+    for _ in range(2):  # null names are replaced too, and again
+        store.replace_documents("c", batch)
+        assert as_rows(store.read("c"), "doc_id", "n") == [(None, 8), ("a", 1), ("a", 2), ("b", 7)]
+    assert len(before & files()) == len(before) - 2
+
+
+def test_fragments_and_pictures_in_the_flow(spark, tmp_path, as_rows):
+    """Fragments name their siblings, pictures are analysed in their context, a failing picture gets the fallback."""
+    from docloom.operators import enrich as E
+
+    class Blind(E.Offline):
+        def vision(self, prompts, images):
+            if any(b"bad" in i for i in images):
+                raise RuntimeError("unreadable")
+            return E.Offline.vision(self, prompts, images)
+
+    write_files(tmp_path / "in")
+    word = X.read_word(X.files(spark, f"file://{tmp_path}/in").where("doc_id = 'a.docx'")).once()
+    pictures = spark.createDataFrame([("a.docx", "rId1", bytearray(b"\x89PNG one")), ("a.docx", "rId2", bytearray(b"bad"))], "doc_id string, rel_id string, content binary")
+    chunks = P.processed(word, X.read_excel(X.files(spark, f"file://{tmp_path}/none")), pictures, 1, make=Blind)
+    about = [r.context for r in chunks.where("is_fragment").orderBy("seq").collect()]
+    assert about[0].startswith(" 段落分片 1/2 同段落其他分片: 分片2: 第一段。") and about[1].startswith(" 段落分片 2/2 ")
+    got = {r.rel_id: r for r in chunks.where("chunk_type = 'image'").collect()}
+    assert got["rId1"].processing_status == "completed" and got["rId1"].keywords == "image/png" and got["rId1"].searchable_queries.startswith("文档标题")
+    assert got["rId2"].processing_status == "failed" and got["rId2"].image_type == "unknown" and all(r.vector for r in got.values())
+
+
+def test_attachments_lose_no_picture(spark, tmp_path):
+    cell = lambda t, *pics: (t, 1, None, list(pics))
+    table = [[cell("名称", "rId1"), cell("金额")], [cell("甲"), cell("12", "rId2", "rId3")], [cell("乙"), cell("7")]]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.docx").write_bytes(X.write_docx([("文", ["rId4"]), table]))
+    word = X.read_word(X.files(spark, f"file://{tmp_path}/in")).once()
+    want = {
+        ("separate_block", True): [("image", "rId1"), ("image", "rId2"), ("image", "rId3"), ("image", "rId4")],
+        ("merge_into_row", True): [("image", "rId1"), ("image", "rId4"), ("table_row", "rId2,rId3")],
+        ("merge_into_row", False): [("image", "rId1"), ("image", "rId2"), ("image", "rId3"), ("image", "rId4")],
+        ("merge_into_table", False): [("image", "rId4"), ("table_full", "rId1,rId2,rId3")],
+    }
+    for (mode, rows), expected in want.items():
+        got = P.word_chunks(word, P.Config(tables=P.TableConfig(rows=rows), images=P.ImageConfig(mode))).where("rel_id IS NOT NULL OR images IS NOT NULL")
+        assert sorted((r.chunk_type, r.rel_id or r.images) for r in got.collect()) == expected
+    with pytest.raises(ValueError):
+        P.ImageConfig("elsewhere")
+
+
+def test_older_word_files_go_through_the_converter(spark, tmp_path, as_rows):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "old.doc").write_bytes(b"\xd0\xcf\x11\xe0 old")
+    files, new = X.files(spark, f"file://{tmp_path}/in"), X.write_docx(["文"])
+    assert as_rows(X.read_word(files, lambda data: new).blocks(), "text") == [("文",)] and X.read_word(files).errors().count() == 1
