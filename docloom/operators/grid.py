@@ -24,7 +24,8 @@ NUMERIC = r"^\s*((\d+\.?\d*|\.\d+)([eE]\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][
 
 
 def dedup(cells: DataFrame) -> DataFrame:
-    return cells.groupBy(*KEY, "r", "c").agg(
+    """One row per cell. Cells are dealt out by table once; what follows, by table, row or block, needs no further shuffle."""
+    return cells.repartition("doc_id", "table_id").groupBy(*KEY, "r", "c").agg(
         F.min("text").alias("text"), F.coalesce(F.max("grid_span"), F.lit(1)).alias("grid_span"), F.min("v_merge").alias("v_merge")
     )
 
