@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ CELL_BITS = 20
 #: Rows of a shelf, sorted in one task and read as a whole, and the most signatures that shelves are looked up for; a batch of
 #: more is taken to fall into all of them.
 SHELF_ROWS, MOST_LOOKED_UP = 1_000_000, 262_144
+#: Runs that are searched before some are merged.
+MOST_RUNS = 4
 #: Up to so many signatures of a batch (of 48 bytes) are broadcast to the history; beyond, both are shuffled by prefix.
 BROADCAST_POSTINGS = 250_000
 _KEPT = ["id", "text_hash", "size", "s0", "s1", "s2", "s3", "text"]
@@ -89,9 +92,12 @@ class HashForest:
     def _write_run(self, kept: DataFrame, trees: DataFrame, rows: int) -> dict:
         """A new run; it counts once the manifest names it, so one that an earlier attempt left is written over."""
         run = {"name": f"run-{self.state['made']:08d}", "rows": rows, "shelves": max(1, math.ceil(rows * TREES / SHELF_ROWS))}
-        kept.write.mode("overwrite").parquet(f"{self.path}/{run['name']}/kept")
         index = trees.withColumn("shelf", shelf(run["shelves"])).repartition(run["shelves"], "shelf").sortWithinPartitions("shelf", "cell", "signature")
-        index.write.mode("overwrite").partitionBy("shelf").parquet(f"{self.path}/{run['name']}/index")
+        with ThreadPoolExecutor(2) as pool:  # two jobs at a time
+            parts = [pool.submit(kept.write.mode("overwrite").parquet, f"{self.path}/{run['name']}/kept")]
+            parts.append(pool.submit(index.write.mode("overwrite").partitionBy("shelf").parquet, f"{self.path}/{run['name']}/index"))
+            for p in parts:
+                p.result()
         return run
 
     def _commit(self, runs: list[dict], last: int) -> None:
@@ -103,13 +109,13 @@ class HashForest:
             drop_path(self.spark, f"{self.path}/{old}")
 
     def _append(self, kept: DataFrame, trees: DataFrame, rows: int, last: int) -> None:
-        """Append a run; the newest runs are merged into the one before while they hold over half as many rows."""
+        """Append a run. When there are over MOST_RUNS, the newest are merged into the one before while they hold over half as many rows."""
         if not rows:
             return self._commit(self.state["runs"], last)
         runs = [*self.state["runs"], self._write_run(kept, trees, rows)]
         self._commit(runs, last)
         at, total = len(runs) - 1, rows
-        while at > 0 and 2 * total > runs[at - 1]["rows"]:
+        while len(runs) > MOST_RUNS and at > 0 and 2 * total > runs[at - 1]["rows"]:
             at, total = at - 1, total + runs[at - 1]["rows"]
         if at < len(runs) - 1:
             old = [r["name"] for r in runs[at:]]
@@ -182,13 +188,14 @@ class HashForest:
         ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
         by_history = links.where(F.col("a") < low).select(F.col("b").alias("id")).distinct().withColumn("known", F.lit(2))
         state = ends.join(by_history, "id", "left").select("id", F.when(F.col("id") < low, 1).otherwise(F.coalesce("known", F.lit(0))).alias("state"))
-        state = written(state, "state")  # 0 open, 1 accepted, 2 refused
         inner = links.where(F.col("a") >= low)
-        while not state.where("state = 0").isEmpty():
+        while True:  # 0 open, 1 accepted, 2 refused
             seen = inner.join(state.select(F.col("id").alias("a"), F.col("state").alias("sa")), "a")
             seen = seen.groupBy(F.col("b").alias("id")).agg(F.max(F.col("sa") == 1).alias("hit"), F.max(F.col("sa") == 0).alias("wait"))
             now = F.when(F.col("state") != 0, F.col("state")).when(F.col("hit"), 2).when(F.col("wait"), 0).otherwise(1)
             state = written(state.join(seen, "id", "left").select("id", now.cast("int").alias("state")), "state")
+            if state.where("state = 0").isEmpty():
+                break
         kept = links.join(state.where("state = 1").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("kept"))
         return state.where("state = 2").select("id").join(kept, "id")
 
@@ -199,7 +206,7 @@ class HashForest:
         return every.where("kept IS NOT NULL OR id <> leader").select(F.coalesce("kept", "leader").alias("kept_id"), F.col("id").alias("item_id"))
 
 
-def dedup_batches(df: DataFrame, batch: str = "batch_no", per_ingest: int = 8, key: str = "item_id", text: str = "content") -> DataFrame:
+def dedup_batches(df: DataFrame, batch: str = "batch_no", per_ingest: int = 12, key: str = "item_id", text: str = "content") -> DataFrame:
     """(kept_id, item_id) of the refused items of all batches; the first batch is a load of its own, the later ones come
     ``per_ingest`` at a time (batches that wait together are taken together, which changes no decision). A null batch
     number counts as the first batch's.
