@@ -35,7 +35,7 @@ STATS = {
 
 _WORD = re.compile(r"[A-Za-z\u00c0-\u024f]+")
 _LONG = re.compile(r"[A-Za-z0-9+/=_\-]{25,}")
-_END = re.compile(r"[。！？!?…][\"'”’」』）)]*$|(?<![.\s])\.[\"'”’)]*$")
+_FULL_STOPS = frozenset("。！？!?…")
 _SENTENCE = re.compile(r"[。！？!?]|[a-z\u00c0-\u024f0-9%)]\.(?:\s|$)")
 _MARKER = re.compile(r"\s*(?:[•●▪■◆○□·*–—\-]\s|\[[ xX✓]?\]|[☐☑☒✓✔]|[(（]?\d{1,4}[)）.、:：]\s?(?!\d)|[(（]?[一二三四五六七八九十百]{1,4}[)）、.]|[①-⑳]|[(（]?[a-zA-Z][)）.]\s)")
 _LEADER = re.compile(r"(?:\.{4,}|…{2,}|·{4,}|_{4,}|(?:\. ){3,})\s*\d{1,5}\s*$")
@@ -137,6 +137,7 @@ def _repetition(codes: np.ndarray, owner: np.ndarray, texts: int) -> dict[int, t
     """For each length of NGRAMS, per text: the characters that the most frequent run's occurrences cover (none if it occurs
     once), and the share of its runs that are distinct. Runs are known by a 44-bit hash; of equally frequent ones one counts."""
     out, h, step = {}, codes.astype(np.uint64), 1
+    wide, lens, none = owner.astype(np.uint64) << np.uint64(44), np.bincount(owner, minlength=texts), np.uint64(0xFFFFFFFFFFFFFFFF)
     while step < max(NGRAMS):
         h = h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + (h[step:] ^ (h[step:] >> np.uint64(29))) if len(h) > step else h[:0]
         step *= 2
@@ -144,27 +145,28 @@ def _repetition(codes: np.ndarray, owner: np.ndarray, texts: int) -> dict[int, t
             continue
         covered, distinct = np.zeros(texts, np.int64), np.ones(texts)
         own = owner[: len(h)]
-        mine = np.flatnonzero(own == owner[step - 1 :]) if len(h) else np.zeros(0, np.int64)
-        if len(mine):
-            own = own[mine]
-            key = (own.astype(np.uint64) << np.uint64(44)) | ((h[mine] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20))
-            ranked = np.sort(key)
-            at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            count = np.diff(np.append(at, len(ranked)))
+        key = ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20)) | wide[: len(h)]
+        across = own != owner[step - 1 :] if len(h) else np.zeros(0, bool)
+        key[across] = none  # runs over the end of a text
+        ranked = np.sort(key)[: len(key) - int(across.sum())]
+        if len(ranked):
+            new = np.ones(len(ranked), bool)
+            np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+            at = np.flatnonzero(new)
+            count = np.diff(at, append=len(ranked))
             text = (ranked[at] >> np.uint64(44)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
             most = np.zeros(texts, np.int64)
             most[text[first]] = np.maximum.reduceat(count, first)
             top = np.flatnonzero((count == most[text]) & (count > 1))
-            best = np.zeros(texts, np.uint64)
+            best = np.full(texts, none - np.uint64(1))
             best[text[top]] = ranked[at[top]]  # the last one of a tie
-            spots = mine[key == best[own]]
-            spots = spots[most[owner[spots]] > 1]
+            spots = np.flatnonzero(key == best[own])
             room = np.full(len(spots), step)
             same = owner[spots[1:]] == owner[spots[:-1]]
             room[:-1][same] = np.minimum(step, np.diff(spots)[same])
             covered = np.bincount(owner[spots], weights=room, minlength=texts).astype(np.int64)
-            distinct[text[first]] = np.diff(np.append(first, len(text))) / np.bincount(own, minlength=texts)[text[first]]
+            distinct[text[first]] = np.diff(first, append=len(text)) / (lens[text[first]] - step + 1)
         out[step] = covered, distinct
     return out
 
@@ -190,6 +192,15 @@ def stats_of(texts: list[str], common: frozenset[str]) -> list[dict]:
     return out
 
 
+def _ended(line: str) -> bool:
+    """Whether a line ends with a sentence mark, closing quotes and brackets behind it aside; a dot counts once, not after a blank."""
+    line = line.rstrip()
+    if line.rstrip("\"'”’」』）)")[-1:] in _FULL_STOPS:
+        return True
+    line = line.rstrip("\"'”’)")
+    return line[-1:] == "." and (len(line) == 1 or line[-2] != "." and not line[-2].isspace())
+
+
 def _figures(text: str, common: frozenset[str], kinds: np.ndarray, hits: int, latin: bool, grams: dict[int, tuple[float, float]]) -> dict:
     shown = max(1, int(len(text) - kinds[5]))
     words = _WORD.findall(text)
@@ -201,7 +212,7 @@ def _figures(text: str, common: frozenset[str], kinds: np.ndarray, hits: int, la
     fields = Counter(_csv_fields(x) for x in lines if "," in x or ";" in x).most_common(1)
     usual = fields[0][0] if fields and fields[0][1] >= 2 and fields[0][1] >= 0.4 * len(lines) else 0
     inner = [len(_SENTENCE.findall(x)) for x in lines]
-    ends = [_END.search(x.rstrip()) is not None for x in lines]
+    ends = list(map(_ended, lines))
     kinds_of = [_line_kind(x, usual, k, e) for x, k, e in zip(lines, inner, ends)]
     _wrapped(lines, kinds_of)
     share, total = Counter(), sum(map(len, lines))
