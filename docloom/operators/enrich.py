@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import or_empty, strip
 
@@ -96,30 +97,39 @@ def _asked(call: Callable, rows: list) -> list:
         return out
 
 
-def _batches(make: Callable[[], Provider], method: str, kind: pa.DataType):
+def _batches(make: Callable[[], Provider], method: str, kind: pa.DataType, keep: int, name: str):
+    """Batches of ``keep`` columns, the text and perhaps a picture to those columns and what the provider says."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
         call = (lambda rows: provider.vision(*map(list, zip(*rows)))) if method == "vision" else getattr(provider, method)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            images = b.column(2).to_pylist() if method == "vision" else None
+            texts = b.column(keep).to_pylist()
+            images = b.column(keep + 1).to_pylist() if method == "vision" else None
             asked = [i for i, t in enumerate(texts) if t is not None and t.strip() and (images is None or images[i])]
             got: list = [None] * len(texts)
             for at in range(0, len(asked), CALL_ROWS):
                 some = asked[at : at + CALL_ROWS]
                 for i, a in zip(some, _asked(call, [texts[i] if images is None else (texts[i], images[i]) for i in some])):
                     got[i] = a
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, kind)], names=[b.schema.names[0], "result"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(got, kind)], names=[*b.schema.names[:keep], name])
 
     return run
 
 
+def appended(df: DataFrame, name: str, text: Column, make: Callable[[], Provider] = Offline, method: str = "complete", image: Column | None = None) -> DataFrame:
+    """``df`` with a column of the provider's answer (complete, vision) or vector (embed), made in one pass where the rows are;
+    null for blank texts, missing pictures and failed calls. Rows are asked CALL_ROWS at a time; where that fails, one by one."""
+    kind, result = (pa.list_(pa.float32()), T.ArrayType(T.FloatType())) if method == "embed" else (pa.string(), T.StringType())
+    rows = df.select(*df.columns, text.alias("__docloom_text"), *([image.alias("__docloom_image")] if method == "vision" else []))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, result)])
+    return rows.mapInArrow(_batches(make, method, kind, len(df.columns), name), schema)
+
+
 def call_model(df: DataFrame, key: str, text: Column, make: Callable[[], Provider] = Offline, method: str = "complete", image: Column | None = None) -> DataFrame:
-    """(<key>, result) of each row: the provider's answer (complete, vision) or vector (embed); null for blank texts, missing
-    pictures and failed calls. Rows are asked CALL_ROWS at a time; where that fails, one by one."""
-    kind, sql = (pa.list_(pa.float32()), "array<float>") if method == "embed" else (pa.string(), "string")
-    rows = df.select(F.col(key), text.alias("_text"), *([image.alias("_image")] if method == "vision" else []))
-    return rows.mapInArrow(_batches(make, method, kind), f"`{key}` {dict(df.dtypes)[key]}, result {sql}")
+    """(<key>, result) of each row; see ``appended``."""
+    rows = df.select(key, text.alias("__docloom_asked"), *([image.alias("__docloom_shown")] if method == "vision" else []))
+    return appended(rows, "result", F.col("__docloom_asked"), make, method, F.col("__docloom_shown") if method == "vision" else None).select(key, "result")
 
 
 def eligible() -> Column:

@@ -169,10 +169,9 @@ def chunk_table(rows: DataFrame, kb_id: int, config: Config = Config()) -> DataF
 
 def described(chunks: DataFrame, make: Callable[[], E.Provider] = E.Offline) -> DataFrame:
     """Chunks with description and keywords of eligible rows, empty on failure; the order of rows is kept in ``seq``."""
-    asked = chunks.where(E.eligible()).withColumn("prompt", E.prompt())
-    got = E.call_model(asked, "chunk_id", F.col("prompt"), make).withColumn("s", E.salvaged(F.col("result")))
-    said = got.select("chunk_id", F.col("s.description").alias("description"), F.array_join("s.keywords", ", ").alias("keywords"))
-    return chunks.join(said, "chunk_id", "left").select(*chunks.columns, F.coalesce("description", F.lit("")).alias("description"), F.coalesce("keywords", F.lit("")).alias("keywords"))
+    got = E.appended(spread(chunks), "said", F.when(E.eligible(), E.prompt()), make).withColumn("s", E.salvaged(F.col("said")))
+    none = F.lit("")
+    return got.select(*chunks.columns, F.coalesce("s.description", none).alias("description"), F.coalesce(F.array_join("s.keywords", ", "), none).alias("keywords"))
 
 
 def pictured(chunks: DataFrame, pictures: DataFrame, make: Callable[[], E.Provider] = E.Offline, window: int = 2) -> DataFrame:
@@ -195,8 +194,7 @@ def pictured(chunks: DataFrame, pictures: DataFrame, make: Callable[[], E.Provid
 def embedded(chunks: DataFrame, make: Callable[[], E.Provider] = E.Offline) -> DataFrame:
     """Chunks with the vector of their embedding text, null on failure."""
     queries = F.split("searchable_queries", "\n") if "searchable_queries" in chunks.columns else None
-    got = E.call_model(chunks, "chunk_id", E.embedding_text(queries), make, "embed").withColumnRenamed("result", "vector")
-    return chunks.join(got, "chunk_id", "left").select(*chunks.columns, "vector")
+    return E.appended(spread(chunks), "vector", E.embedding_text(queries), make, "embed")
 
 
 def processed(word: X.Parsed, excel: X.Parsed, pictures: DataFrame, kb_id: int, config: Config = Config(), make: Callable[[], E.Provider] = E.Offline) -> DataFrame:
@@ -248,12 +246,12 @@ def ask(questions: DataFrame, chunks: DataFrame, make: Callable[[], E.Provider]
     checked = written(valid_questions(questions, chunks), "questions")
     corpus = chunks.withColumn("obj_id", F.xxhash64("kb_id", "chunk_id"))
     if hybrid and "vector" not in chunks.columns:
-        vectors = E.call_model(spread(corpus), "obj_id", E.embedding_text(), make, "embed").select("obj_id", F.col("result").alias("vector"))
-        corpus = written(corpus, "chunks").join(vectors, "obj_id", "left")
-    corpus = written(corpus, "corpus")
+        corpus = embedded(corpus, make)
+    used = ["kb_id", "obj_id", "chunk_id", "chunk_type", "content", "doc_id", "table_id", "row_no", "paragraph_index", "description", "keywords", *(["vector"] if hybrid else [])]
+    corpus = written(corpus.select(*used), "corpus")
     q = checked.where("outcome = 'ok'").select("qid", F.col("question").alias("text"), "kb_id", F.coalesce("k", F.lit(hits)).alias("k"), "threshold")
     if hybrid:
-        asked = q.join(E.call_model(q, "qid", F.col("text"), make, "embed"), "qid").select("qid", "text", "kb_id", "k", F.col("result").alias("vector"))
+        asked = E.appended(q, "vector", F.col("text"), make, "embed").select("qid", "text", "kb_id", "k", "vector")
         found = semantic(asked, corpus, k="k")
     else:
         texts = corpus.select(F.col("obj_id").alias("id"), F.col("content").alias("text"), "kb_id")
@@ -262,8 +260,7 @@ def ask(questions: DataFrame, chunks: DataFrame, make: Callable[[], E.Provider]
     got = found.join(corpus.select(F.col("obj_id").alias("id"), "chunk_id", "chunk_type", "content"), "id").select("qid", "hit_rank", "chunk_id", "chunk_type", "content", "score")
     ctx = contexts(tagged(within_budget(merge_ranked(got)), corpus))
     ready = written(checked.join(ctx, "qid", "left").withColumn("prompt", F.when(F.col("context").isNotNull(), answer_prompt(F.col("question"), F.col("context")))), "prompts")
-    said = E.call_model(ready, "qid", F.col("prompt"), make).withColumnRenamed("result", "said")
-    x = ready.join(said, "qid", "left")
+    x = E.appended(ready, "said", F.col("prompt"), make)
     error = (
         F.when(F.col("outcome") != "ok", F.col("outcome")).when(F.col("context").isNull(), "nothing found").when(F.coalesce(F.length("said"), F.lit(0)) == 0, "generation failed")
     )

@@ -147,5 +147,6 @@ SQL = {
     "embedding_text": f"SELECT obj_id, {_EMB} AS embedding_text FROM chunk",
     "described_chunks": f"""SELECT obj_id, CASE WHEN {sql_shown("content")} THEN substr(content, 1, 20) ELSE '' END AS description, CASE WHEN {sql_shown("content")} THEN length(content)::VARCHAR ELSE '' END AS keywords
       FROM chunk WHERE {_ELIGIBLE}""",
+    "embedded_chunks": f"SELECT obj_id, CASE WHEN {sql_shown(_EMB)} THEN 64 END AS dim FROM chunk",
     "ingest_metrics": f"""SELECT kb_id, doc_id, count(*) AS chunks, count_if(t) AS vectors, count_if(NOT t) AS failed, count_if(t AND kb_id IS NOT NULL) AS stored FROM (SELECT kb_id, doc_id, {sql_shown(_EMB)} AS t FROM chunk) GROUP BY kb_id, doc_id""",
 }
