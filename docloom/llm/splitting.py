@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.runtime import spread
+from docloom.runtime import running, spread
 
 LIMIT, OVERLAP = 500, 50
 LEVELS = ("section", "paragraph", "sentence", "clause", "word", "character")
@@ -139,12 +139,12 @@ def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int
 def numbered(df: DataFrame, key: str, text: str, doc: str, paragraph: str, order: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """``pieces`` with ``number``, counted on through the rows of one paragraph of a document.
 
-    A row without a document or paragraph is numbered by itself. Only counts are gathered by paragraph, not texts.
+    ``order`` starts with a whole number. A row without a document or paragraph is numbered by itself. Only counts are gathered by paragraph, not texts.
     """
     cut = pieces(df, key, text, limit, overlap)
     count = cut.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     place = df.where(F.length(text) > limit).select(F.col(key).cast("long").alias("id"), F.col(doc).alias("doc"), F.col(paragraph).alias("para"), *order).dropDuplicates(["id"])
     alone = F.when(F.col("doc").isNull() | F.col("para").isNull(), F.col("id"))
-    w = Window.partitionBy("doc", "para", alone).orderBy(*order, "id").rowsBetween(Window.unboundedPreceding, -1)
-    offset = place.join(count, "id").withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).select("id", "para", "before")
+    upto = running(place.join(count, "id").withColumn("alone", alone), ["doc", "para", "alone"], order[0], [*order[1:], "id"], F.col("n"), "upto")
+    offset = upto.select("id", "para", (F.col("upto") - F.col("n")).alias("before"))
     return cut.join(offset, "id").withColumn("number", (F.col("before") + F.col("piece_no")).cast("int")).drop("before")
