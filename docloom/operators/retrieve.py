@@ -9,7 +9,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import shown
@@ -20,6 +20,8 @@ DIGITS = 6
 QUERY_BLOCK = 1024
 #: So many rows of the corpus are scored at once against a block of queries.
 ROW_BLOCK = 2048
+#: So many (question, row, term) meetings are added up at once.
+MEETINGS_AT_ONCE = 1 << 20
 #: Up to so many query terms are broadcast; beyond, they are joined by shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -56,14 +58,14 @@ def _nearest_batches(shared):
     return run
 
 
-def _blocks(queries: DataFrame, same: str | None) -> Iterator[_Block]:
+def _blocks(queries: DataFrame) -> Iterator[list]:
     """The queries, a stated set, in blocks of QUERY_BLOCK and of one length of vectors each."""
     rows = queries.toLocalIterator()
     while some := list(islice(rows, QUERY_BLOCK)):
         by_length: dict[int, list] = {}
         for r in some:
             by_length.setdefault(len(r["vector"] or ()), []).append(r)
-        yield from (_Block(own, same) for own in by_length.values())
+        yield from by_length.values()
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, most: float | None = None, same: str | None = None) -> DataFrame:
@@ -74,10 +76,9 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, most: floa
     Null vectors and vectors of another length match nothing; a vector of no length scores 0.
     """
     names, row = ["vector", *([same] if same else [])], "qid long, id long, score double"
-    none = F.lit(None).cast("double")
-    asked = queries.where("vector IS NOT NULL").select("qid", *names, F.lit(k).alias("k"), none.alias("tlo"), none.alias("thi"))
+    asked = queries.where("vector IS NOT NULL").select("qid", *names, F.lit(k).alias("k"))
     sc, rows = corpus.sparkSession.sparkContext, spread(corpus.select("id", *names))
-    out = [rows.mapInArrow(_nearest_batches(sc.broadcast(block)), row) for block in _blocks(asked, same)]
+    out = [rows.mapInArrow(_nearest_batches(sc.broadcast(_Block(some, same))), row) for some in _blocks(asked)]
     scored = reduce(DataFrame.union, out) if out else corpus.sparkSession.createDataFrame([], row)
     hits = top_k(scored, "qid", "score", "id", k)
     hits = hits.select("qid", "hit_rank", "id", F.round(1 - F.col("score"), DIGITS).alias("distance"))
@@ -91,37 +92,117 @@ def terms(text) -> Column:
     return F.concat(words, F.regexp_extract_all(low, F.lit("(?=([\\x{4e00}-\\x{9fff}]{2}))"), 1))
 
 
-def bm25_scores(queries: DataFrame, corpus: DataFrame, part: list[str] | None = None) -> DataFrame:
-    """(qid, id, score) of questions (qid, text) and corpus (id, text) that share a term.
+class _Asked:
+    """A block of questions (qid, t, k, and the columns that must be equal) as arrays: their terms, and who asks for each."""
 
-    The corpus is cut into terms in one pass, which also observes the number of documents and their mean length. Postings
-    are kept only of terms that a question holds; they are counted before they are shuffled. ``part`` names columns that
-    must be equal, such as a knowledge base. An empty side gives no row.
+    def __init__(self, rows: list, part: list[str]):
+        self.qids = np.array([r["qid"] for r in rows], np.int64)
+        self.k = np.array([r["k"] for r in rows], np.int64)
+        self.codes = {k: i for i, k in enumerate(dict.fromkeys(tuple(r[c] for c in part) for r in rows if None not in [r[c] for c in part]))}
+        self.kinds = np.array([self.codes.get(tuple(r[c] for c in part), -2) for r in rows], np.int64)
+        place: dict[str, int] = {}
+        pairs = [(place.setdefault(t, len(place)), q) for q, r in enumerate(rows) for t in r["t"]]
+        term, self.who = (np.array(x, np.int64) for x in zip(*sorted(pairs))) if pairs else (np.zeros(0, np.int64),) * 2
+        self.terms = pa.array(place, pa.string())
+        self.first = np.searchsorted(term, np.arange(len(place) + 1))
+        self.idf = np.zeros(len(place))
+
+    def weigh(self, n: int, found: dict[str, int]) -> None:
+        df = np.array([found.get(t, 0) for t in self.terms.to_pylist()], np.float64)
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def scores(self, b: pa.RecordBatch, mean: float, part: list[str]) -> np.ndarray:
+        """Questions x rows of a batch: their scores, 0 where no term (t) is shared or a column differs."""
+        size = pc.fill_null(pc.list_value_length(b.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = pc.fill_null(pc.index_in(b.column("t").flatten(), value_set=self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(b.num_rows), size)[code >= 0]
+        spot, tf = np.unique(row * max(1, len(self.terms)) + code[code >= 0], return_counts=True)
+        row, code = np.divmod(spot, max(1, len(self.terms)))
+        w = self.idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / mean))
+        own = np.array([self.codes.get(x, -1) for x in zip(*(b.column(c).to_pylist() for c in part))], np.int64) if part else np.zeros(b.num_rows, np.int64)
+        out = np.zeros(len(self.qids) * b.num_rows)
+        many = self.first[code + 1] - self.first[code]
+        upto, at = np.cumsum(many), 0
+        while at < len(code):  # so many (question, row, term) at a time
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MEETINGS_AT_ONCE, side="right")))
+            of = np.repeat(np.arange(at, to), many[at:to])
+            who = self.who[self.first[code[of]] + np.arange(len(of)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to])]
+            if part:
+                same = self.kinds[who] == own[row[of]]
+                of, who = of[same], who[same]
+            out += np.bincount(who * b.num_rows + row[of], weights=w[of], minlength=len(out))
+            at = to
+        return np.round(out.reshape(len(self.qids), b.num_rows), DIGITS)
+
+
+def _bm25_batches(shared, mean: float, part: list[str], best: bool):
+    """Rows (id, ..., t) to (qid, id, score): of every question all that share a term, or its k best within each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: _Asked = shared.value
+        for b in _pieces(batches):
+            score = block.scores(b, mean, part)
+            if best:
+                some = [_best(score[q], score[q] > 0, block.k[q]) for q in range(len(score))]
+                q, r = np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate([np.zeros(0, np.int64), *some])
+            else:
+                q, r = np.nonzero(score)
+            yield pa.RecordBatch.from_arrays([pa.array(block.qids[q]), b.column(0).take(pa.array(r)).cast(pa.int64()), pa.array(score[q, r])], names=["qid", "id", "score"])
+
+    return run
+
+
+def bm25_scores(queries: DataFrame, corpus: DataFrame, part: list[str] | None = None, k: int | str | None = None) -> DataFrame:
+    """(qid, id, score) of questions (qid, text) and corpus (id, text) that share a term; with ``k`` those of each batch's k best
+    of a question (``k`` may name a column of the questions).
+
+    The questions are a stated set, taken in blocks of QUERY_BLOCK, broadcast. A first pass over the corpus counts the documents, their mean length
+    and those that hold each term asked for; a second one scores every document where it is, so neither texts nor postings
+    move, however frequent a term is. ``part`` names columns that must be equal, such as a knowledge base. An empty side
+    gives no row.
     """
-    part = part or []
-    seen = Observation()
-    cut = spread(corpus.select("id", *part, "text")).select("id", *part, terms(F.col("text")).alias("t")).withColumn("size", F.size("t"))
-    cut = cut.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    asked = queries.select("qid", *part, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = written(asked.select("term").distinct(), "terms")
-    many = wanted.count()
-    if many == 0 or corpus.isEmpty():  # nothing would be observed
-        kinds = (queries.schema["qid"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString())
-        return corpus.sparkSession.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, score double")
-    wanted = F.broadcast(wanted) if many <= BROADCAST_TERMS else wanted
-    p = cut.select("id", *part, "size", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    p = written(p.groupBy("id", *part, "size", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    n, mean = seen.get["n"], float(seen.get["mean"] or 1.0)
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
-    w = p.join(df, "term").select("term", "id", *part, weight.alias("w"))
-    return asked.join(w, ["term", *part]).groupBy("qid", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
+    part, row, spark = part or [], "qid long, id long, score double", corpus.sparkSession
+    cut = spread(corpus.select("id", *part, "text")).select("id", *part, terms(F.col("text")).alias("t"))
+    limit = F.lit(0) if k is None else F.col(k) if isinstance(k, str) else F.lit(k)
+    asked = written(queries.select("qid", *part, F.array_distinct(terms(F.col("text"))).alias("t"), F.coalesce(limit, F.lit(0)).cast("int").alias("k")), "asked")
+    stats, rows, out = _Statistics(cut, asked), asked.toLocalIterator(), []
+    while stats.n and (some := list(islice(rows, QUERY_BLOCK))):
+        block = stats.weighed(_Asked(some, part))
+        out.append(cut.mapInArrow(_bm25_batches(spark.sparkContext.broadcast(block), stats.mean, part, k is not None), row))
+    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], row)
+
+
+class _Statistics:
+    """Documents of a corpus (t), their mean length, and those that hold each term asked for (t), from one pass; no document
+    counts where no term is asked for."""
+
+    EVERY = "\0"  # stands for a term that every document holds
+
+    def __init__(self, cut: DataFrame, asked: DataFrame):
+        self.n, self.mean, spark = 0, 1.0, cut.sparkSession
+        wanted = asked.select(F.explode("t").alias("term")).distinct()
+        many = wanted.count()
+        if many == 0:
+            return
+        wanted = wanted.union(spark.createDataFrame([(self.EVERY,)], "term string"))
+        wanted = F.broadcast(wanted) if many <= BROADCAST_TERMS else wanted
+        held = cut.where("t IS NOT NULL").select(F.size("t").alias("size"), F.explode(F.array_append(F.array_distinct("t"), F.lit(self.EVERY))).alias("term"))
+        self.df = written(held.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("size").alias("sizes")), "df")
+        every = self.df.where(F.col("term") == self.EVERY).first()
+        if every is not None:
+            self.n, self.mean = every["df"], every["sizes"] / every["df"] or 1.0
+
+    def weighed(self, block: _Asked) -> _Asked:
+        """The block with the weights of its own terms."""
+        if self.n:
+            own = self.df.join(F.broadcast(self.df.sparkSession.createDataFrame([(t,) for t in block.terms.to_pylist()], "term string")), "term").select("term", "df")
+            block.weigh(self.n, dict(own.toLocalIterator()))
+        return block
 
 
 def bm25_search(queries: DataFrame, corpus: DataFrame, k: int | str = 10, part: list[str] | None = None) -> DataFrame:
     """The best ``k`` of each question; ``k`` may name a column of the questions, one row each."""
-    scored = bm25_scores(queries, corpus, part)
+    scored = bm25_scores(queries, corpus, part, k)
     scored = scored.join(queries.select("qid", F.col(k).alias("k")), "qid") if isinstance(k, str) else scored
     return top_k(scored, "qid", "score", "id", "k" if isinstance(k, str) else k).select("qid", "hit_rank", "id", "score")
 
@@ -153,11 +234,10 @@ def hybrid_search(vector: DataFrame, keyword: DataFrame, k: int = 10, least: flo
 
 
 class _Block:
-    """A block of queries (qid, vector, k, tlo, thi, and the column that must be equal) as arrays; a null vector scores no row."""
+    """A block of queries (qid, vector, k, and the column that must be equal) as arrays; a null vector scores no row."""
 
     def __init__(self, rows: list, same: str | None):
         self.qids = np.array([r["qid"] for r in rows], np.int64)
-        self.order = np.argsort(self.qids)
         self.k = np.array([r["k"] for r in rows], np.int64)
         self.has = np.array([r["vector"] is not None for r in rows])
         dim = max((len(r["vector"]) for r in rows if r["vector"] is not None), default=0)
@@ -166,8 +246,6 @@ class _Block:
         self.vectors = v / np.where(size > 0, size, 1)[:, None]
         self.codes = {k: i for i, k in enumerate(dict.fromkeys(r[same] for r in rows if r[same] is not None))} if same else None
         self.kinds = np.array([self.codes.get(r[same], -2) for r in rows]) if same else None
-        self.low = np.array([np.nan if r["tlo"] is None else r["tlo"] for r in rows], np.float64)
-        self.high = np.array([np.nan if r["thi"] is None else r["thi"] for r in rows], np.float64)
 
     def cosine(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The rows of a batch (id, vector, ...) that have a fitting vector, their score for each query, and which of them count."""
@@ -189,75 +267,71 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (b.slice(at, ROW_BLOCK) for at in range(0, b.num_rows, ROW_BLOCK))
 
 
-def _span_batches(shared):
-    """The least and greatest score of every query within each batch."""
+def _span_batches(shared, mean: float, part: list[str]):
+    """The least and greatest score of every query within each batch, by vector and by keyword."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: _Block = shared.value
+        vectors, words = shared.value
         for b in _pieces(batches):
-            _, score, may = block.cosine(b)
-            some = np.flatnonzero(may.any(axis=1))
-            lo = np.where(may, score, np.inf)[some].min(axis=1, initial=np.inf)
-            hi = np.where(may, score, -np.inf)[some].max(axis=1, initial=-np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(block.qids[some]), pa.array(lo), pa.array(hi)], names=["qid", "lo", "hi"])
+            _, score, may = vectors.cosine(b)
+            said = words.scores(b, mean, part)
+            ends = [np.where(m, x, f).min(axis=1, initial=np.inf) if f > 0 else np.where(m, x, f).max(axis=1, initial=-np.inf) for x, m in ((score, may), (said, said > 0)) for f in (np.inf, -np.inf)]
+            yield pa.RecordBatch.from_arrays([pa.array(vectors.qids), *[pa.array(np.where(np.isfinite(x), x, np.nan), from_pandas=True) for x in ends]], names=["qid", "vlo", "vhi", "tlo", "thi"])
 
     return run
 
 
-def _fused_batches(shared, spans: dict, alpha: float):
-    """The k best of every query by fused score within each batch (id, vector, ..., said), all ties of the last one included."""
+def _scaled(score: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    wide = (hi > lo)[:, None]
+    return np.where(wide, (score - lo[:, None]) / np.where(wide, (hi - lo)[:, None], 1), 1.0)
+
+
+def _fused_batches(shared, mean: float, part: list[str], spans: dict, alpha: float):
+    """The k best of every query by fused score within each batch, all ties of the last one included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: _Block = shared.value
-        lo = np.array([spans.get(q, (0.0, 0.0))[0] for q in block.qids.tolist()])[:, None]
-        hi = np.array([spans.get(q, (0.0, 0.0))[1] for q in block.qids.tolist()])[:, None]
-        ranked = block.qids[block.order]
+        vectors, words = shared.value
+        vlo, vhi, tlo, thi = (np.array([np.nan if x is None else x for x in c]) for c in zip(*(spans.get(q, (None,) * 4) for q in vectors.qids.tolist())))
         for b in _pieces(batches):
-            rows, cosine, counts = block.cosine(b)
-            score, may = np.zeros((len(block.qids), b.num_rows)), np.zeros((len(block.qids), b.num_rows), bool)
-            x = np.where(hi > lo, (cosine - lo) / np.where(hi > lo, hi - lo, 1), 1.0)
-            score[:, rows], may[:, rows] = np.where(counts, alpha * x, 0.0), counts
-            said = b.column(b.num_columns - 1)
-            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(said), 0).to_numpy(zero_copy_only=False))
-            flat = said.flatten()
-            qid, t = flat.field("qid").to_numpy(zero_copy_only=False), flat.field("score").to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(ranked, qid), len(ranked) - 1)
-            own = ranked[at] == qid
-            q, row, t = block.order[at[own]], row[own], t[own]
-            wide = block.high[q] > block.low[q]
-            score[q, row] += (1 - alpha) * np.where(wide, (t - block.low[q]) / np.where(wide, block.high[q] - block.low[q], 1), 1.0)
-            may[q, row] = True
+            rows, cosine, counts = vectors.cosine(b)
+            said = words.scores(b, mean, part)
+            may = said > 0
+            score = np.where(may, (1 - alpha) * _scaled(said, tlo, thi), 0.0)
+            score[:, rows] += np.where(counts, alpha * _scaled(cosine, vlo, vhi), 0.0)
+            may[:, rows] |= counts
             score = np.round(score, DIGITS) + 0.0
-            best = [_best(score[q], may[q], block.k[q]) for q in range(len(block.qids))]
+            best = [_best(score[q], may[q], vectors.k[q]) for q in range(len(vectors.qids))]
             q, r = np.repeat(np.arange(len(best)), [len(x) for x in best]), np.concatenate([np.zeros(0, np.int64), *best])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.qids[q]), b.column(0).take(pa.array(r)).cast(pa.int64()), pa.array(score[q, r]), pa.array(block.k[q].astype(np.int32))], names=["qid", "id", "score", "k"]
+                [pa.array(vectors.qids[q]), b.column(0).take(pa.array(r)).cast(pa.int64()), pa.array(score[q, r]), pa.array(vectors.k[q].astype(np.int32))], names=["qid", "id", "score", "k"]
             )
 
     return run
 
 
-def hybrid_full(queries: DataFrame, keyword: DataFrame, corpus: DataFrame, k: int | str = 10, least: float | None = None, alpha: float = ALPHA, same: str | None = None) -> DataFrame:
+def hybrid_full(queries: DataFrame, corpus: DataFrame, k: int | str = 10, least: float | None = None, alpha: float = ALPHA, same: str | None = None) -> DataFrame:
     """(qid, hit_rank, id, score): the best k of the fusion over all scores of both sides; only then those below ``least`` are dropped.
 
-    As ``hybrid_search(vector scores of all rows, keyword, k)``, without the pairs of all rows: a first pass over the corpus
-    (id, vector) finds each query's least and greatest cosine, a second one takes up the keyword scores (qid, id, score) of
-    its rows and sends on each batch's own k best. ``k`` may name a column of the queries (qid, vector). A row without a
-    vector counts by its keywords only, and so do all rows for a query without one.
+    As ``hybrid_search`` of the vector and keyword scores of all rows, without a table of them: a first pass over the corpus
+    (id, vector, text) finds each query's least and greatest scores, a second one scores every row where it is and sends on
+    each batch's own k best. ``k`` may name a column of the queries (qid, text, vector); a null one gives no hit. A row without
+    a vector or a text counts by the other side only (a null text isn't a document of the keyword side, an empty one is), and
+    so do all rows for a query without one. ``same`` names a column
+    that must be equal.
     """
-    names, row = ["vector", *([same] if same else [])], "qid long, id long, score double, k int"
-    keyword = written(keyword, "keyword-scores")
-    limits = keyword.groupBy("qid").agg(F.min("score").alias("tlo"), F.max("score").alias("thi"))
-    asked = queries.select("qid", *names, (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k")).where("k IS NOT NULL")
-    said = keyword.groupBy("id").agg(F.collect_list(F.struct("qid", "score")).alias("said"))
-    vectors = spread(corpus.select("id", *names))
-    both, out = written(vectors.join(said, "id", "full"), "both-sides"), []
-    for block in _blocks(asked.join(limits, "qid", "left"), same):
-        block = corpus.sparkSession.sparkContext.broadcast(block)
-        spans = both.select("id", *names).mapInArrow(_span_batches(block), "qid long, lo double, hi double")
-        spans = {r["qid"]: (r["lo"], r["hi"]) for r in spans.groupBy("qid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}  # one row per query
-        out.append(both.select("id", *names, "said").mapInArrow(_fused_batches(block, spans, alpha), row))
-    scored = reduce(DataFrame.union, out) if out else corpus.sparkSession.createDataFrame([], row)
+    part, row, spark = [same] if same else [], "qid long, id long, score double, k int", corpus.sparkSession
+    t = F.when(F.col("text").isNotNull(), terms(F.col("text"))).alias("t")
+    cut = spread(corpus.select("id", "vector", *part, "text")).select("id", "vector", *part, t)
+    limit = (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int")
+    asked = written(queries.select("qid", "vector", *part, F.array_distinct(terms(F.col("text"))).alias("t"), limit.alias("k")).where("k IS NOT NULL"), "asked")
+    stats, out = _Statistics(cut, asked), []
+    for some in _blocks(asked):
+        shared = spark.sparkContext.broadcast((_Block(some, same), stats.weighed(_Asked(some, part))))
+        ends = cut.mapInArrow(_span_batches(shared, stats.mean, part), "qid long, vlo double, vhi double, tlo double, thi double")
+        ends = ends.groupBy("qid").agg(*[(F.max if c.endswith("hi") else F.min)(c).alias(c) for c in ("vlo", "vhi", "tlo", "thi")])
+        spans = {r["qid"]: (r["vlo"], r["vhi"], r["tlo"], r["thi"]) for r in ends.collect()}  # one row per query
+        out.append(cut.mapInArrow(_fused_batches(shared, stats.mean, part, spans, alpha), row))
+    scored = reduce(DataFrame.union, out) if out else spark.createDataFrame([], row)
     hits = top_k(scored, "qid", "score", "id", "k").select("qid", "hit_rank", "id", "score")
     return hits if least is None else hits.where(F.col("score") >= least)
 

@@ -19,7 +19,7 @@ from docloom.operators import grid as G
 from docloom.operators import images as I
 from docloom.operators import segment as S
 from docloom.operators.answer import answer_prompt, contexts, merge_ranked, tagged, within_budget
-from docloom.operators.retrieve import ALPHA, above, bm25_scores, bm25_search, hybrid_full, valid_questions
+from docloom.operators.retrieve import ALPHA, above, bm25_search, hybrid_full, valid_questions
 from docloom.operators.store import ContainsAny, Store, chunk_types, predicate
 from docloom.runtime import numbered, spread, written
 from docloom.sources import ooxml as X
@@ -231,9 +231,7 @@ def semantic(questions: DataFrame, chunks: DataFrame, types: str | list[str] | N
     chunks of these types only. A filter on the types is a column, so it reaches the scan. No known type gives no hit."""
     if types is not None:
         chunks = chunks.where(predicate(ContainsAny("chunk_type", tuple(chunk_types(types)))))
-    texts = chunks.select(F.col(key).alias("id"), F.col("content").alias("text"), "kb_id")
-    keyword = bm25_scores(questions.select("qid", "text", "kb_id"), texts, ["kb_id"])
-    return hybrid_full(questions, keyword, chunks.select(F.col(key).alias("id"), "vector", "kb_id"), k, alpha=alpha, same="kb_id")
+    return hybrid_full(questions, chunks.select(F.col(key).alias("id"), F.coalesce("content", F.lit("")).alias("text"), "vector", "kb_id"), k, alpha=alpha, same="kb_id")
 
 
 def ask(questions: DataFrame, chunks: DataFrame, make: Callable[[], E.Provider] = E.Offline, hits: int = 8, hybrid: bool = False) -> DataFrame:

@@ -104,10 +104,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, d: str, least: float | None = None) -> DataFrame:
     """Documents that have a vector ask by their whole text and vector; all scores of both sides are fused."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    vectors = _vector_queries(spark, d)
-    q = docs.where("id % 100 = 0").join(vectors, F.col("id") == F.col("qid")).select("qid", "text")
-    return R.hybrid_full(vectors, R.bm25_scores(q, docs), _vectors(spark, d), K, least)
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(_vectors(spark, d), "id", "full")
+    return R.hybrid_full(rows.where("id % 100 = 0 AND vector IS NOT NULL").withColumnRenamed("id", "qid"), rows.where("id IS NOT NULL"), K, least)
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:

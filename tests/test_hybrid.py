@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import retrieve as R
 from docloom.plans import retrieval as Q
@@ -24,12 +25,13 @@ def test_fusion_over_all_scores(spark, as_rows, same):
     keyword = R.bm25_scores(q, d, ["kb_id"] if same else None)
     v = R.vector_search(q.drop("k"), d, 400, same=same).selectExpr("qid", "id", "round(1 - distance, 6) AS score")
     want = R.top_k(R.fused(v, keyword).join(q.select("qid", "k"), "qid"), "qid", "score", "id", "k")
-    got = R.hybrid_full(q, keyword, d, "k", same=same)
+    got = R.hybrid_full(q, d, "k", same=same)
     shown = lambda df: [(*r[:3], round(r[3], 5)) for r in as_rows(df, "qid", "hit_rank", "id", "score")]
     assert shown(got) == shown(want) and got.count() == sum(range(3, 9))
-    assert R.hybrid_full(q.limit(0), keyword, d).count() == 0 and R.hybrid_full(q, keyword.limit(0), d, 2).count() == 10
+    assert R.hybrid_full(q.limit(0), d).count() == 0 and R.hybrid_full(q, d.limit(0)).count() == 0
+    assert R.hybrid_full(q, d.withColumn("text", F.lit("")), 2).count() == 10  # by vectors only, which one query lacks
     capped = R.hybrid_search(R.top_k(v, "qid", "score", "id", 20), R.top_k(keyword, "qid", "score", "id", 20), 8)
-    assert as_rows(capped, "qid", "id") != as_rows(R.hybrid_full(q, keyword, d, 8, same=same), "qid", "id")
+    assert as_rows(capped, "qid", "id") != as_rows(R.hybrid_full(q, d, 8, same=same), "qid", "id")
 
 
 def test_terms_beyond_forty_characters_count(spark, tmp_path):
