@@ -19,9 +19,11 @@ from docloom.runtime import running, spread
 LIMIT, OVERLAP = 500, 50
 LEVELS = ("section", "paragraph", "sentence", "clause", "word", "character")
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
-#: What ends a part at each level; the separator stays with the part before it.
+#: What starts a section's heading line: a mark-up sign, or a numbered chapter or section in one of the texts' languages.
+_HEADING = r"[^\S\n\r]*(?:#{1,6}[^\S\n\r]|第[一二三四五六七八九十百零\d]{1,6}[章节篇部]|(?i:chapter|section|chapitre|partie)[^\S\n\r]+\d)"
+#: What ends a part at each level; the separator stays with the part before it. A section ends at a blank line or before a heading.
 _ENDS = [
-    regex.compile(rf"(?:{_BREAK})[^\S\n\r]*(?:(?:{_BREAK})[^\S\n\r]*)+"),
+    regex.compile(rf"(?:{_BREAK})[^\S\n\r]*(?:(?:{_BREAK})[^\S\n\r]*)+|(?:{_BREAK})(?={_HEADING})"),
     regex.compile(rf"(?:{_BREAK})+"),
     regex.compile(r"""(?:[。！？!?…]+|\.+(?=[\s"'”’」』）)\]]))["'”’」』）)\]]*\s*"""),
     regex.compile(r"[;；:：,，、|｜]+\s*|[)）\]】」』”]+\s*"),

@@ -42,6 +42,13 @@ def test_split_prefers_high_boundaries():
         splitting.split("a", 10, 10)
 
 
+def test_sections_end_before_headings():
+    body = "line of text\n" * 14
+    for head in ("## Costs\n", "第三章 费用\n", "Chapter 3 Costs\n"):
+        text = body + head + body
+        assert [p[:2] for p in splitting.split(text, 300, 0)] == [(0, len(body)), (len(body), len(text))]
+
+
 def test_pieces(spark, as_rows):
     long = "word " * 240
     rows = [(1, "d", 1, 1, long), (2, "d", 1, 2, long), (3, "d", None, None, "x" * 600), (4, "d", 2, None, None), (5, "d", 2, None, ""), (6, "d", 2, None, "s" * 500)]
