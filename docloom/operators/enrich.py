@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -52,15 +51,17 @@ class Offline:
         return [json.dumps({"description": f"图片 {len(b)} 字节", "keywords": [u[5 : u.index(";")]], "image_type": "unknown", "context_relation": p[:20], "key_information": [], "searchable_queries": [p[:10]]}, ensure_ascii=False) for p, b, u in zip(prompts, images, uris)]
 
     def embed(self, texts: list[str]) -> list[list[float] | None]:
+        """Counts of pairs of neighbouring characters, hashed to places and signs, as a unit vector."""
         out: list[list[float] | None] = []
         for t in texts:
             if not t.strip():
                 out.append(None)
                 continue
-            v = np.zeros(self.dim)
-            for i in range(max(1, len(t) - 1)):
-                h = int.from_bytes(hashlib.blake2b(t[i : i + 2].encode(), digest_size=8).digest(), "big")
-                v[h % self.dim] += 1 if h >> 63 else -1
+            codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            codes = codes if len(codes) > 1 else np.append(codes, np.uint64(0))
+            h = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            v = np.bincount(((h >> np.uint64(20)) % np.uint64(self.dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), self.dim)
             n = np.linalg.norm(v)
             out.append((v / n).tolist() if n else None)
         return out

@@ -9,7 +9,7 @@ from docloom.functions.text import sql_shown, sql_strip
 from docloom.operators import answer as A
 from docloom.operators import retrieve as R
 from docloom.operators import store as S
-from docloom.runtime import table
+from docloom.runtime import table, written
 
 K = 10
 
@@ -104,7 +104,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, d: str, least: float | None = None) -> DataFrame:
     """Documents that have a vector ask by their whole text and vector; all scores of both sides are fused."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(_vectors(spark, d), "id", "full")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = written(docs.join(_vectors(spark, d).select("id", "vector"), "id", "full"), "both-sides")
     return R.hybrid_full(rows.where("id % 100 = 0 AND vector IS NOT NULL").withColumnRenamed("id", "qid"), rows.where("id IS NOT NULL"), K, least)
 
 
