@@ -9,7 +9,6 @@ hold the leftovers of many, until one shard is left; so the space lost is that o
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
