@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import shown
 from docloom.runtime import spread, written
@@ -22,6 +23,8 @@ QUERY_BLOCK = 1024
 ROW_BLOCK = 2048
 #: So many (question, row, term) meetings are added up at once.
 MEETINGS_AT_ONCE = 1 << 20
+#: So many queries, of so many terms, are asked at once by ``hybrid_full``, in tiles of so many.
+ASKED_AT_ONCE, TERMS_AT_ONCE, TILE_QUERIES = 8192, 1 << 20, 128
 #: Up to so many query terms are broadcast; beyond, they are joined by shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -267,70 +270,283 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (b.slice(at, ROW_BLOCK) for at in range(0, b.num_rows, ROW_BLOCK))
 
 
-def _span_batches(shared, mean: float, part: list[str]):
-    """The least and greatest score of every query within each batch, by vector and by keyword."""
+class _Tile:
+    """Up to TILE_QUERIES queries of one length of vectors and one kind, at ``at`` of their round: vectors, and who asks for each term."""
+
+    def __init__(self, rows: list, at: int, vocabulary: dict[str, int]):
+        self.at = slice(at, at + len(rows))
+        v = np.array([r["vector"] or () for r in rows], np.float64).reshape(len(rows), -1)
+        size = np.linalg.norm(v, axis=1)
+        self.vectors = v / np.where(size > 0, size, 1)[:, None]
+        pairs = sorted((vocabulary[t], q) for q, r in enumerate(rows) for t in r["t"])
+        term, self.who = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        self.codes, self.first, self.many = np.unique(term, return_index=True, return_counts=True)
+
+
+class _Round:
+    """Queries (qid, vector, t, k, and the column that must be equal) that are asked at once, in tiles by kind; a null kind is left out."""
+
+    def __init__(self, rows: list, same: str | None):
+        groups: dict[tuple, list] = {}
+        for r in rows:
+            if r["k"] > 0 and (same is None or r[same] is not None):
+                groups.setdefault((r[same] if same else 0, len(r["vector"] or ())), []).append(r)
+        vocabulary: dict[str, int] = {}
+        for r in rows:
+            for t in r["t"]:
+                vocabulary.setdefault(t, len(vocabulary))
+        self.terms, self.idf, self.mean = pa.array(vocabulary, pa.string()), np.zeros(len(vocabulary)), 1.0
+        self.same, self.kinds, self.tiles, order = same, list(dict.fromkeys(kind for kind, _ in groups)), {}, []
+        for (kind, _), some in groups.items():
+            for i in range(0, len(some), TILE_QUERIES):
+                self.tiles.setdefault(kind, []).append(_Tile(some[i : i + TILE_QUERIES], len(order), vocabulary))
+                order += some[i : i + TILE_QUERIES]
+        self.qids, self.k = np.array([r["qid"] for r in order], np.int64), np.array([r["k"] for r in order], np.int64)
+
+    def weigh(self, coded: DataFrame) -> None:
+        """The weights of the terms, by what the corpus holds of them."""
+        n, sizes = coded.agg(F.count("size"), F.sum("size")).first()
+        if n:
+            df = np.zeros(len(self.terms))
+            for code, many in coded.select(F.explode("codes").alias("code")).groupBy("code").count().toLocalIterator():
+                df[code] = many
+            self.idf, self.mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), sizes / n or 1.0
+
+    def groups(self, b: pa.RecordBatch) -> Iterator[tuple[list[_Tile], _Rows]]:
+        """The rows of a batch, up to ROW_BLOCK of one kind at a time, and the tiles that they count for."""
+        if self.same is None:
+            own = np.zeros(b.num_rows, np.int64)
+        else:
+            own = pc.fill_null(pc.index_in(b.column(self.same), value_set=pa.array(self.kinds).cast(b.column(self.same).type)), -1).to_numpy(zero_copy_only=False)
+        for i, kind in enumerate(self.kinds):
+            rows = np.flatnonzero(own == i)
+            for at in range(0, len(rows), ROW_BLOCK):
+                yield self.tiles[kind], _Rows(b.take(pa.array(rows[at : at + ROW_BLOCK])), self)
+
+
+class _Rows:
+    """Coded rows (id, vector, size, codes, counts) as arrays: unit vectors of a length, and the weight of each term asked for."""
+
+    def __init__(self, b: pa.RecordBatch, asked: _Round):
+        self.n, self.b, self.unit = b.num_rows, b, {}
+        self.ids = pc.fill_null(b.column("id").cast(pa.int64()), _NO_ID).to_numpy(zero_copy_only=False)
+        self.row = np.repeat(np.arange(self.n), pc.list_value_length(b.column("codes")).to_numpy(zero_copy_only=False))
+        self.code, tf = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("codes", "counts"))
+        size = pc.fill_null(b.column("size"), 0).to_numpy(zero_copy_only=False)
+        self.weight = asked.idf[self.code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.row] / asked.mean))
+
+    def units(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows have a vector of this length; their unit vectors, 0 for others."""
+        if dim not in self.unit:
+            v = self.b.column("vector")
+            fit = pc.fill_null(pc.equal(pc.list_value_length(v), dim), False).to_numpy(zero_copy_only=False) & (dim > 0)
+            out = np.zeros((self.n, dim))
+            own = v.take(pa.array(np.flatnonzero(fit), pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) if dim else out[fit]
+            size = np.linalg.norm(own, axis=1)
+            own, size, fit[fit] = own[np.isfinite(size)], size[np.isfinite(size)], np.isfinite(size)
+            out[fit] = own / np.where(size > 0, size, 1)[:, None]
+            self.unit[dim] = fit, out
+        return self.unit[dim]
+
+    def said(self, tile: _Tile, place: np.ndarray) -> np.ndarray:
+        """Queries x rows: keyword scores, not rounded. ``place`` has -1 for every term, before and after."""
+        q = len(tile.vectors)
+        place[tile.codes] = np.arange(len(tile.codes))
+        local = place[self.code]
+        place[tile.codes] = -1
+        met = np.flatnonzero(local >= 0)
+        local, row, weight = local[met], self.row[met], self.weight[met]
+        first, many = tile.first[local], tile.many[local]
+        out, upto, at = np.zeros(q * self.n), np.cumsum(many), 0
+        while at < len(met):  # so many (query, row, term) at a time
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MEETINGS_AT_ONCE, side="right")))
+            n = many[at:to]
+            who = tile.who[np.repeat(first[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            out += np.bincount(who * self.n + np.repeat(row[at:to], n), weights=np.repeat(weight[at:to], n), minlength=len(out))
+            at = to
+        return out.reshape(q, self.n)
+
+
+#: A keyword score beyond this one isn't 0 when rounded.
+_SEEN = 0.5 * 10.0**-DIGITS
+#: Stands for a null id, which comes first among equals.
+_NO_ID = -(1 << 63)
+
+
+def _coded_batches(shared, kept: list[str]):
+    """Rows (..., t) to rows with the number of their terms (size) and, of the terms asked for, the codes and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, words = shared.value
-        for b in _pieces(batches):
-            _, score, may = vectors.cosine(b)
-            said = words.scores(b, mean, part)
-            ends = [np.where(m, x, f).min(axis=1, initial=np.inf) if f > 0 else np.where(m, x, f).max(axis=1, initial=-np.inf) for x, m in ((score, may), (said, said > 0)) for f in (np.inf, -np.inf)]
-            yield pa.RecordBatch.from_arrays([pa.array(vectors.qids), *[pa.array(np.where(np.isfinite(x), x, np.nan), from_pandas=True) for x in ends]], names=["qid", "vlo", "vhi", "tlo", "thi"])
+        words = shared.value
+        wide = max(1, len(words))
+        for b in batches:
+            t = b.column("t")
+            size = pc.list_value_length(t)
+            code = pc.fill_null(pc.index_in(t.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(size, 0).to_numpy(zero_copy_only=False))
+            spot, tf = np.unique(row[code >= 0] * wide + code[code >= 0], return_counts=True)
+            row, code = np.divmod(spot, wide)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (code, tf)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], size, *lists], names=[*kept, "size", "codes", "counts"])
 
     return run
 
 
-def _scaled(score: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    wide = (hi > lo)[:, None]
-    return np.where(wide, (score - lo[:, None]) / np.where(wide, (hi - lo)[:, None], 1), 1.0)
+def _span_batches(shared):
+    """The least and greatest score of every query within a partition, by vector and by keyword."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: _Round = shared.value
+        place = np.full(len(asked.terms), -1, np.int64)
+        vlo, vhi, tlo, thi = (np.full(len(asked.qids), x) for x in (np.inf, -np.inf) * 2)
+        for b in batches:
+            for tiles, rows in asked.groups(b):
+                for tile in tiles:
+                    fit, unit = rows.units(tile.vectors.shape[1])
+                    if fit.any():
+                        cosine = tile.vectors @ (unit if fit.all() else unit[fit]).T
+                        vlo[tile.at], vhi[tile.at] = np.minimum(vlo[tile.at], cosine.min(axis=1)), np.maximum(vhi[tile.at], cosine.max(axis=1))
+                    said = rows.said(tile, place)
+                    thi[tile.at] = np.maximum(thi[tile.at], said.max(axis=1))
+                    tlo[tile.at] = np.minimum(tlo[tile.at], np.where(said > _SEEN, said, np.inf).min(axis=1))
+        thi[thi <= _SEEN] = -np.inf
+        ends = [pa.array(np.where(np.isfinite(x), np.round(x, DIGITS) + 0.0, np.nan), from_pandas=True) for x in (vlo, vhi, tlo, thi)]
+        yield pa.RecordBatch.from_arrays([pa.array(asked.qids), *ends], names=["qid", "vlo", "vhi", "tlo", "thi"])
 
+    return run
 
-def _fused_batches(shared, mean: float, part: list[str], spans: dict, alpha: float):
-    """The k best of every query by fused score within each batch, all ties of the last one included."""
+
+class _Side:
+    """The scores of a side, scaled to 0..share within a query: score * by + off; share where all of a side are equal."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, share: float):
+        self.wide, self.share, self.lo = hi > lo, share, np.where(hi > lo, lo, 0.0)
+        self.width = np.where(self.wide, hi - lo, 1.0)
+        self.by = np.where(self.wide, share / self.width, 0.0)
+        self.off = np.where(self.wide, -self.lo * self.by, share)
+
+    def exact(self, score: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return self.share * np.where(self.wide[q], (np.round(score, DIGITS) + 0.0 - self.lo[q]) / self.width[q], 1.0)
+
+
+class _Best:
+    """The best k of each query so far, and a score (least) that each of its k best reaches."""
+
+    def __init__(self, k: np.ndarray):
+        self.k, self.least, self.held, self.new = k, np.full(len(k), -np.inf), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((q, ids, score))
+        self.new += len(q)
+        if self.new > max(MEETINGS_AT_ONCE, len(self.held[0][0])) // 4:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, ids, score = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k[q] - 1
+        self.least[q[last]] = np.maximum(self.least[q[last]], score[last])
+        kept = rank < self.k[q]
+        self.held, self.new = [(q[kept], ids[kept], score[kept])], 0
+        return self.held[0]
+
+
+def _fused_batches(shared, spans, alpha: float):
+    """The k best of every query by fused score within a partition.
+
+    All pairs get their score without rounding, off the exact one by ``slack`` at most; those that can be among the best get the exact one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, words = shared.value
-        vlo, vhi, tlo, thi = (np.array([np.nan if x is None else x for x in c]) for c in zip(*(spans.get(q, (None,) * 4) for q in vectors.qids.tolist())))
-        for b in _pieces(batches):
-            rows, cosine, counts = vectors.cosine(b)
-            said = words.scores(b, mean, part)
-            may = said > 0
-            score = np.where(may, (1 - alpha) * _scaled(said, tlo, thi), 0.0)
-            score[:, rows] += np.where(counts, alpha * _scaled(cosine, vlo, vhi), 0.0)
-            may[:, rows] |= counts
-            score = np.round(score, DIGITS) + 0.0
-            best = [_best(score[q], may[q], vectors.k[q]) for q in range(len(vectors.qids))]
-            q, r = np.repeat(np.arange(len(best)), [len(x) for x in best]), np.concatenate([np.zeros(0, np.int64), *best])
+        asked: _Round = shared.value
+        vlo, vhi, tlo, thi = spans.value
+        v, t, best = _Side(vlo, vhi, alpha), _Side(tlo, thi, 1 - alpha), _Best(asked.k)
+        slack = (np.abs(v.by) + np.abs(t.by) + 1) * 0.6 * 10.0**-DIGITS
+        place = np.full(len(asked.terms), -1, np.int64)
+        for b in batches:
+            for tiles, rows in asked.groups(b):
+                for tile in tiles:
+                    at, n = tile.at, rows.n
+                    fit, unit = rows.units(tile.vectors.shape[1])
+                    score = (tile.vectors * v.by[at, None]) @ unit.T
+                    score += v.off[at, None]
+                    said = rows.said(tile, place).ravel()
+                    spoken = np.flatnonzero(said > _SEEN)
+                    q = spoken // n + at.start
+                    more = said[spoken] * t.by[q] + t.off[q]
+                    if fit.all():
+                        score.ravel()[spoken] += more
+                    else:
+                        had = np.where(fit[spoken % n], score.ravel()[spoken], 0.0)
+                        score[:, ~fit] = -np.inf
+                        score.ravel()[spoken] = had + more
+                    for i in np.flatnonzero(np.isneginf(best.least[at]) & (asked.k[at] <= n)):
+                        k = asked.k[at][i]
+                        best.least[at.start + i] = np.partition(score[i], n - k)[n - k] - slack[at.start + i]
+                    found = np.flatnonzero((score >= (best.least[at] - slack[at])[:, None]) & np.isfinite(score))
+                    for f in (found[x : x + ROW_BLOCK * 8] for x in range(0, len(found), ROW_BLOCK * 8)):
+                        i, r = np.divmod(f, n)
+                        q = i + at.start
+                        cosine = np.einsum("ij,ij->i", tile.vectors[i], unit[r])
+                        exact = np.where(said[f] > _SEEN, t.exact(said[f], q), 0.0) + np.where(fit[r], v.exact(cosine, q), 0.0)
+                        best.add(q, rows.ids[r], np.round(exact, DIGITS) + 0.0)
+        q, ids, score = best.settle()
+        for x in range(0, len(q), MEETINGS_AT_ONCE):
+            some = slice(x, x + MEETINGS_AT_ONCE)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(vectors.qids[q]), b.column(0).take(pa.array(r)).cast(pa.int64()), pa.array(score[q, r]), pa.array(vectors.k[q].astype(np.int32))], names=["qid", "id", "score", "k"]
+                [pa.array(asked.qids[q[some]]), pa.array(ids[some], mask=ids[some] == _NO_ID), pa.array(score[some]), pa.array(asked.k[q[some]].astype(np.int32))], names=["qid", "id", "score", "k"]
             )
 
     return run
 
 
+def _rounds(queries: DataFrame) -> Iterator[list]:
+    """The queries, a stated set, ASKED_AT_ONCE or as many as hold TERMS_AT_ONCE terms at a time."""
+    some, held = [], 0
+    for r in queries.toLocalIterator():
+        if some and (len(some) == ASKED_AT_ONCE or held + len(r["t"]) > TERMS_AT_ONCE):
+            yield some
+            some, held = [], 0
+        some.append(r)
+        held += len(r["t"])
+    if some:
+        yield some
+
+
 def hybrid_full(queries: DataFrame, corpus: DataFrame, k: int | str = 10, least: float | None = None, alpha: float = ALPHA, same: str | None = None) -> DataFrame:
     """(qid, hit_rank, id, score): the best k of the fusion over all scores of both sides; only then those below ``least`` are dropped.
 
-    As ``hybrid_search`` of the vector and keyword scores of all rows, without a table of them: a first pass over the corpus
-    (id, vector, text) finds each query's least and greatest scores, a second one scores every row where it is and sends on
-    each batch's own k best. ``k`` may name a column of the queries (qid, text, vector); a null one gives no hit. A row without
+    As ``hybrid_search`` of the vector and keyword scores of all rows, without a table of them. The corpus (id, vector, text) is
+    read and cut into terms once for all queries of a round, up to ASKED_AT_ONCE, and kept with the terms asked for; over that a first pass finds each
+    query's least and greatest scores, a second one scores every row where it is and sends on each partition's own k best. ``k`` may
+    name a column of the queries (qid, text, vector); a null one gives no hit. A row without
     a vector or a text counts by the other side only (a null text isn't a document of the keyword side, an empty one is), and
     so do all rows for a query without one. ``same`` names a column
-    that must be equal.
+    that must be equal; a query meets only the rows of its own.
     """
     part, row, spark = [same] if same else [], "qid long, id long, score double, k int", corpus.sparkSession
+    kept = ["id", "vector", *part]
     t = F.when(F.col("text").isNotNull(), terms(F.col("text"))).alias("t")
-    cut = spread(corpus.select("id", "vector", *part, "text")).select("id", "vector", *part, t)
+    cut = spread(corpus.select(*kept, "text")).select(*kept, t)
+    schema = T.StructType([*cut.drop("t").schema.fields, *[T.StructField(c, x) for c, x in (("size", T.IntegerType()), ("codes", T.ArrayType(T.IntegerType())), ("counts", T.ArrayType(T.IntegerType())))]])
     limit = (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int")
     asked = written(queries.select("qid", "vector", *part, F.array_distinct(terms(F.col("text"))).alias("t"), limit.alias("k")).where("k IS NOT NULL"), "asked")
-    stats, out = _Statistics(cut, asked), []
-    for some in _blocks(asked):
-        shared = spark.sparkContext.broadcast((_Block(some, same), stats.weighed(_Asked(some, part))))
-        ends = cut.mapInArrow(_span_batches(shared, stats.mean, part), "qid long, vlo double, vhi double, tlo double, thi double")
+    out = []
+    for some in _rounds(asked):
+        these = _Round(some, same)
+        if len(these.qids) == 0:
+            continue
+        coded = written(cut.mapInArrow(_coded_batches(spark.sparkContext.broadcast(these.terms), kept), schema), "coded")
+        these.weigh(coded)
+        shared = spark.sparkContext.broadcast(these)
+        ends = coded.mapInArrow(_span_batches(shared), "qid long, vlo double, vhi double, tlo double, thi double")
         ends = ends.groupBy("qid").agg(*[(F.max if c.endswith("hi") else F.min)(c).alias(c) for c in ("vlo", "vhi", "tlo", "thi")])
-        spans = {r["qid"]: (r["vlo"], r["vhi"], r["tlo"], r["thi"]) for r in ends.collect()}  # one row per query
-        out.append(cut.mapInArrow(_fused_batches(shared, stats.mean, part, spans, alpha), row))
+        found = {r["qid"]: [np.nan if x is None else x for x in r[1:]] for r in ends.collect()}  # one row per query
+        spans = spark.sparkContext.broadcast(np.array([found.get(q, [np.nan] * 4) for q in these.qids.tolist()]).T)
+        out.append(coded.mapInArrow(_fused_batches(shared, spans, alpha), row))
     scored = reduce(DataFrame.union, out) if out else spark.createDataFrame([], row)
     hits = top_k(scored, "qid", "score", "id", "k").select("qid", "hit_rank", "id", "score")
     return hits if least is None else hits.where(F.col("score") >= least)

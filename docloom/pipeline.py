@@ -24,6 +24,8 @@ from docloom.operators.store import ContainsAny, Store, chunk_types, predicate
 from docloom.runtime import numbered, spread, written
 from docloom.sources import ooxml as X
 
+#: Up to so many hits are broadcast to the chunks; beyond, chunks and hits are joined by shuffle.
+BROADCAST_HITS = 200_000
 # Properties of the two kinds of collection.
 CHUNK_PROPERTIES = {
     "doc_id": "text", "seq": "int", "chunk_id": "text", "chunk_type": "text", "content": "text", "context": "text", "parent_id": "text", "paragraph_index": "int",
@@ -239,7 +241,7 @@ def ask(questions: DataFrame, chunks: DataFrame, make: Callable[[], E.Provider]
 
     Each question has its own number of hits and least score; ``hits`` stands in for a null k, and a null threshold drops none.
     Retrieval is by keywords, or, with ``hybrid``, by the fusion of keyword and vector scores within the knowledge base;
-    chunks without a column ``vector`` are embedded first.
+    chunks without a column ``vector`` are embedded first. A text that several questions of a base ask is embedded and searched for once.
     """
     checked = written(valid_questions(questions, chunks), "questions")
     corpus = chunks.withColumn("obj_id", F.xxhash64("kb_id", "chunk_id"))
@@ -249,14 +251,21 @@ def ask(questions: DataFrame, chunks: DataFrame, make: Callable[[], E.Provider]
     corpus = written(corpus.select(*used), "corpus")
     q = checked.where("outcome = 'ok'").select("qid", F.col("question").alias("text"), "kb_id", F.coalesce("k", F.lit(hits)).alias("k"), "threshold")
     if hybrid:
-        asked = E.appended(q, "vector", F.col("text"), make, "embed").select("qid", "text", "kb_id", "k", "vector")
-        found = semantic(asked, corpus, k="k")
+        once = q.groupBy("kb_id", "text").agg(F.min("qid").alias("first_qid"), F.max("k").alias("most"))
+        asked = E.appended(once, "vector", F.col("text"), make, "embed").select(F.col("first_qid").alias("qid"), "text", "kb_id", "most", "vector")
+        found = semantic(asked, corpus, k="most").withColumnRenamed("qid", "first_qid")
+        same = q.join(once, ["kb_id", "text"]).select("first_qid", "qid", "k")
+        found = found.join(same, "first_qid").where(F.col("hit_rank") <= F.col("k")).select("qid", "hit_rank", "id", "score")
     else:
         texts = corpus.select(F.col("obj_id").alias("id"), F.col("content").alias("text"), "kb_id")
         found = bm25_search(q, texts, "k", part=["kb_id"])
-    found = above(found, q)
-    got = found.join(corpus.select(F.col("obj_id").alias("id"), "chunk_id", "chunk_type", "content"), "id").select("qid", "hit_rank", "chunk_id", "chunk_type", "content", "score")
-    ctx = contexts(tagged(within_budget(merge_ranked(got)), corpus))
+    found = written(above(found, q), "found")
+    few = found.count() <= BROADCAST_HITS
+    got = corpus.select(F.col("obj_id").alias("id"), "chunk_id", "chunk_type", "content").join(F.broadcast(found) if few else found, "id")
+    got = written(got.select("qid", "hit_rank", "chunk_id", "chunk_type", "content", "score"), "got")
+    names = got.select("chunk_id").distinct()
+    about = corpus.drop("vector").join(F.broadcast(names) if few else names, "chunk_id", "left_semi")
+    ctx = contexts(tagged(within_budget(merge_ranked(got)), about))
     ready = written(checked.join(ctx, "qid", "left").withColumn("prompt", F.when(F.col("context").isNotNull(), answer_prompt(F.col("question"), F.col("context")))), "prompts")
     x = E.appended(ready, "said", F.col("prompt"), make)
     error = (

@@ -242,7 +242,12 @@ def graph_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def ask_all(spark: SparkSession, d: str) -> DataFrame:
     """All questions against the latest row of every chunk: hybrid retrieval, context and the offline provider's answer."""
-    return ask(table(spark, d, "questions"), latest(table(spark, d, "chunk")), hybrid=True)
+    chunks = table(spark, d, "chunk").select(*_ASKED, "obj_id", "stored_at")
+    return ask(table(spark, d, "questions"), written(latest(chunks).select(*_ASKED), "latest"), hybrid=True)
+
+
+#: What the flow reads of a chunk; the rest isn't moved.
+_ASKED = ("kb_id", "chunk_id", "chunk_type", "content", "doc_id", "table_id", "row_no", "paragraph_index", "description", "keywords", "original_filename")
 
 
 QUERIES = {

@@ -47,3 +47,17 @@ def test_each_question_has_its_own_k_and_threshold(spark, as_rows):
     q = q.where("qid <> 4").union(spark.createDataFrame([(4, "apple", 1, 20, 0.99)], QUESTION))
     got = as_rows(P.ask(q, chunks, hybrid=True), "qid", "total_sources")
     assert got[:3] == [(1, 20), (2, 3), (3, 8)] and got[3][1] < 20
+
+
+def test_a_text_asked_by_many_is_embedded_once(spark, tmp_path, as_rows):
+    _, kept = stored(spark, tmp_path, E.Offline)
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(E.Offline):  # local, so that it's sent to the workers by value
+        def embed(self, texts):
+            calls.add(len(texts))
+            return E.Offline.embed(self, texts)
+
+    q = spark.createDataFrame([(i, "方公司" if i < 9 else "甲方", 1, i % 3 + 1, None) for i in range(10)], QUESTION)
+    got = P.ask(q, kept, Counting, hybrid=True)
+    assert as_rows(got, "qid", "total_sources") == [(i, i % 3 + 1) for i in range(10)] and calls.value == 2

@@ -48,3 +48,36 @@ def test_vectors_of_several_lengths(spark, as_rows):
     d = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, []), (5, None)], "id long, vector array<float>")
     q = spark.createDataFrame([(10, [1.0, 0.0]), (11, [1.0, 1.0, 0.0]), (12, None), (13, [])], "qid long, vector array<float>")
     assert as_rows(R.vector_search(q, d, 1), "qid", "id") == [(10, 1), (11, 3)]
+
+
+def test_the_corpus_is_read_once_for_all_queries(spark, as_rows):
+    """Whatever the number of passes over the scores, and of lengths of vectors among the queries."""
+    d, q = sides(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = R.hybrid_full(q, d.mapInArrow(counted, d.schema), "k", same="kb_id")
+    assert as_rows(got) == as_rows(R.hybrid_full(q, d, "k", same="kb_id")) and read.value == 400
+
+
+def test_fusion_over_many_tiles(spark, as_rows):
+    """More queries and rows of each kind than a tile holds, with ties, vectors of two lengths, rows without a vector or a text, and null kinds."""
+    rng = random.Random(11)
+    vec = lambda n: [float(rng.randrange(-9, 10)) for _ in range(n)]
+    kind = lambda i: None if i % 50 == 0 else i % 2
+    words = lambda n: " ".join(rng.choices("abcdefghijkl", k=n))
+    docs = [(i, words(rng.randrange(0, 9)) if i % 13 else None, kind(i), vec(6 if i % 5 else 3) if i % 9 else None) for i in range(4600)]
+    asked = [(10**6 + i, words(2), kind(i), vec(6 if i % 10 else 3) if i % 7 else None, i % 30) for i in range(360)]
+    d = spark.createDataFrame(docs, "id long, text string, kb_id int, vector array<float>")
+    q = spark.createDataFrame(asked, "qid long, text string, kb_id int, vector array<float>, k int")
+    v = R.vector_search(q.drop("k"), d, 4600, same="kb_id").selectExpr("qid", "id", "round(1 - distance, 6) AS score")
+    keyword = R.bm25_scores(q, d.where("text IS NOT NULL"), ["kb_id"])
+    want = R.top_k(R.fused(v, keyword).join(q.select("qid", "k"), "qid"), "qid", "score", "id", "k")
+    got = R.hybrid_full(q, d, "k", same="kb_id")
+    shown = lambda df: [(*r[:2], round(r[2], 5)) for r in as_rows(df, "qid", "hit_rank", "score")]
+    assert len(shown(got)) > 4000 and shown(got) == shown(want)
+    assert len({*as_rows(got, "qid", "id")} ^ {*as_rows(want, "qid", "id")}) < 20  # of equal scores, sums in another order may differ in the last digit
