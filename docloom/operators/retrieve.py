@@ -23,8 +23,8 @@ QUERY_BLOCK = 1024
 ROW_BLOCK = 2048
 #: So many (question, row, term) meetings are added up at once.
 MEETINGS_AT_ONCE = 1 << 20
-#: So many queries, of so many terms, are asked at once by ``hybrid_full``, in tiles of so many.
-ASKED_AT_ONCE, TERMS_AT_ONCE, TILE_QUERIES = 8192, 1 << 20, 128
+#: So many queries, of so many terms and numbers of vectors, are asked at once by ``hybrid_full``, in tiles of so many.
+ASKED_AT_ONCE, VALUES_AT_ONCE, TILE_QUERIES = 32_768, 1 << 22, 128
 #: Up to so many query terms are broadcast; beyond, they are joined by shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -504,14 +504,15 @@ def _fused_batches(shared, spans, alpha: float):
 
 
 def _rounds(queries: DataFrame) -> Iterator[list]:
-    """The queries, a stated set, ASKED_AT_ONCE or as many as hold TERMS_AT_ONCE terms at a time."""
+    """The queries, a stated set, ASKED_AT_ONCE or as many as hold VALUES_AT_ONCE terms and numbers at a time."""
     some, held = [], 0
     for r in queries.toLocalIterator():
-        if some and (len(some) == ASKED_AT_ONCE or held + len(r["t"]) > TERMS_AT_ONCE):
+        own = len(r["t"]) + len(r["vector"] or ())
+        if some and (len(some) == ASKED_AT_ONCE or held + own > VALUES_AT_ONCE):
             yield some
             some, held = [], 0
         some.append(r)
-        held += len(r["t"])
+        held += own
     if some:
         yield some
 
